@@ -1,0 +1,14 @@
+"""Group sizes on member rows, for groups of any size."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def members_of_repeated_groups(df: DataFrame, key: str, size: str, min_size: int = 2) -> DataFrame:
+    """Rows whose ``key`` occurs at least ``min_size`` times, with the group size added.
+
+    Sizes come from a combining count and are joined back, one row per key on that side. No task
+    holds a whole group: AQE splits a hot key of the member side over many tasks.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias(size)).where(F.col(size) >= min_size)
+    return df.join(sizes, key)
