@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import CHECKS, QUERIES, query
 
-AREAS = ("telemetry",)
+AREAS = ("telemetry", "streams", "finops", "registry_access", "observability")
 
 for _area in AREAS:
     import_module(f"{__name__}.{_area}")
