@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 DIALECT = "(?Ud)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -33,8 +40,10 @@ def line_array(text: Column) -> Column:
     ``\R`` covers the line ends in use; the three information separators are added to match the
     usual universal-newline rule.
     """
-    parts = F.split(text, r"\R|[\x1c\x1d\x1e]")
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(text, r"\R|[\x1c\x1d\x1e]"),
+        lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
+    )
 
 
 def line_total(text: Column) -> Column:

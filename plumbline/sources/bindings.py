@@ -14,6 +14,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spreads a small input over all cores before per-file work.
+
+    A small table may be a single file that one task would read and then process alone. A large
+    one already comes in many splits and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores, key) if int(str(size)) < cores * 128 * 2**20 else df
+
+
+# File extension given to each document language.
+DOCUMENT_EXTENSION = {"en": ".py", "de": ".c", "fr": ".js", "es": ".cs"}
+
+
+def document_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: (path, content)."""
+    extension = F
+    for lang, ext in DOCUMENT_EXTENSION.items():
+        extension = extension.when(F.col("lang") == lang, ext)
+    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), extension.otherwise(".txt"))
+    return docs.select(name.alias("path"), F.col("text").alias("content"))
+
+
 # Event type of each type in the events table.
 EVENT_TYPE_BINDING = {
     "signup": "project.generated",
