@@ -66,31 +66,30 @@ def comma_parts(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), strip), lambda part: part != "")
 
 
-def find_all(corpus: DataFrame, pattern: str, groups: dict[str, int], where: Column | None = None) -> DataFrame:
+def find_all(corpus: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
     """Every match of ``pattern`` per file: (path, ordinal, line, <groups>).
 
     The text between matches and the matches themselves are taken as two arrays, so the line of a
     match is a running sum of newline counts. Only small rows (counts and groups, no content) are
-    shuffled, by path.
+    shuffled, by path. Groups are read again from the short matched text.
     """
     content = F.col("content")
-    source = corpus if where is None else corpus.where(where)
-    source = source.where(content.rlike(pattern))
-    whole = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    fields = [
+    pieces = F.arrays_zip(
         F.transform(F.split(content, pattern, -1), newline_count).alias("before"),
-        F.transform(whole, newline_count).alias("inside"),
-        *[F.regexp_extract_all(content, F.lit(pattern), F.lit(n)).alias(g) for g, n in groups.items()],
-    ]
-    rows = source.select("path", F.posexplode(F.arrays_zip(*fields)).alias("ordinal", "m"))
-    upto = Window.partitionBy("path").orderBy("ordinal")
-    line = (
-        F.sum(F.col("m.before") + F.coalesce(F.col("m.inside"), F.lit(0))).over(upto)
-        - F.coalesce(F.col("m.inside"), F.lit(0)) + 1
+        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("hit"),
+    )
+    rows = corpus.where(content.rlike(pattern)).select("path", F.posexplode(pieces).alias("ordinal", "m")).select(
+        "path", F.col("ordinal").cast("bigint").alias("ordinal"), "m.before", "m.hit",
+        F.coalesce(newline_count(F.col("m.hit")), F.lit(0)).alias("inside"),
     )
-    return (
-        rows.withColumn("line", line)
-        .where(F.col("m.inside").isNotNull())
-        .select("path", F.col("ordinal").cast("bigint").alias("ordinal"), "line",
-                *[F.col(f"m.{g}").alias(g) for g in groups])
+    upto = Window.partitionBy("path").orderBy("ordinal")
+    line = F.sum(F.col("before") + F.col("inside")).over(upto) - F.col("inside") + 1
+    return rows.withColumn("line", line).where(F.col("hit").isNotNull()).select(
+        "path", "ordinal", "line", *[F.regexp_extract("hit", pattern, n).alias(g) for g, n in groups.items()]
     )
+
+
+def line_of(content: Column, token: Column) -> Column:
+    """Line of the first occurrence of ``token``, 0 when it does not occur."""
+    at = F.position(token, content)
+    return F.when(at > 0, newline_count(F.left(content, at - 1)) + 1).otherwise(F.lit(0).cast("bigint"))

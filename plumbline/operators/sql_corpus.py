@@ -43,9 +43,11 @@ def exec_deps(corpus: DataFrame) -> DataFrame:
 
 def table_deps(corpus: DataFrame) -> DataFrame:
     """Tables and views used, duplicates kept, with the direction the keyword implies."""
-    content = F.col("content")
-    uses = F.arrays_zip(_all(content, TABLE_USE, 1).alias("keyword"), _all(content, TABLE_USE, 2).alias("name"))
-    found = corpus.select(F.col("path").alias("caller_path"), F.inline(uses).alias("keyword", "dependency_name"))
+    uses = corpus.select(F.col("path").alias("caller_path"), F.explode(_all(F.col("content"), TABLE_USE, 0)).alias("use"))
+    found = uses.select(
+        "caller_path", F.regexp_extract("use", TABLE_USE, 1).alias("keyword"),
+        F.regexp_extract("use", TABLE_USE, 2).alias("dependency_name"),
+    )
     word = F.upper("keyword")
     direction = F.when(word.isin(*[k for k, d in DIRECTION.items() if d == "INPUT"]), "INPUT").otherwise("OUTPUT")
     return found.where(~F.upper("dependency_name").isin(*SQL_NOT_TABLES)).select(
