@@ -33,11 +33,15 @@ def call_edges_c(corpus: DataFrame) -> DataFrame:
     over the small pieces, so no content is shuffled.
     """
     content = F.col("content")
-    pieces = F.split(content, C_DEFINITION, -1)
-    heads = F.regexp_extract_all(content, F.lit(C_DEFINITION), F.lit(0))
-    rows = corpus.where(content.rlike(C_DEFINITION)).select("path", F.posexplode(F.arrays_zip(
-        heads.alias("head"), F.slice(pieces, 2, F.size(pieces)).alias("rest"), F.slice(heads, 2, F.size(heads)).alias("next"),
-    )).alias("fn", "z"), text.newline_count(pieces[0]).alias("first"))
+    # Selected first, so that both arrays are computed once per file.
+    cut = corpus.where(content.rlike(C_DEFINITION)).select(
+        "path", F.split(content, C_DEFINITION, -1).alias("pieces"),
+        F.regexp_extract_all(content, F.lit(C_DEFINITION), F.lit(0)).alias("heads"),
+    )
+    rows = cut.select("path", text.newline_count(F.col("pieces")[0]).alias("first"), F.posexplode(F.arrays_zip(
+        F.col("heads").alias("head"), F.slice("pieces", 2, F.size("pieces")).alias("rest"),
+        F.slice("heads", 2, F.size("heads")).alias("next"),
+    )).alias("fn", "z"))
     bodies = rows.select(
         "path", "fn", F.regexp_extract("z.head", C_DEFINITION, 1).alias("caller"),
         (F.col("first") + text.newline_count(F.col("z.head"))).alias("start"),
