@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SCHEMA = """
-  path string, parsed boolean,
+  path string, parsed boolean, source string,
   imports array<struct<module:string,names:array<string>,line:bigint>>,
   classes array<struct<name:string,line:bigint,bases:array<string>,
     methods:array<struct<name:string,line:bigint,args:array<string>,decorators:array<string>>>>>,
@@ -68,19 +68,25 @@ def describe(source: str, wanted_args: frozenset[str]) -> dict:
     }
 
 
-def describe_files(corpus: DataFrame, wanted_args: tuple[str, ...]) -> DataFrame:
-    """One row per file; ``parsed`` is false where the source is not valid Python."""
+def describe_files(corpus: DataFrame, wanted_args: tuple[str, ...], *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file; where the source is not valid Python ``parsed`` is false and ``source`` its text."""
     wanted = frozenset(wanted_args)
     fields = ("imports", "classes", "functions", "calls")
+    kept = ", ".join(f"`{c}` {t}" for c, t in corpus.select(*keep).dtypes) if keep else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for content in batch["content"]:
                 try:
-                    rows.append({"path": path, "parsed": True, **describe(content, wanted)})
+                    rows.append({"parsed": True, "source": None, **describe(content, wanted)})
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    rows.append({"path": path, "parsed": False, **{f: [] for f in fields}})
-            yield pd.DataFrame(rows, columns=["path", "parsed", *fields])
-
-    return corpus.select("path", "content").mapInPandas(run, SCHEMA)
+                    rows.append({"parsed": False, "source": content, **{f: [] for f in fields}})
+            out = pd.DataFrame(rows, columns=["parsed", "source", *fields])
+            out.insert(0, "path", batch["path"].to_numpy())
+            for column in keep:
+                out[column] = batch[column].to_numpy()
+            yield out
+
+    schema = SCHEMA + (f", {kept}" if kept else "")
+    return corpus.select("path", "content", *keep).mapInPandas(run, schema)

@@ -34,6 +34,9 @@ def newline_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
 
 
+LINE_END = r"\R|[\x1c\x1d\x1e]"
+
+
 def line_array(text: Column) -> Column:
     r"""Lines without their ends; a final line end opens no further line.
 
@@ -41,7 +44,7 @@ def line_array(text: Column) -> Column:
     usual universal-newline rule.
     """
     return let(
-        F.split(text, r"\R|[\x1c\x1d\x1e]"),
+        F.split(text, LINE_END),
         lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts),
     )
 
@@ -57,8 +60,15 @@ def explode_lines(corpus: DataFrame) -> DataFrame:
     ).select("path", (F.col("_i") + 1).cast("bigint").alias("line"), "text")
 
 
+# Characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def comma_parts(text: Column) -> Column:
@@ -66,27 +76,28 @@ def comma_parts(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), strip), lambda part: part != "")
 
 
-def find_all(corpus: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
-    """Every match of ``pattern`` per file: (path, ordinal, line, <groups>).
+def cut_at(content: Column, pattern: str, line_end: str = "\n") -> Column:
+    """Array of (before, hit): each match of ``pattern`` and the line ends in the text before it.
 
-    The text between matches and the matches themselves are taken as two arrays, so the line of a
-    match is a running sum of newline counts. Only small rows (counts and groups, no content) are
-    shuffled, by path. Groups are read again from the short matched text.
+    The last element has no hit. The line of a match is a running sum over the array, see
+    :func:`with_lines`.
     """
-    content = F.col("content")
-    pieces = F.arrays_zip(
-        F.transform(F.split(content, pattern, -1), newline_count).alias("before"),
+    count = newline_count if line_end == "\n" else lambda t: F.regexp_count(t, F.lit(line_end)).cast("bigint")
+    return F.arrays_zip(
+        F.transform(F.split(content, pattern, -1), count).alias("before"),
         F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("hit"),
     )
-    rows = corpus.where(content.rlike(pattern)).select("path", F.posexplode(pieces).alias("ordinal", "m")).select(
-        "path", F.col("ordinal").cast("bigint").alias("ordinal"), "m.before", "m.hit",
-        F.coalesce(newline_count(F.col("m.hit")), F.lit(0)).alias("inside"),
-    )
-    upto = Window.partitionBy("path").orderBy("ordinal")
-    line = F.sum(F.col("before") + F.col("inside")).over(upto) - F.col("inside") + 1
-    return rows.withColumn("line", line).where(F.col("hit").isNotNull()).select(
-        "path", "ordinal", "line", *[F.regexp_extract("hit", pattern, n).alias(g) for g, n in groups.items()]
-    )
+
+
+def with_lines(rows: DataFrame, *group: str, order: str = "ordinal") -> DataFrame:
+    """Adds ``line`` to exploded (before, hit) rows and drops the ends without a hit.
+
+    The rows hold counts and short matches, no content, and one file bounds each group.
+    """
+    inside = F.coalesce(newline_count(F.col("hit")), F.lit(0))
+    upto = Window.partitionBy(*group).orderBy(order)
+    line = F.sum(F.col("before") + inside).over(upto) - inside + 1
+    return rows.withColumn("line", line).where(F.col("hit").isNotNull())
 
 
 def line_of(content: Column, token: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..session import cut_lineage
 from ..vocab import API_GROUPS, CALL_KEYWORDS
-from .code_structure import KNOWN_FUNCTIONS, describe_python
+from .code_structure import KNOWN_FUNCTIONS, describe_python, module_heads, symbols
 
 # Definition and call patterns by language.
 C_DEFINITION = r"(?Um)^[\w\*\s]+\s+(\w+)\s*\([^)]*\)\s*(?:const\s*)?\{"
@@ -47,11 +47,7 @@ def call_edges_c(corpus: DataFrame) -> DataFrame:
         (F.col("first") + text.newline_count(F.col("z.head"))).alias("start"),
         F.concat("z.rest", F.coalesce("z.next", F.lit(""))).alias("body"),
     )
-    cuts = F.arrays_zip(
-        F.transform(F.split("body", CALL, -1), text.newline_count).alias("before"),
-        F.regexp_extract_all("body", F.lit(CALL), F.lit(0)).alias("hit"),
-    )
-    calls = bodies.select("path", "fn", "caller", "start", F.posexplode(cuts).alias("pos", "c")).select(
+    calls = bodies.select("path", "fn", "caller", "start", F.posexplode(text.cut_at(F.col("body"), CALL)).alias("pos", "c")).select(
         "path", "fn", "caller", "start", "pos", "c.before", "c.hit",
         F.coalesce(text.newline_count(F.col("c.hit")), F.lit(0)).alias("inside"),
     )
@@ -88,18 +84,25 @@ def call_edges_line(corpus: DataFrame, language: str) -> DataFrame:
     return _real(edges.select("caller", "callee", "line", "location", F.col("pos").cast("bigint").alias("pos")), language)
 
 
-def call_edges_python(corpus: DataFrame, described: DataFrame | None = None) -> DataFrame:
+def described_files(corpus: DataFrame) -> DataFrame:
+    """Described Python files, kept once in the shared folder for calls, API calls and symbols."""
+    return cut_lineage(describe_python(corpus))
+
+
+def _broken(described: DataFrame) -> DataFrame:
+    return described.where(~F.col("parsed")).select("path", F.col("source").alias("content"))
+
+
+def call_edges_python(described: DataFrame) -> DataFrame:
     """Calls inside functions from the syntax tree; files that do not parse go by lines."""
-    parsed = describe_python(corpus) if described is None else described
-    edges = parsed.select("path", F.posexplode("calls").alias("pos", "c")).where(F.col("c.caller").isNotNull()).select(
+    edges = described.select("path", F.posexplode("calls").alias("pos", "c")).where(F.col("c.caller").isNotNull()).select(
         "c.caller", "c.callee", "c.line", F.col("path").alias("location"), F.col("pos").cast("bigint").alias("pos"))
-    broken = corpus.join(parsed.where(~F.col("parsed")).select("path"), "path", "left_semi")
-    return edges.unionByName(call_edges_line(broken, "generic"))
+    return edges.unionByName(call_edges_line(_broken(described), "generic"))
 
 
 def call_edges(corpus: DataFrame, parser: str) -> DataFrame:
     if parser == "python":
-        return call_edges_python(corpus)
+        return call_edges_python(described_files(corpus))
     return call_edges_c(corpus) if parser == "c" else call_edges_line(corpus, parser)
 
 
@@ -157,10 +160,11 @@ def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int = MAX_DEPT
                         F.array_join("trail", ">").alias("path"), F.element_at("trail", -1).alias("callee"))
 
 
-def entry_roots(heads: DataFrame, symbols: DataFrame, *, k: int = ENTRY_MODULES) -> DataFrame:
-    """Functions of the first ``k`` entry modules in path order."""
-    files = heads.where("is_entry_point").select("path").orderBy("path").limit(k)
-    own = symbols.where(F.col("kind") == "function").join(F.broadcast(files), "path", "left_semi")
+def entry_roots(corpus: DataFrame, parser: str, *, k: int = ENTRY_MODULES) -> DataFrame:
+    """Functions of the first ``k`` entry modules in path order; only those files are looked into."""
+    first = module_heads(corpus, parser).where("is_entry_point").select("path").orderBy("path").limit(k)
+    files = corpus.join(F.broadcast(first), "path", "left_semi")
+    own = symbols(files, parser).where(F.col("kind") == "function")
     return own.select(F.col("name").alias("entry"), F.col("path").alias("file"))
 
 
@@ -180,17 +184,16 @@ def api_calls_by_text(corpus: DataFrame) -> DataFrame:
     return sites.withColumn("group", _group(F.col("function"))).where(F.col("group").isNotNull())
 
 
-def api_calls_python(corpus: DataFrame, described: DataFrame | None = None) -> DataFrame:
-    parsed = describe_python(corpus) if described is None else described
-    sites = parsed.select("path", F.posexplode("calls").alias("pos", "c")).select(
+def api_calls_python(described: DataFrame) -> DataFrame:
+    sites = described.select("path", F.posexplode("calls").alias("pos", "c")).select(
         F.col("c.callee").alias("function"), F.col("path").alias("file"), F.col("c.line").alias("line"),
         F.col("pos").cast("bigint").alias("pos"), F.col("c.args").alias("args"))
-    broken = corpus.join(parsed.where(~F.col("parsed")).select("path"), "path", "left_semi")
-    return sites.withColumn("group", _group(F.col("function"))).where(F.col("group").isNotNull()).unionByName(api_calls_by_text(broken))
+    known = sites.withColumn("group", _group(F.col("function"))).where(F.col("group").isNotNull())
+    return known.unionByName(api_calls_by_text(_broken(described)))
 
 
 def api_calls(corpus: DataFrame, parser: str) -> DataFrame:
-    return api_calls_python(corpus) if parser == "python" else api_calls_by_text(corpus)
+    return api_calls_python(described_files(corpus)) if parser == "python" else api_calls_by_text(corpus)
 
 
 def api_summary(calls: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -15,7 +15,8 @@ from ..vocab import (API_GROUPS, BUILD_SYSTEM_BY_EXTENSION, BUILD_SYSTEM_BY_NAME
 # Definition patterns by language.
 C_FUNCTION = (r"(?Um)^(?:(?:static|extern|inline|virtual|WINAPI|STDCALL|__cdecl)\s+)*"
               r"(?:[\w\*]+\s+)+(\w+)\s*\(([^)]*)\)\s*(?:const\s*)?(?:\{|;)")
-C_INCLUDE = r"""(?U)#include\s*[<"]([^>"]+)[>"]"""
+# An include ends on its own line, so the white space and the name stop at a line end.
+C_INCLUDE = r"""(?U)#include[\s&&[^\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]]*[<"]([^>"\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]+)[>"]"""
 C_CLASS = r"(?U)(?:class|struct)\s+(\w+)\s*(?::\s*(?:public|private|protected)\s+\w+)?\s*\{"
 C_DEFINE = r"(?U)#define\s+(\w+)"
 JS_IMPORT = r"""(?U)(?:import|require)\s*\(?['"]([^'"]+)['"]"""
@@ -107,103 +108,108 @@ def with_parser(corpus: DataFrame) -> DataFrame:
 
 
 # Symbols: (path, kind, ordinal, name, line, args, bases). `line` is NULL where none is reported.
+# All kinds of one file come out of one array, so the content is read once.
 
-def _symbols(rows: DataFrame, kind: str, *, name: Column | str = "name", line=None, args=None, bases=None) -> DataFrame:
-    strings = F.array().cast("array<string>")
-    return rows.select(
-        "path", F.lit(kind).alias("kind"), "ordinal", F.col(name).alias("name") if isinstance(name, str) else name.alias("name"),
-        (F.lit(None).cast("bigint") if line is None else line).alias("line"),
-        (strings if args is None else args).alias("args"), (strings if bases is None else bases).alias("bases"),
-    )
+SYMBOL = "struct<kind:string,ordinal:bigint,before:bigint,hit:string,name:string,line:bigint,args:array<string>,bases:array<string>>"
 
 
-def _each(corpus: DataFrame, pattern: str, **groups: int) -> DataFrame:
-    """Matches of a pattern whose line is not needed: no window, no shuffle."""
-    hits = F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(0))
-    rows = corpus.select("path", F.posexplode(hits).alias("ordinal", "hit"))
-    return rows.select("path", F.col("ordinal").cast("bigint").alias("ordinal"),
-                       *[F.regexp_extract("hit", pattern, n).alias(g) for g, n in groups.items()])
+def _symbol(kind: str, ordinal: Column, *, name: Column, before=None, hit=None, line=None, args=None, bases=None) -> Column:
+    none = F.array()
+    return F.struct(
+        F.lit(kind).alias("kind"), ordinal.alias("ordinal"), (F.lit(0) if before is None else before).alias("before"),
+        (F.lit("") if hit is None else hit).alias("hit"), name.alias("name"), (F.lit(None) if line is None else line).alias("line"),
+        (none if args is None else args).alias("args"), (none if bases is None else bases).alias("bases"),
+    ).cast(SYMBOL)
 
 
-def _each_with_first_line(corpus: DataFrame, pattern: str, **groups: int) -> DataFrame:
-    """Matches with the line on which the name first occurs anywhere in the file."""
+def _matches(kind: str, pattern: str, *, name: int = 1, args: int = 0, base: int = 0, first_line: bool = False) -> Column:
+    """Matches whose own line is not asked for; ``first_line`` reports where the name first occurs."""
     content = F.col("content")
-    hits = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    rows = F.transform(hits, lambda h: F.struct(
-        text.line_of(content, F.regexp_extract(h, pattern, 1)).alias("line"),
-        *[F.regexp_extract(h, pattern, n).alias(g) for g, n in groups.items()]))
-    return corpus.select("path", F.posexplode(rows).alias("ordinal", "r")).select(
-        "path", F.col("ordinal").cast("bigint").alias("ordinal"), "r.*")
-
-
-def symbols_c(corpus: DataFrame) -> DataFrame:
-    """Includes, classes, functions (prototypes too) and macro names of C and C++ files."""
-    functions = text.find_all(corpus, C_FUNCTION, {"name": 1, "args": 2}).where(~F.col("name").isin(*C_DEFINITION_KEYWORDS))
-    lines = text.explode_lines(corpus).where(F.col("text").contains("#include"))
-    includes = lines.select("path", "line", F.posexplode(F.regexp_extract_all("text", F.lit(C_INCLUDE), F.lit(1))).alias("i", "name"))
-    includes = includes.withColumn("ordinal", F.col("line") * 1_000_000 + F.col("i"))
-    classes = _each_with_first_line(corpus, C_CLASS, name=1)
-    return (
-        _symbols(functions, "function", line=F.col("line"), args=text.comma_parts(F.col("args")))
-        .unionByName(_symbols(includes, "import", line=F.col("line")))
-        .unionByName(_symbols(classes, "class", line=F.col("line")))
-        .unionByName(_symbols(_each(corpus, C_DEFINE, name=1), "define"))
-    )
 
+    def one(hit: Column, i: Column) -> Column:
+        found = F.regexp_extract(hit, pattern, name)
+        return _symbol(
+            kind, i, name=found, line=text.line_of(content, found) if first_line else None,
+            args=text.comma_parts(F.regexp_extract(hit, pattern, args)) if args else None,
+            bases=F.filter(F.array(F.regexp_extract(hit, pattern, base)), lambda b: b != "") if base else None)
 
-def symbols_js(corpus: DataFrame) -> DataFrame:
-    found = text.find_all(corpus, JS_FUNCTION, {"plain": 1, "args": 2, "arrow": 3})
-    name = F.when(F.col("plain") != "", F.col("plain")).otherwise(F.col("arrow"))
-    classes = _each(corpus, JS_CLASS, name=1, base=2)
-    return (
-        _symbols(found, "function", name=name, line=F.col("line"), args=text.comma_parts(F.col("args")))
-        .unionByName(_symbols(_each(corpus, JS_IMPORT, name=1), "import"))
-        .unionByName(_symbols(classes, "class", bases=F.filter(F.array("base"), lambda b: b != "")))
-    )
+    return F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), one)
 
 
-def symbols_csharp(corpus: DataFrame) -> DataFrame:
-    methods = _each_with_first_line(corpus, CS_METHOD, name=1, args=2)
-    return (
-        _symbols(methods, "function", line=F.col("line"), args=text.comma_parts(F.col("args")))
-        .unionByName(_symbols(_each(corpus, CS_USING, name=1), "import"))
-        .unionByName(_symbols(_each(corpus, CS_CLASS, name=1), "class"))
-    )
+def _located(kind: str, pattern: str, name, *, args: int = 0, line_end: str = "\n", content: Column | None = None) -> Column:
+    """Matches with the line they start on, filled in by the running sum of :func:`_finish`."""
+    source = F.col("content") if content is None else content
+    return F.transform(text.cut_at(source, pattern, line_end), lambda z, i: _symbol(
+        kind, i, name=name(z["hit"]), before=z["before"], hit=z["hit"], line=F.lit(-1),
+        args=text.comma_parts(F.regexp_extract(z["hit"], pattern, args)) if args else None))
 
 
-def symbols_generic(corpus: DataFrame) -> DataFrame:
-    """Names that look like definitions, each once per file at its first place."""
-    found = text.find_all(corpus, GENERIC_FUNCTION, {"name": 1})
-    once = found.groupBy("path", "name").agg(F.min(F.struct("ordinal", "line")).alias("m")).select("path", "name", "m.*")
-    return _symbols(once, "function", line=F.col("line"))
+def _group(pattern: str, *groups: int):
+    return lambda hit: F.coalesce(*[F.nullif(F.regexp_extract(hit, pattern, g), F.lit("")) for g in groups])
 
 
-KNOWN_FUNCTIONS = tuple(name for group in API_GROUPS.values() for name in group)
+def _arrays_c() -> Column:
+    return F.concat(
+        _located("function", C_FUNCTION, _group(C_FUNCTION, 1), args=2),
+        _located("import", C_INCLUDE, _group(C_INCLUDE, 1), line_end=text.LINE_END),
+        _matches("class", C_CLASS, first_line=True), _matches("define", C_DEFINE))
 
 
-def describe_python(corpus: DataFrame) -> DataFrame:
-    return describe_files(corpus, KNOWN_FUNCTIONS)
+def _arrays_js() -> Column:
+    return F.concat(_located("function", JS_FUNCTION, _group(JS_FUNCTION, 1, 3), args=2),
+                    _matches("import", JS_IMPORT), _matches("class", JS_CLASS, base=2))
 
 
-def symbols_python(corpus: DataFrame, described: DataFrame | None = None) -> DataFrame:
-    """Symbols from the syntax tree; files that do not parse are read like any other language."""
-    parsed = describe_python(corpus) if described is None else described
+def _arrays_csharp() -> Column:
+    return F.concat(_matches("function", CS_METHOD, args=2, first_line=True), _matches("import", CS_USING), _matches("class", CS_CLASS))
 
-    def rows(field: str) -> DataFrame:
-        return parsed.select("path", F.posexplode(field).alias("ordinal", "s")).select(
-            "path", F.col("ordinal").cast("bigint").alias("ordinal"), "s.*")
 
-    functions, classes, imports = rows("functions"), rows("classes"), rows("imports")
-    broken = corpus.join(parsed.where(~F.col("parsed")).select("path"), "path", "left_semi")
-    return (
-        _symbols(functions, "function", line=F.col("line"), args=F.col("args"))
-        .unionByName(_symbols(classes, "class", line=F.col("line"), args=F.transform("methods", lambda m: m["name"]), bases=F.col("bases")))
-        .unionByName(_symbols(imports, "import", name="module", line=F.col("line"), args=F.col("names")))
-        .unionByName(symbols_generic(broken))
-    )
+def _arrays_generic(content: Column | None = None) -> Column:
+    return _located("once", GENERIC_FUNCTION, _group(GENERIC_FUNCTION, 1), content=content)
+
+
+def _arrays_python() -> Column:
+    """Over described files: symbols of the syntax tree, or those of any language where it failed."""
+    tree = F.concat(
+        F.transform("functions", lambda s, i: _symbol("function", i, name=s["name"], line=s["line"], args=s["args"])),
+        F.transform("classes", lambda s, i: _symbol(
+            "class", i, name=s["name"], line=s["line"], args=F.transform(s["methods"], lambda m: m["name"]), bases=s["bases"])),
+        F.transform("imports", lambda s, i: _symbol("import", i, name=s["module"], line=s["line"], args=s["names"])))
+    return F.when(F.col("parsed"), tree).otherwise(_arrays_generic(F.col("source")))
+
+
+ARRAYS = {"python": _arrays_python, "c": _arrays_c, "js": _arrays_js, "csharp": _arrays_csharp, "generic": _arrays_generic}
+
+
+def _finish(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines for located symbols, keywords out, and repeated names of generic files once."""
+    rows = rows.withColumn("asked", F.col("line") == -1).withColumn("given", F.col("line"))
+    rows = text.with_lines(rows, "path", "kind")
+    rows = rows.withColumn("line", F.when(F.col("asked"), F.col("line")).otherwise(F.col("given")))
+    named = rows.where(~((F.col("kind") == "function") & F.col("c_like") & F.col("name").isin(*C_DEFINITION_KEYWORDS)))
+    repeat = F.row_number().over(Window.partitionBy("path", "kind", "name").orderBy("ordinal"))
+    once = named.withColumn("nth", repeat).where((F.col("kind") != "once") | (F.col("nth") == 1))
+    kind = F.when(F.col("kind") == "once", "function").otherwise(F.col("kind"))
+    return once.select("path", kind.alias("kind"), "ordinal", "name", "line", "args", "bases", *keep)
+
+
+def symbols(corpus: DataFrame, parser: str) -> DataFrame:
+    """All symbols of the files by one parser. For Python the input may be described files."""
+    files = _described(corpus) if parser == "python" else corpus
+    rows = files.select("path", F.lit(parser == "c").alias("c_like"), F.inline(ARRAYS[parser]()))
+    return _finish(rows)
+
+
+KNOWN_FUNCTIONS = tuple(name for group in API_GROUPS.values() for name in group)
+
+
+def describe_python(corpus: DataFrame) -> DataFrame:
+    """Syntax-tree facts per file; what fails to parse keeps its text in ``source``."""
+    return describe_files(corpus, KNOWN_FUNCTIONS)
 
 
-SYMBOLS = {"python": symbols_python, "c": symbols_c, "js": symbols_js, "csharp": symbols_csharp, "generic": symbols_generic}
+def _described(files: DataFrame) -> DataFrame:
+    return files if "parsed" in files.columns else describe_python(files)
 
 
 def entry_flag(parser: str) -> Column:
@@ -221,35 +227,41 @@ def entry_flag(parser: str) -> Column:
 PARSER_LANGUAGE = {"python": "Python", "c": "C/C++", "js": "JavaScript/TypeScript", "csharp": "C#"}
 
 
-def module_heads(corpus: DataFrame, parser: str) -> DataFrame:
-    """(path, language, is_entry_point, line_count) without opening the symbols."""
+def module_heads(corpus: DataFrame, parser: str, *keep: str) -> DataFrame:
+    """(path, language, is_entry_point, line_count) without looking for symbols."""
     label = F.lit(PARSER_LANGUAGE[parser]) if parser in PARSER_LANGUAGE else F.coalesce(
         F.nullif(text.suffix(F.col("path")), F.lit("")), F.lit("unknown"))
     return corpus.select("path", label.alias("language"), entry_flag(parser).alias("is_entry_point"),
-                         text.newline_count(F.col("content")).alias("line_count"))
+                         text.newline_count(F.col("content")).alias("line_count"), *keep)
 
 
 def modules(corpus: DataFrame, parser: str) -> DataFrame:
-    """One row per file with its symbols as nested lists, which one file bounds."""
-    symbols = SYMBOLS[parser](corpus)
+    """One row per file with its symbols as nested lists, which one file bounds. One read of the corpus."""
+    heads = ("language", "is_entry_point", "line_count")
+    headed = module_heads(corpus, parser, "content")
+    files = describe_files(headed, KNOWN_FUNCTIONS, keep=heads) if parser == "python" else headed
+    found = files.select("path", *heads, F.lit(parser == "c").alias("c_like"), F.inline_outer(ARRAYS[parser]()))
+    # A file without symbols keeps one empty row.
+    found = found.withColumn("kind", F.coalesce("kind", F.lit("none"))).withColumn("hit", F.when(
+        F.col("kind") == "none", "").otherwise(F.col("hit"))).fillna({"before": 0})
+    rows = _finish(found, heads)
     entry = F.struct("ordinal", "name", "line", "args", "bases")
 
     def of(kind: str) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))), lambda s: s.dropFields("ordinal"))
 
-    nested = symbols.groupBy("path").agg(of("import").alias("imports"), of("class").alias("classes"),
-                                         of("function").alias("functions"), of("define").alias("defines"))
-    return module_heads(corpus, parser).join(nested, "path", "left")
+    return rows.groupBy("path", *heads).agg(of("import").alias("imports"), of("class").alias("classes"),
+                                            of("function").alias("functions"), of("define").alias("defines"))
 
 
 def entry_points(heads: DataFrame) -> DataFrame:
     return heads.where("is_entry_point").select("path")
 
 
-def public_api(symbols: DataFrame) -> DataFrame:
+def public_api(rows: DataFrame) -> DataFrame:
     """All classes, and functions without a leading underscore."""
     kept = (F.col("kind") == "class") | ((F.col("kind") == "function") & ~F.col("name").startswith("_"))
-    return symbols.where(kept).select("name", "kind", F.col("path").alias("location"), "ordinal")
+    return rows.where(kept).select("name", "kind", F.col("path").alias("location"), "ordinal")
 
 
 def dir_tree(corpus: DataFrame) -> DataFrame:
@@ -263,10 +275,11 @@ def dir_tree(corpus: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def report_top_modules(heads: DataFrame, symbols: DataFrame, *, k: int = 30) -> DataFrame:
-    """Longest modules with their class and function counts; counts are read for those only."""
-    best = top_k(heads.select("path", "language", "line_count"), k, F.desc("line_count"), F.asc("path"))
-    counts = symbols.join(F.broadcast(best.select("path")), "path", "left_semi").groupBy("path").agg(
+def report_top_modules(corpus: DataFrame, parser: str, *, k: int = 30) -> DataFrame:
+    """Longest modules with their class and function counts; only those ``k`` files are looked into."""
+    best = top_k(module_heads(corpus, parser).select("path", "language", "line_count"), k, F.desc("line_count"), F.asc("path"))
+    files = corpus.join(F.broadcast(best.select("path")), "path", "left_semi")
+    counts = symbols(files, parser).groupBy("path").agg(
         F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "function").alias("functions"))
     return best.join(counts, "path", "left").fillna(0, ["classes", "functions"])
 

@@ -77,7 +77,7 @@ tok AS (SELECT now AS caller, unnest(regexp_extract_all(text, '\b(\w+)\s*\(', 1)
 SELECT * FROM good UNION ALL SELECT * FROM tok WHERE caller IS NOT NULL AND callee <> caller
   AND callee NOT IN ('if','while','for','switch','return','new','throw','import','from','class','def','function')""")
 def call_edges_python(spark, folder):
-    return op.call_edges_python(code(spark, folder, "python")).drop("pos")
+    return op.call_edges(code(spark, folder, "python"), "python").drop("pos")
 
 
 def _edges(spark, folder):
@@ -122,7 +122,7 @@ walk AS (SELECT entry, file, CAST(0 AS BIGINT) AS depth, [entry] AS trail, false
 SELECT entry, file, depth, array_to_string(trail, '>') AS path, trail[-1] AS callee FROM walk WHERE depth > 0""")
 def entry_flows(spark, folder):
     files = code(spark, folder, "c")
-    roots = op.entry_roots(code_structure.module_heads(files, "c"), code_structure.symbols_c(files))
+    roots = op.entry_roots(files, "c")
     return op.entry_flows(op.call_graph(op.call_edges_c(files)), roots)
 
 

@@ -94,7 +94,7 @@ UNION ALL SELECT c.path, 'class', c.n, min(l.line), '', '' FROM (SELECT path, re
           JOIN l ON l.path = c.path AND contains(l.text, c.n) GROUP BY c.path, c.n
 UNION ALL SELECT path, 'define', regexp_extract(text, '#define (\w+)', 1), NULL, '', '' FROM l WHERE text LIKE '#define%'""")
 def modules_c(spark, folder):
-    return _flat(op.symbols_c(code(spark, folder, "c")))
+    return _flat(op.symbols(code(spark, folder, "c"), "c"))
 
 
 @query("modules_js", C("js") + r"""
@@ -104,7 +104,7 @@ UNION ALL SELECT path, 'function', regexp_extract(text, 'const (\w+)', 1), line,
 UNION ALL SELECT path, 'import', regexp_extract(text, '"([^"]+)"', 1), NULL, '', '' FROM l WHERE text LIKE 'import%' OR text LIKE '%require(%'
 UNION ALL SELECT path, 'class', regexp_extract(text, 'class (\w+)', 1), NULL, '', regexp_extract(text, 'extends (\w+)', 1) FROM l WHERE text LIKE 'class%'""")
 def modules_js(spark, folder):
-    return _flat(op.symbols_js(code(spark, folder, "js")))
+    return _flat(op.symbols(code(spark, folder, "js"), "js"))
 
 
 @query("modules_csharp", C("csharp") + r"""
@@ -114,14 +114,14 @@ SELECT t.path, 'function' AS kind, m.n AS name, (SELECT min(l.line) FROM l WHERE
 UNION ALL SELECT path, 'import', regexp_extract(text, 'using ([\w.]+)', 1), NULL, '', '' FROM l WHERE text LIKE 'using%'
 UNION ALL SELECT path, 'class', regexp_extract(text, 'class (\w+)', 1), NULL, '', '' FROM l WHERE text LIKE 'public%'""")
 def modules_csharp(spark, folder):
-    return _flat(op.symbols_csharp(code(spark, folder, "csharp")))
+    return _flat(op.symbols(code(spark, folder, "csharp"), "csharp"))
 
 
 @query("modules_generic", C("generic") + r"""
 SELECT path, 'function' AS kind, regexp_extract(text, '\b(\w+)\s*\([^)]*\)\s*[{:]', 1) AS name, min(line) AS line, '' AS args, '' AS bases
 FROM l WHERE regexp_matches(text, '\b(\w+)\s*\([^)]*\)\s*[{:]') GROUP BY ALL""")
 def modules_generic(spark, folder):
-    return _flat(op.symbols_generic(code(spark, folder, "generic")))
+    return _flat(op.symbols(code(spark, folder, "generic"), "generic"))
 
 
 PY = C("python") + r"""
@@ -141,7 +141,7 @@ UNION ALL SELECT path, 'function', regexp_extract(text, '\b(\w+)\s*\([^)]*\)\s*[
 
 @query("modules_python", PY + "SELECT * FROM sym")
 def modules_python(spark, folder):
-    return _flat(op.symbols_python(code(spark, folder, "python")))
+    return _flat(op.symbols(code(spark, folder, "python"), "python"))
 
 
 @query("modules", C("c") + r"""
@@ -174,7 +174,7 @@ def entry_points(spark, folder):
 
 @query("public_api", PY + "SELECT name, kind, path AS location FROM sym WHERE kind = 'class' OR (kind = 'function' AND name NOT LIKE '\\_%' ESCAPE '\\')")
 def public_api(spark, folder):
-    return op.public_api(op.symbols_python(code(spark, folder, "python"))).drop("ordinal")
+    return op.public_api(op.symbols(code(spark, folder, "python"), "python")).drop("ordinal")
 
 
 @query("dir_tree", M + """
@@ -190,8 +190,7 @@ SELECT path, 'C/C++' AS language, CAST(length(content) - length(replace(content,
        CAST(1 AS BIGINT) AS classes, CAST(3 + CASE WHEN contains(content, 'main(') THEN 1 ELSE 0 END AS BIGINT) AS functions
 FROM x ORDER BY line_count DESC, path LIMIT 30""")
 def report_top_modules(spark, folder):
-    files = code(spark, folder, "c")
-    return op.report_top_modules(op.module_heads(files, "c"), op.symbols_c(files))
+    return op.report_top_modules(code(spark, folder, "c"), "c")
 
 
 @query("report_pattern_files", M + """
@@ -200,3 +199,11 @@ SELECT pattern, path, CAST(row_number() OVER (PARTITION BY pattern ORDER BY path
 def report_pattern_files(spark, folder):
     files = op.pattern_files(mixed(spark, folder)).select("pattern", "path")
     return op.head_per_group(files, ["pattern"], 3, "path")
+
+
+@query("report_public_api", PY + """
+SELECT name, kind, path AS location FROM sym WHERE kind = 'class' OR (kind = 'function' AND name NOT LIKE '\\_%' ESCAPE '\\')
+ORDER BY path, kind, name LIMIT 40""")
+def report_public_api(spark, folder):
+    rows = op.public_api(op.symbols(code(spark, folder, "python"), "python")).drop("ordinal")
+    return rows.orderBy("location", "kind", "name").limit(40)
