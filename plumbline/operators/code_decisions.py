@@ -1,7 +1,7 @@
 """Decisions written into source code: intent comments, constants, timing, byte data, threading.
 
-Everything a single line can tell comes from one pass over the lines without a shuffle; the
-first-per-file threading tokens and the multi-line byte arrays each add one shuffle of small rows.
+One pass over the lines finds everything, without a shuffle; the first-per-file threading tokens
+and the multi-line byte arrays each add one shuffle of small rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 
 # Patterns of the scanners.
 INTENT = (r"(?iUd)(?://|#|/\*|\*)\s*(TODO|FIXME|HACK|NOTE|WORKAROUND|BUG|OPTIMIZE|REVIEW|XXX|IMPORTANT|WARNING)"
@@ -111,43 +112,45 @@ def smart_card() -> Column:
 LINE_SCANNERS = {"comment": comment, "byteseq": byte_sequence, "constant": constant, "timing": timing, "winscard": smart_card}
 
 
-def _lines(corpus: DataFrame) -> DataFrame:
-    return text.explode_lines(corpus).withColumn("bare", text.strip(F.col("text")))
+def scan_lines(corpus: DataFrame, *scanners: str) -> DataFrame:
+    """One narrow row per line with what the scanners found; unused columns are pruned away."""
+    line = F.col("text")
+    found = F.concat(*[LINE_SCANNERS[s]() for s in (scanners or tuple(LINE_SCANNERS))])
+    lines = text.explode_lines(corpus).withColumn("bare", text.strip(F.col("text")))
+    return lines.select(
+        F.col("path").alias("file"), "line", found.alias("found"),
+        F.nullif(F.lower(F.regexp_extract(line, THREADING, 1)), F.lit("")).alias("token"),
+        F.left("bare", F.lit(120)).alias("snippet"),
+        line.rlike(ARRAY_START).alias("starts"), (line.contains(";") | line.contains("}")).alias("ends"),
+        F.regexp_extract_all(line, F.lit(HEX_BYTE), F.lit(0)).alias("bytes"),
+    )
 
 
 def _shape(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rationale", F.lit(None).cast("string")).select(*COLUMNS)
 
 
-def line_decisions(corpus: DataFrame, *scanners: str) -> DataFrame:
-    """Decisions of the named scanners, all of them by default, in one pass."""
-    found = F.concat(*[LINE_SCANNERS[s]() for s in (scanners or tuple(LINE_SCANNERS))])
-    return _shape(_lines(corpus).select(F.col("path").alias("file"), "line", F.inline(found)))
+def line_decisions(lines: DataFrame) -> DataFrame:
+    """Decisions a single line tells."""
+    return _shape(lines.select("file", "line", F.inline("found")))
 
 
-def threading(corpus: DataFrame) -> DataFrame:
+def threading(lines: DataFrame) -> DataFrame:
     """First line of each concurrency word per file; only the first word of a line counts."""
-    token = F.lower(F.regexp_extract("text", THREADING, 1))
-    hits = _lines(corpus.where(F.col("content").rlike(THREADING))).select(
-        F.col("path").alias("file"), "line", F.left("bare", F.lit(120)).alias("snippet"), token.alias("token")
-    ).where(F.col("token") != "")
-    first = hits.groupBy("file", "token").agg(F.min(F.struct("line", "snippet")).alias("f"))
+    first = lines.where(F.col("token").isNotNull()).groupBy("file", "token").agg(F.min(F.struct("line", "snippet")).alias("f"))
     return _shape(first.select(
         F.lit("threading").alias("kind"), F.concat(F.lit("Concurrency/threading: "), F.col("token")).alias("description"),
         "file", "f.line", "f.snippet"))
 
 
-def byte_arrays(corpus: DataFrame) -> DataFrame:
+def byte_arrays(lines: DataFrame) -> DataFrame:
     """Arrays of at least four byte literals from their declaration to the first ``;`` or ``}``.
 
     A new declaration before the end starts over. Lines are grouped by a running count of
     declarations; only line numbers and byte literals are shuffled.
     """
-    lines = text.explode_lines(corpus.where(F.col("content").rlike(ARRAY_START))).select(
-        F.col("path").alias("file"), "line", F.col("text").rlike(ARRAY_START).alias("starts"),
-        (F.col("text").contains(";") | F.col("text").contains("}")).alias("ends"),
-        F.regexp_extract_all("text", F.lit(HEX_BYTE), F.lit(0)).alias("bytes"),
-    ).where(F.col("starts") | F.col("ends") | (F.size("bytes") > 0))
+    lines = lines.select("file", "line", "starts", "ends", "bytes").where(
+        F.col("starts") | F.col("ends") | (F.size("bytes") > 0))
     above = Window.partitionBy("file").orderBy("line")
     grouped = lines.withColumn("array_id", F.count_if("starts").over(above)).where(F.col("array_id") > 0)
     ended_before = F.count_if("ends").over(
@@ -166,7 +169,11 @@ def byte_arrays(corpus: DataFrame) -> DataFrame:
 
 
 def decisions(corpus: DataFrame) -> DataFrame:
-    return line_decisions(corpus).unionByName(threading(corpus)).unionByName(byte_arrays(corpus))
+    """All decisions. The lines that tell anything are kept once, so the content is read once."""
+    lines = scan_lines(corpus)
+    telling = (F.size("found") > 0) | F.col("token").isNotNull() | F.col("starts") | F.col("ends") | (F.size("bytes") > 0)
+    kept = cut_lineage(lines.where(telling).withColumn("snippet", F.when(F.col("token").isNotNull(), F.col("snippet"))))
+    return line_decisions(kept).unionByName(threading(kept)).unionByName(byte_arrays(kept))
 
 
 def critical(rows: DataFrame) -> DataFrame:

@@ -128,7 +128,8 @@ def lsh_candidates(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
     paired up, so a bucket of n files costs n rows.
     """
     bands, rows = sketch.banding(threshold, num_perm)
-    member = signatures.select("path", F.inline(_band_keys(bands, rows)))
+    # Kept once: sizes and members both read it, and signatures are dear to compute.
+    member = cut_lineage(signatures.select("path", F.inline(_band_keys(bands, rows))))
     sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
     return member.join(sizes, ["band", "bucket"])
 

@@ -32,18 +32,45 @@ def _all(content: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
 
 
-def exec_deps(corpus: DataFrame) -> DataFrame:
+def crud(content: Column) -> Column:
+    return F.concat(*[F.when(content.rlike(p), letter).otherwise("") for letter, p in CRUD])
+
+
+def complexity(content: Column) -> Column:
+    return F.regexp_count(content, F.lit(BRANCH_WORD)).cast("bigint")
+
+
+def proc_name(path: Column, content: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(content, CREATE_PROC, 1), F.lit("")), text.stem(path))
+
+
+def analyse(corpus: DataFrame) -> DataFrame:
+    """One narrow row per file with everything the operators below need, from one read.
+
+    Columns an operator does not use are pruned away. Keep the result (as a table or with
+    ``cut_lineage``) when several operators follow, so that the content is read only once.
+    """
+    path, content = F.col("path"), F.col("content")
+    return corpus.select(
+        "path", text.line_total(content).alias("line_count"), proc_name(path, content).alias("proc_name"),
+        crud(content).alias("crud_operations"), complexity(content).alias("complexity_score"),
+        F.sha2(F.encode(content, "UTF-8"), 256).alias("hash"),
+        _all(content, EXEC_CALL, 1).alias("calls"), _all(content, TABLE_USE, 0).alias("uses"),
+    )
+
+
+def exec_deps(index: DataFrame) -> DataFrame:
     """Called procedures, duplicates kept."""
-    found = corpus.select(F.col("path").alias("caller_path"), F.explode(_all(F.col("content"), EXEC_CALL, 1)).alias("dependency_name"))
+    found = index.select(F.col("path").alias("caller_path"), F.explode("calls").alias("dependency_name"))
     return found.select(
         "caller_path", "dependency_name", F.lit("PROCEDURE").alias("dependency_type"),
         F.concat(F.lit("EXEC "), F.col("dependency_name")).alias("raw_line"), F.lit(None).cast("string").alias("direction"),
     )
 
 
-def table_deps(corpus: DataFrame) -> DataFrame:
+def table_deps(index: DataFrame) -> DataFrame:
     """Tables and views used, duplicates kept, with the direction the keyword implies."""
-    uses = corpus.select(F.col("path").alias("caller_path"), F.explode(_all(F.col("content"), TABLE_USE, 0)).alias("use"))
+    uses = index.select(F.col("path").alias("caller_path"), F.explode("uses").alias("use"))
     found = uses.select(
         "caller_path", F.regexp_extract("use", TABLE_USE, 1).alias("keyword"),
         F.regexp_extract("use", TABLE_USE, 2).alias("dependency_name"),
@@ -56,28 +83,12 @@ def table_deps(corpus: DataFrame) -> DataFrame:
     )
 
 
-def dependencies(corpus: DataFrame) -> DataFrame:
-    return exec_deps(corpus).unionByName(table_deps(corpus))
-
-
-def crud(content: Column) -> Column:
-    return F.concat(*[F.when(content.rlike(p), letter).otherwise("") for letter, p in CRUD])
-
-
-def complexity(content: Column) -> Column:
-    return F.regexp_count(content, F.lit(BRANCH_WORD)).cast("bigint")
+def dependencies(index: DataFrame) -> DataFrame:
+    return exec_deps(index).unionByName(table_deps(index))
 
 
-def proc_name(path: Column, content: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(content, CREATE_PROC, 1), F.lit("")), text.stem(path))
-
-
-def metrics(corpus: DataFrame) -> DataFrame:
-    path, content = F.col("path"), F.col("content")
-    return corpus.select(
-        "path", text.line_total(content).alias("line_count"), proc_name(path, content).alias("proc_name"),
-        crud(content).alias("crud_operations"), complexity(content).alias("complexity_score"),
-    )
+def metrics(index: DataFrame) -> DataFrame:
+    return index.select("path", "line_count", "proc_name", "crud_operations", "complexity_score")
 
 
 def sql_files(corpus: DataFrame) -> DataFrame:

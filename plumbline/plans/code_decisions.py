@@ -54,7 +54,7 @@ def _files(spark, folder):
 
 def _scanner(name: str):
     def build(spark, folder):
-        return op.line_decisions(_files(spark, folder), name)
+        return op.line_decisions(op.scan_lines(_files(spark, folder), name))
 
     build.__name__ = f"decisions_{name}"
     return build
@@ -66,12 +66,12 @@ for _name in op.LINE_SCANNERS:
 
 @query("decisions_threading", D + "SELECT *, NULL::VARCHAR AS rationale FROM d_threading")
 def decisions_threading(spark, folder):
-    return op.threading(_files(spark, folder))
+    return op.threading(op.scan_lines(_files(spark, folder)))
 
 
 @query("decisions_byte_array", D + "SELECT *, NULL::VARCHAR AS rationale FROM d_byte_array")
 def decisions_byte_array(spark, folder):
-    return op.byte_arrays(_files(spark, folder))
+    return op.byte_arrays(op.scan_lines(_files(spark, folder)))
 
 
 @query("decisions", D + "SELECT * FROM d")

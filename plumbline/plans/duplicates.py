@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import duplicates as op
+from ..session import cut_lineage
 from ..sources.bindings import document_files, table
 from .registry import query
 
@@ -19,6 +20,11 @@ NORMAL = FILES + r"""
 """
 
 
+def _index(spark, folder):
+    """The file index, kept as a narrow table: the texts are read and hashed once."""
+    return cut_lineage(op.file_fingerprint(document_files(spark, folder), project_root="documents"))
+
+
 @query("file_fingerprint", FILES + """
 SELECT path, string_split(path, '/')[-1] AS filename, '.' || string_split(path, '.')[-1] AS extension,
        CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS hash, 'documents' AS project_root FROM f""")
@@ -37,7 +43,7 @@ def normalize_code(spark, folder):
 , h AS (SELECT path, sha256(content) AS hash FROM f)
 SELECT hash, count(*) OVER (PARTITION BY hash) AS copies, path FROM h QUALIFY copies > 1""")
 def exact_duplicates(spark, folder):
-    return op.exact_duplicates(op.file_fingerprint(document_files(spark, folder), project_root="documents"))
+    return op.exact_duplicates(_index(spark, folder))
 
 
 @query("duplicate_groups", FILES + """
@@ -58,7 +64,7 @@ def shingle(spark, folder):
 g AS (SELECT hash, count(*) - 1 AS clones FROM h GROUP BY hash HAVING count(*) > 1 AND bool_or(proc_name ILIKE '%OC_1%'))
 SELECT hash, path, proc_name ILIKE '%OC_1%' AS matched, clones FROM h JOIN g USING (hash)""")
 def clones_of(spark, folder):
-    files = op.file_fingerprint(document_files(spark, folder), project_root="documents")
+    files = _index(spark, folder)
     number = F.regexp_extract("path", r"/(\d+)", 1)
     procedures = files.select("path", F.concat(F.lit("proc_"), number).alias("proc_name"))
     return op.clones_of(procedures, files, "OC_1")

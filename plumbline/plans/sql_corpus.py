@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import duplicates
 from ..operators import sql_corpus as op
+from ..session import cut_lineage
 from ..sources.bindings import spread, table
 from .registry import query
 
@@ -41,6 +41,15 @@ def corpus(spark, folder):
     return part.selectExpr(PATH, CONTENT)
 
 
+def analysed(spark, folder):
+    return op.analyse(corpus(spark, folder))
+
+
+def indexed(spark, folder):
+    """The analysed files, kept for queries that use them more than once."""
+    return cut_lineage(analysed(spark, folder))
+
+
 X = f"WITH x AS (SELECT {PATH}, {CONTENT} FROM part), " + r"""
 ex AS (SELECT path AS caller_path, unnest(regexp_extract_all(content, '(?i)EXEC(?:UTE)?\s+([\w.\[\]]+)', 1)) AS dependency_name FROM x),
 tk AS (SELECT path AS caller_path, unnest(regexp_extract_all(content, '(?i)(?:FROM|JOIN|UPDATE|INTO)\s+[\w.\[\]]+')) AS use FROM x),
@@ -60,18 +69,18 @@ m AS (SELECT path, CAST(len(string_split(replace(rtrim(content, chr(10)), chr(13
 
 @query("sql_exec_deps", X + "SELECT caller_path, dependency_name, 'PROCEDURE' AS dependency_type, 'EXEC ' || dependency_name AS raw_line FROM ex")
 def sql_exec_deps(spark, folder):
-    return op.exec_deps(corpus(spark, folder)).drop("direction")
+    return op.exec_deps(analysed(spark, folder)).drop("direction")
 
 
 @query("sql_table_deps", X + """
 SELECT caller_path, dependency_name, 'TABLE/VIEW' AS dependency_type, 'REF ' || dependency_name AS raw_line, direction FROM td""")
 def sql_table_deps(spark, folder):
-    return op.table_deps(corpus(spark, folder))
+    return op.table_deps(analysed(spark, folder))
 
 
 for _name, _column in (("sql_crud", "crud_operations"), ("sql_complexity", "complexity_score"), ("sql_proc_name", "proc_name")):
     def _build(spark, folder, _column=_column):
-        return op.metrics(corpus(spark, folder)).select("path", _column)
+        return op.metrics(analysed(spark, folder)).select("path", _column)
 
     _build.__name__ = _name
     query(_name, X + f"SELECT path, {_column} FROM m")(_build)
@@ -79,7 +88,7 @@ for _name, _column in (("sql_crud", "crud_operations"), ("sql_complexity", "comp
 
 @query("sql_metrics", X + "SELECT * FROM m")
 def sql_metrics(spark, folder):
-    return op.metrics(corpus(spark, folder))
+    return op.metrics(analysed(spark, folder))
 
 
 LOGIC = X + r"""
@@ -122,7 +131,7 @@ SELECT path, complexity_score, line_count FROM m
 WHERE path NOT IN (SELECT DISTINCT caller_path FROM ex) AND path ILIKE '%procedures%' AND line_count <= 13
 ORDER BY complexity_score DESC, path LIMIT 10""")
 def sql_leaves(spark, folder):
-    files = corpus(spark, folder)
+    files = indexed(spark, folder)
     return op.leaves(op.metrics(files), op.exec_deps(files), limit=10, max_lines=13)
 
 
@@ -130,15 +139,15 @@ def sql_leaves(spark, folder):
 SELECT caller_path, count(DISTINCT dependency_name) AS call_count FROM ex GROUP BY caller_path
 ORDER BY call_count DESC, caller_path LIMIT 10""")
 def sql_roots(spark, folder):
-    return op.roots(op.exec_deps(corpus(spark, folder)))
+    return op.roots(op.exec_deps(analysed(spark, folder)))
 
 
 @query("sql_trace", X + """
 SELECT proc_name, m.path, line_count, crud_operations, complexity_score, sha256(content) AS hash
 FROM m JOIN x ON x.path = m.path WHERE proc_name ILIKE '%P_1_7%'""")
 def sql_trace(spark, folder):
-    files = corpus(spark, folder)
-    return op.trace(op.metrics(files), duplicates.file_fingerprint(files, project_root="part"), "P_1_7")
+    files = indexed(spark, folder)
+    return op.trace(op.metrics(files), files.select("path", "hash"), "P_1_7")
 
 
 LINEAGE = X + """
@@ -158,7 +167,7 @@ o AS (SELECT DISTINCT proc, dataset FROM u WHERE direction = 'OUTPUT'
 oa AS (SELECT proc, string_agg(dataset, ',' ORDER BY dataset) AS outputs FROM o GROUP BY proc)
 SELECT proc, coalesce(inputs, '') AS inputs, outputs FROM procs LEFT JOIN ia USING (proc) LEFT JOIN oa USING (proc)""")
 def sql_lineage(spark, folder):
-    files = corpus(spark, folder)
+    files = indexed(spark, folder)
     rows = op.lineage(op.metrics(files), op.table_deps(files))
     return rows.select("proc", F.array_join("inputs", ",").alias("inputs"), F.array_join("outputs", ",").alias("outputs"))
 
@@ -166,13 +175,13 @@ def sql_lineage(spark, folder):
 @query("lineage_catalog", LINEAGE + """
 SELECT DISTINCT dataset, 'pandas.CSVDataset' AS type, 'data/01_raw/' || dataset || '.csv' AS filepath FROM u""")
 def lineage_catalog(spark, folder):
-    return op.lineage_catalog(op.table_deps(corpus(spark, folder)))
+    return op.lineage_catalog(op.table_deps(analysed(spark, folder)))
 
 
 @query("lineage_graph", LINEAGE + """
 SELECT proc AS source, dataset AS target, 'writes' AS kind FROM o UNION ALL SELECT dataset, proc, 'feeds' FROM i""")
 def lineage_graph(spark, folder):
-    files = corpus(spark, folder)
+    files = indexed(spark, folder)
     return op.lineage_graph(op.lineage(op.metrics(files), op.table_deps(files)))
 
 
@@ -180,7 +189,7 @@ def lineage_graph(spark, folder):
 SELECT dataset, count(DISTINCT o.proc) AS writers, count(DISTINCT i.proc) AS readers,
        count(DISTINCT o.proc) * count(DISTINCT i.proc) AS links FROM o JOIN i USING (dataset) GROUP BY dataset""")
 def lineage_links(spark, folder):
-    files = corpus(spark, folder)
+    files = indexed(spark, folder)
     return op.lineage_links(op.lineage_graph(op.lineage(op.metrics(files), op.table_deps(files))))
 
 
