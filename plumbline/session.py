@@ -27,7 +27,13 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", **RUNTIME_CONF, **conf}
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        # Checkpoint files go once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        **RUNTIME_CONF,
+        **conf,
+    }
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
