@@ -240,10 +240,9 @@ def modules(corpus: DataFrame, parser: str) -> DataFrame:
     heads = ("language", "is_entry_point", "line_count")
     headed = module_heads(corpus, parser, "content")
     files = describe_files(headed, KNOWN_FUNCTIONS, keep=heads) if parser == "python" else headed
-    found = files.select("path", *heads, F.lit(parser == "c").alias("c_like"), F.inline_outer(ARRAYS[parser]()))
-    # A file without symbols keeps one empty row.
-    found = found.withColumn("kind", F.coalesce("kind", F.lit("none"))).withColumn("hit", F.when(
-        F.col("kind") == "none", "").otherwise(F.col("hit"))).fillna({"before": 0})
+    # One more element per file keeps the files without symbols.
+    nothing = F.array(_symbol("none", F.lit(0), name=F.lit(None)))
+    found = files.select("path", *heads, F.lit(parser == "c").alias("c_like"), F.inline(F.concat(ARRAYS[parser](), nothing)))
     rows = _finish(found, heads)
     entry = F.struct("ordinal", "name", "line", "args", "bases")
 

@@ -29,12 +29,10 @@ def normalise_code(content: Column) -> Column:
 def shingles(content: Column) -> Column:
     """Distinct 5-character shingles of the normalised text; a text of up to 5 is one shingle."""
     text = normalise_code(content)
-    # No limit on split: the pieces are the characters, with one empty piece at the end.
     chars = F.split(text, "")
 
     def pieces(c: Column) -> Column:
-        count = F.size(c) - 1
-        starts = F.sequence(F.lit(1), F.greatest(count - 4, F.lit(1)))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - 4, F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice(c, i, 5), ""))
 
     return F.array_distinct(let(chars, pieces))

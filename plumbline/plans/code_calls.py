@@ -171,11 +171,14 @@ def api_summary(spark, folder):
     return op.api_summary(_calls(spark, folder))
 
 
-@query("api_unknown", EDGES_C + f"""
-SELECT caller, callee, line, location FROM e WHERE callee NOT IN (SELECT function FROM (VALUES {GROUPS}) AS t(function, grp))
+CS_EDGES = _line_check("csharp", CS_DEF, f"regexp_extract(text, '{CS_DEF}', 1)")
+
+
+@query("api_unknown", f"""
+SELECT * FROM ({CS_EDGES}) WHERE callee NOT IN (SELECT function FROM (VALUES {GROUPS}) AS t(function, grp))
   AND ((length(callee) > 3 AND regexp_matches(callee, '^[A-Z][a-z]')) OR regexp_matches(callee, '^(nfc_|hid_|usb_|scard|win32|ctypes)'))""")
 def api_unknown(spark, folder):
-    return op.api_unknown(_edges(spark, folder)).drop("pos")
+    return op.api_unknown(op.call_edges_line(code(spark, folder, "csharp"), "csharp")).drop("pos")
 
 
 @query("report_api_calls", API + """

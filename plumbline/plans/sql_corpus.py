@@ -27,8 +27,8 @@ CONTENT = """concat('-- ', p_name, chr(10),
   CASE WHEN p_partkey % 10 <> 9 THEN concat('  INSERT INTO [stage].[t_', p_size, ']', chr(10)) ELSE '' END,
   '  SELECT a.x, CASE WHEN b.y > ', p_size, ' THEN 1 ELSE 2 END', chr(10),
   '  FROM [raw].[s_', p_partkey % 40, '] a', chr(10),
-  '  INNER JOIN dim.d_', p_partkey % 30, ' b ON a.id = b.id', chr(10),
-  CASE WHEN p_partkey % 3 <> 1 THEN concat('  LEFT JOIN dim.e_', p_partkey % 25, ' c ON b.k = c.k AND c.v = 5', chr(10)) ELSE '' END,
+  '  INNER JOIN dim.d_', p_partkey % 30, CASE WHEN p_partkey % 14 = 5 THEN ' b' ELSE '' END, ' ON a.id = b.id', chr(10),
+  CASE WHEN p_partkey % 3 <> 1 THEN concat('  LEFT JOIN dim.e_', p_partkey % 25, ' ON b.k = c.k AND c.v = 5', chr(10)) ELSE '' END,
   CASE WHEN p_partkey % 11 <> 0 THEN concat('  WHERE a.v > ', p_size, ' AND b.w = 2 or c.z IS NULL', chr(10)) ELSE '' END,
   CASE WHEN p_partkey % 5 = 2 THEN concat('  GROUP BY a.x', chr(10)) ELSE '' END,
   CASE WHEN p_partkey % 3 = 0 THEN concat('  UPDATE t_', p_partkey % 50, ' SET z = 1;', chr(10)) ELSE '' END,
