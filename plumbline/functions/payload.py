@@ -4,11 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MONEY, PAYLOAD
+from .text import once
 
 
 def with_payload(events: DataFrame, name: str = "p") -> DataFrame:
-    """Parse ``payload`` once per row; Catalyst prunes the fields a plan does not use."""
-    return events.withColumn(name, F.from_json("payload", PAYLOAD))
+    """Adds the parsed ``payload`` as a struct."""
+    return once(events, name, F.from_json("payload", PAYLOAD))
 
 
 def money(text: Column) -> Column:

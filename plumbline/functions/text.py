@@ -16,6 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that several later expressions and filters use.
+
+    As a plain projection it would be copied into each of them and computed again; the generator
+    keeps it in its place.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.groups import members_of_repeated_groups
-from ..functions.text import line_array, strip
+from ..functions.text import line_array, once, strip
 
 
 def _object_keys(document: Column, field: str) -> tuple[Column, Column]:
@@ -52,7 +52,7 @@ def dependencies(manifests: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "npm", npm(content)).when(F.col("kind") == "pip", pip(content))
         .when(F.col("kind") == "maven", maven(content)).when(F.col("kind") == "nuget", nuget(content))
     )
-    rows = manifests.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn("deps", deps)
+    rows = once(manifests.withColumn("kind", kind).where(F.col("kind").isNotNull()), "deps", deps)
     return rows.where(F.size("deps") > 0).select("root", "filename", "kind", "deps")
 
 

@@ -6,13 +6,14 @@ all instants; nothing here looks at the clock.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.payload import money, unknown_if_blank, with_payload
-from ..functions.ranking import top_k
+from ..functions.ranking import top_k, top_k_per_group
 from ..vocab import EVENT_TYPES, SUMMARY_COUNTERS
 
 PAGE_LIMIT_MAX = 1000
@@ -29,8 +30,6 @@ def page_bounds(limit: int = 100, offset: int = 0) -> tuple[int, int]:
 
 def default_window(now: datetime, start: datetime | None = None, end: datetime | None = None):
     """Missing bounds become the 30 days up to ``now``."""
-    from datetime import timedelta
-
     return start or now - timedelta(days=30), end or now
 
 
@@ -152,20 +151,26 @@ def total_cost(events: DataFrame, *, k: int = TOP_LIST) -> DataFrame:
 
 
 def _facets(events: DataFrame) -> DataFrame:
-    """Counts by type, by skill and by model from one scan, through grouping sets."""
-    typed = with_payload(events).where(F.col("event_type").isin(*EVENT_TYPES)).select(
+    """Counts by type, by skill and by model from one scan, through grouping sets.
+
+    Events are combined per (type, skill, model) first, so only those groups are tripled.
+    """
+    skill_only = F.col("event_type") == "skill.invoked"
+    typed = with_payload(events.where(F.col("event_type").isin(*EVENT_TYPES))).select(
         "event_type",
-        F.when(F.col("event_type") == "skill.invoked", F.col("p.skill_name")).alias("skill"),
-        F.when(F.col("event_type") == "skill.invoked", F.col("p.model")).alias("model"),
-        F.when(F.col("event_type") == "skill.invoked", money(F.col("p.estimated_cost_usd"))).alias("cost"),
+        F.when(skill_only, F.col("p.skill_name")).alias("skill"),
+        F.when(skill_only, F.col("p.model")).alias("model"),
+        F.when(skill_only, money(F.col("p.estimated_cost_usd"))).alias("cost"),
         F.when(F.col("event_type") == "ci.run", _passed()).alias("passed"),
     )
+    groups = typed.groupBy("event_type", "skill", "model").agg(
+        F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.sum("cost").alias("cost"))
     sets = [[F.col("event_type")], [F.col("event_type"), F.col("skill")], [F.col("event_type"), F.col("model")]]
-    facets = typed.groupingSets(sets, F.col("event_type"), F.col("skill"), F.col("model")).agg(
+    facets = groups.groupingSets(sets, F.col("event_type"), F.col("skill"), F.col("model")).agg(
         F.grouping("skill").alias("no_skill"),
         F.grouping("model").alias("no_model"),
-        F.count("*").alias("n"),
-        F.count_if(F.col("passed")).alias("n_passed"),
+        F.sum("n").alias("n"),
+        F.sum("n_passed").alias("n_passed"),
         F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"),
     )
     kind = (
@@ -188,11 +193,9 @@ def summary(
 ) -> DataFrame:
     """The whole report as one nested row: counters, CI result, top lists, cost.
 
-    One scan and one shuffle of grouped counts; only the ``k`` best rows of each list reach the
+    One scan; the shuffles move grouped counts only, and only the ``k`` best rows of each list reach the
     final aggregate, so the collected arrays stay bounded.
     """
-    from ..functions.ranking import top_k_per_group
-
     facets = _facets(events_filter(events, project_slug=project_slug, start=start, end=end))
     # The type facet has at most one row per known type, so k never cuts it.
     keep = max(k, len(EVENT_TYPES))
@@ -236,8 +239,6 @@ def summary_top_skills(report: DataFrame, *, k: int = 5) -> DataFrame:
 
 def summary_flatten(report: DataFrame) -> DataFrame:
     """(metric, value) rows; nested keys joined with a dot, lists left out."""
-    from pyspark.sql import types as T
-
     pairs = []
     for field in report.schema.fields:
         if isinstance(field.dataType, T.StructType):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import duplicates as op
 from ..session import cut_lineage
 from ..sources.bindings import document_files, table
+from ..sources.corpus import with_extension
 from .registry import query
 
 FILES = """
@@ -32,6 +33,12 @@ def file_fingerprint(spark, folder):
     return op.file_fingerprint(document_files(spark, folder), project_root="documents")
 
 
+@query("corpus_ext_filter", FILES + """
+SELECT path FROM f WHERE regexp_matches(path, '\\.(py|js|ts|java|cs|cpp|c|go|rb|php|rs)$')""")
+def corpus_ext_filter(spark, folder):
+    return with_extension(document_files(spark, folder)).select("path")
+
+
 @query("normalize_code", NORMAL + "SELECT path, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS hash FROM n")
 def normalize_code(spark, folder):
     text = op.normalise_code(F.col("content"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import once
 from ..operators.telemetry import daily_rollup, events_projection
 from ..schemas import DAILY_ROLLUP, EVENTS, WIRE_EVENT
 from ..vocab import EVENT_TYPES
@@ -30,7 +31,7 @@ def validate(raw: DataFrame) -> DataFrame:
 
     Nothing raises: faulty rows are labelled. Field checks come before the vocabulary check.
     """
-    parsed = raw.withColumn("e", F.from_json("value", WIRE_EVENT))
+    parsed = once(raw, "e", F.from_json("value", WIRE_EVENT))
     stamp = F.col("e.timestamp").try_cast("timestamp")
     nothing = F.coalesce(*[F.col(f"e.{name}") for name in WIRE_EVENT.names]).isNull()
     missing = F.greatest(*[F.col(f"e.{name}").isNull() for name in REQUIRED])
