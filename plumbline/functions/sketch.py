@@ -11,55 +11,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WIDTH = 5
-# Code points mixed at a time; keeps the (permutations x shingles) block in the CPU cache.
-BLOCK = 2048
+# Arithmetic is modulo the Mersenne prime 2^31 - 1, so every product fits 64 bits.
+PRIME = np.uint64(2**31 - 1)
+BASE = np.uint64(1_000_003)
 # Pads texts shorter than one shingle; larger than any code point.
-PAD = np.uint64(0x110000)
+PAD = 0x110000
+# Shingles permuted at a time; keeps the (permutations x shingles) block in the CPU cache.
+BLOCK = 512
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Avalanche step of SplitMix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME for x below PRIME squared, by folding the high bits."""
+    folded = (x & PRIME) + (x >> np.uint64(31))
+    return np.minimum(folded, folded - PRIME)  # the difference wraps to a large value below PRIME
 
 
 def shingle_hashes(text: str) -> np.ndarray:
-    """64-bit hash of every 5-character shingle in order; a shorter text is one shingle by itself."""
+    """31-bit hash of every 5-character shingle in order; a shorter text is one shingle by itself.
+
+    A polynomial in the code points, then the fifth power, a bijection modulo this prime that
+    breaks up the runs of neighbouring values a polynomial gives.
+    """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     if len(points) < WIDTH:
         points = np.concatenate([points, np.full(WIDTH - len(points), PAD, dtype=np.uint64)])
     count = len(points) - WIDTH + 1
     state = np.zeros(count, dtype=np.uint64)
     for i in range(WIDTH):
-        state = _mix(state * np.uint64(0x9E3779B97F4A7C15) + points[i : i + count] + np.uint64(1))
-    return state
+        state = _reduce(state * BASE + points[i : i + count] + np.uint64(1))
+    square = _reduce(state * state)
+    return _reduce(_reduce(square * square) * state)
 
 
 def permutations(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of the hash family, the same in every task and run."""
-    index = np.arange(2 * count, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
-    values = _mix(index + np.uint64(1))
-    return values[:count] | np.uint64(1), values[count:]
+    """Multipliers and offsets of the hash family: successive values of the MINSTD generator."""
+    values, state = [], seed
+    for _ in range(2 * count):
+        state = state * 48271 % (2**31 - 1)
+        values.append(state)
+    table = np.array(values, dtype=np.uint64)
+    return table[::2].copy(), table[1::2].copy()
 
 
 def signature(hashes: np.ndarray, multipliers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Minimum of each permuted hash over all shingles, block by block, so memory stays flat."""
-    best = np.full(len(multipliers), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(hashes), BLOCK):
-        block = hashes[start : start + BLOCK]
-        permuted = multipliers[:, None] * block[None, :] + offsets[:, None]
+    distinct = np.unique(hashes)
+    best = np.full(len(multipliers), PRIME, dtype=np.uint64)
+    for start in range(0, len(distinct), BLOCK):
+        permuted = _reduce(multipliers[:, None] * distinct[None, start : start + BLOCK] + offsets[:, None])
         np.minimum(best, permuted.min(axis=1), out=best)
     return best
 
 
 def jaccard(left: str, right: str) -> float:
-    """Exact Jaccard similarity of two shingle sets."""
-    a, b = np.unique(shingle_hashes(left)), np.unique(shingle_hashes(right))
+    """Jaccard similarity of two shingle sets by their text, not by their hashes."""
+    a, b = _shingle_rows(left), _shingle_rows(right)
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
+def _shingle_rows(text: str) -> np.ndarray:
+    """The distinct shingles as fixed-width byte strings."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if len(points) < WIDTH:
+        points = np.concatenate([points, np.full(WIDTH - len(points), PAD, dtype="<u4")])
+    windows = np.lib.stride_tricks.sliding_window_view(points, WIDTH)
+    return np.unique(np.ascontiguousarray(windows).view(f"V{4 * WIDTH}").ravel())
+
+
 def with_signature(df: DataFrame, text: str, *, num_perm: int = 128, seed: int = 1) -> DataFrame:
     """Replaces the ``text`` column by ``signature``, an array of ``num_perm`` bigints."""
     keep = [f for f in df.schema.fields if f.name != text]

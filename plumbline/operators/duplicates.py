@@ -100,9 +100,14 @@ def clones_of(procedures: DataFrame, files: DataFrame, term: str) -> DataFrame:
     return marked.join(wanted, "hash").select("hash", "path", "matched", "clones")
 
 
+def _digest(values: Column) -> Column:
+    """128-bit key of some signature values; 64 bits would collide at tens of billions of files."""
+    return F.md5(F.array_join(values.cast("array<string>"), ","))
+
+
 def _band_keys(bands: int, rows: int) -> Column:
     return F.array(*[
-        F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("signature", b * rows + 1, rows)).alias("bucket"))
+        F.struct(F.lit(b).alias("band"), _digest(F.slice("signature", b * rows + 1, rows)).alias("bucket"))
         for b in range(bands)
     ])
 
@@ -114,7 +119,7 @@ def _representatives(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     keeps copied files out of the buckets.
     """
     # Kept once in the shared folder: both results and every later round start from it.
-    keyed = cut_lineage(signatures.select("path", "signature", F.xxhash64("signature").alias("sig")))
+    keyed = cut_lineage(signatures.select("path", "signature", _digest(F.col("signature")).alias("sig")))
     reps = keyed.groupBy("sig").agg(F.min("path").alias("rep"), F.min_by("signature", "path").alias("signature"))
     return reps, keyed.select("sig", "path")
 
@@ -147,7 +152,7 @@ def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
     buckets = reps.select("rep", "sig", F.inline(_band_keys(bands, rows)))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     graph = cut_lineage(buckets.join(shared, ["band", "bucket"]).select(
-        F.xxhash64("band", "bucket").alias("bucket"), "rep", "sig"
+        F.concat_ws(":", "band", "bucket").alias("bucket"), "rep", "sig"
     ))
     open_rows, seed_parts = graph, []
     while not open_rows.isEmpty():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sketch
 from ..operators import duplicates as op
 from ..session import cut_lineage
 from ..sources.bindings import document_files, table
@@ -59,13 +60,6 @@ def duplicate_groups(spark, folder):
     return op.duplicate_groups(op.file_fingerprint(document_files(spark, folder), project_root="documents"))
 
 
-@query("shingle", NORMAL + """
-SELECT path, CAST(len(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substring(t, i, 5)))) AS BIGINT)
-       AS shingles FROM n""")
-def shingle(spark, folder):
-    return document_files(spark, folder).select("path", F.size(op.shingles(F.col("content"))).cast("bigint").alias("shingles"))
-
-
 @query("clones_of", FILES + """
 , h AS (SELECT path, sha256(content) AS hash, 'proc_' || doc_id AS proc_name FROM f),
 g AS (SELECT hash, count(*) - 1 AS clones FROM h GROUP BY hash HAVING count(*) > 1 AND bool_or(proc_name ILIKE '%OC_1%'))
@@ -90,37 +84,89 @@ def index_upsert(spark, folder):
     return op.index_upsert(turns.where("batch = 1"), turns.where("batch = 2"))
 
 
+P = int(sketch.PRIME)
+A, B = (values.tolist() for values in sketch.permutations(128, 1))
+BANDS, ROWS = sketch.banding(0.9)
+FOLD = "c0"
+for _i in range(1, sketch.WIDTH):
+    FOLD = f"(({FOLD}) * {int(sketch.BASE)} + c{_i}) % {P}"
+_MINIMA = ", ".join(f"min((x * {m} + {o}) % {P})" for m, o in zip(A, B))
+
+# The same sketch in SQL: characters by position, shingles as a polynomial, its fifth power, 128 minima.
+SIGNED = NORMAL + f"""
+, chars AS (SELECT path, list_resize(CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, ''), lambda c: CAST(unicode(c) + 1 AS BIGINT)) END,
+                   greatest(length(t), {sketch.WIDTH}), CAST({sketch.PAD + 1} AS BIGINT)) AS l FROM n),
+pos AS (SELECT path, unnest(l) AS c0, unnest(range(1, len(l) + 1)) AS i FROM chars),
+five AS (SELECT path, c0, {", ".join(f"lead(c0, {k}) OVER w AS c{k}" for k in range(1, sketch.WIDTH))} FROM pos WINDOW w AS (PARTITION BY path ORDER BY i)),
+poly AS (SELECT DISTINCT path, {FOLD} AS h FROM five WHERE c{sketch.WIDTH - 1} IS NOT NULL),
+sq AS (SELECT path, h, h * h % {P} AS h2 FROM poly),
+mixed AS (SELECT path, (h2 * h2 % {P}) * h % {P} AS x FROM sq),
+signed AS (SELECT path, [{_MINIMA}] AS sig FROM mixed GROUP BY path)
+"""
+BUCKETS = SIGNED + f"""
+, bk AS (SELECT path, CAST(u.b AS INTEGER) AS band, u.k AS bucket FROM (
+           SELECT path, unnest([{", ".join(f"{{'b': {b}, 'k': md5(array_to_string(sig[{b * ROWS + 1}:{(b + 1) * ROWS}], ','))}}" for b in range(BANDS))}]) AS u FROM signed)),
+sized AS (SELECT band, bucket, path, count(*) OVER (PARTITION BY band, bucket) AS members FROM bk QUALIFY members > 1)
+"""
+# The greedy walk itself: one step per candidate in path order, carrying the seeds so far.
+CLUSTERS = BUCKETS.replace("WITH f", "WITH RECURSIVE f", 1) + """
+, near AS MATERIALIZED (SELECT DISTINCT a.path, b.path AS other FROM sized a JOIN sized b USING (band, bucket)),
+todo AS MATERIALIZED (SELECT path, row_number() OVER (ORDER BY path) AS i, list(other) FILTER (WHERE other < path) AS earlier FROM near GROUP BY path),
+walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seeds
+         UNION ALL SELECT todo.i, CASE WHEN list_has_any(coalesce(earlier, []), seeds) THEN seeds ELSE list_append(seeds, path) END
+         FROM walk JOIN todo ON todo.i = walk.i + 1),
+seeds AS (SELECT unnest(seeds) AS seed FROM (SELECT seeds FROM walk ORDER BY i DESC LIMIT 1)),
+clusters AS (SELECT seed, other AS path, count(*) OVER (PARTITION BY seed) AS size FROM seeds JOIN near ON near.path = seed)
+"""
+
+
+@query("shingle", SIGNED + f"""
+SELECT path, count(*) AS shingles FROM (SELECT DISTINCT path, c0, c1, c2, c3, c4 FROM five WHERE c{sketch.WIDTH - 1} IS NOT NULL) GROUP BY path""")
+def shingle(spark, folder):
+    return document_files(spark, folder).select("path", F.size(op.shingles(F.col("content"))).cast("bigint").alias("shingles"))
+
+
 def _signatures(spark, folder):
     return op.minhash_signature(document_files(spark, folder))
 
 
-@query("minhash_signature")
+@query("minhash_signature", SIGNED + "SELECT path, array_to_string(sig, ',') AS signature FROM signed")
 def minhash_signature(spark, folder):
-    signed = _signatures(spark, folder)
-    return signed.select("path", F.size("signature").alias("num_perm"), F.xxhash64("signature").alias("signature_hash"))
+    """The 128 values as text, so that both engines show the same value."""
+    return _signatures(spark, folder).select("path", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
-@query("index_files")
+@query("index_files", SIGNED + """
+SELECT path, string_split(path, '/')[-1] AS filename, '.' || string_split(path, '.')[-1] AS extension, CAST(strlen(content) AS BIGINT) AS size,
+       sha256(content) AS hash, 'documents' AS project_root, md5(array_to_string(sig, ',')) AS minhash FROM f JOIN signed USING (path)""")
 def index_files(spark, folder):
     rows = op.index_files(document_files(spark, folder), project_root="documents")
-    return rows.withColumn("minhash", F.xxhash64("minhash"))
+    return rows.withColumn("minhash", F.md5(F.array_join(F.col("minhash").cast("array<string>"), ",")))
 
 
-@query("lsh_candidates")
+@query("lsh_candidates", BUCKETS + "SELECT * FROM sized")
 def lsh_candidates(spark, folder):
     return op.lsh_candidates(_signatures(spark, folder))
 
 
-@query("dedup_clusters")
+@query("dedup_clusters", CLUSTERS + "SELECT * FROM clusters")
 def dedup_clusters(spark, folder):
     return op.dedup_clusters(_signatures(spark, folder))
 
 
-@query("near_duplicates")
+@query("near_duplicates", CLUSTERS + """
+, tokens AS (SELECT DISTINCT path, [c0, c1, c2, c3, c4] AS s FROM five WHERE c4 IS NOT NULL),
+sizes AS (SELECT path, count(*) AS n FROM tokens GROUP BY path),
+pairs AS (SELECT seed, path FROM clusters WHERE seed <> path),
+common AS (SELECT seed, pairs.path, count(*) AS n FROM pairs JOIN tokens a ON a.path = seed JOIN tokens b ON b.path = pairs.path AND b.s = a.s GROUP BY ALL)
+SELECT seed, common.path, common.n / (x.n + y.n - common.n) AS jaccard FROM common
+JOIN sizes x ON x.path = seed JOIN sizes y ON y.path = common.path WHERE common.n / (x.n + y.n - common.n) >= 0.9""")
 def near_duplicates(spark, folder):
     return op.near_duplicates(document_files(spark, folder), op.dedup_clusters(_signatures(spark, folder)))
 
 
-@query("duplicate_pair_count")
+@query("duplicate_pair_count", CLUSTERS + """
+, per AS (SELECT seed, count(*) AS n FROM clusters GROUP BY seed)
+SELECT count(*) AS clusters, coalesce(max(n), 0) AS largest, CAST(coalesce(sum(n), 0) AS BIGINT) AS members FROM per""")
 def duplicate_pair_count(spark, folder):
     return op.duplicate_totals(op.dedup_clusters(_signatures(spark, folder)))

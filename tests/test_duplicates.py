@@ -47,6 +47,31 @@ def test_hashes_tell_shingles_apart():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_modulus_and_families():
+    rng = np.random.default_rng(1)
+    with np.errstate(over="ignore"):
+        x = np.concatenate([rng.integers(0, 2**31 - 1, 1000, dtype=np.uint64) * np.uint64(2**31 - 2), np.arange(5, dtype=np.uint64),
+                            sketch.PRIME + np.arange(3, dtype=np.uint64), np.array([(2**31 - 1) * (2**31 - 2)], dtype=np.uint64)])
+        assert (sketch._reduce(x) == x % sketch.PRIME).all()
+    a, b = sketch.permutations(128, 1)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == 128 and a.min() > 0
+
+
+def test_signature_estimates_jaccard():
+    """The share of equal positions is close to the similarity over many pairs."""
+    rng, errors = random.Random(7), []
+    a, b = sketch.permutations(128, 1)
+    with np.errstate(over="ignore"):
+        for _ in range(60):
+            words = [f"w{rng.randrange(400)}" for _ in range(150)]
+            other = [w if rng.random() < 0.9 else f"v{rng.randrange(400)}" for w in words]
+            left, right = "".join(words), "".join(other)
+            same = sketch.signature(sketch.shingle_hashes(left), a, b) == sketch.signature(sketch.shingle_hashes(right), a, b)
+            errors.append(same.mean() - sketch.jaccard(left, right))
+            assert sketch.jaccard(left, right) == pytest.approx(len(shingle_set(left) & shingle_set(right)) / len(shingle_set(left) | shingle_set(right)))
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.07
+
+
 def test_equal_after_normalising_have_one_signature(corpus):
     signed = {r["path"]: r["signature"] for r in op.minhash_signature(corpus(CASES)).collect()}
     assert signed["a.py"] == signed["b.py"] and signed["empty1"] == signed["empty2"]
@@ -58,7 +83,7 @@ def test_long_texts_are_read_whole():
     a, b = sketch.permutations(16, 1)
     with np.errstate(over="ignore"):
         hashes = sketch.shingle_hashes(body)
-        whole = (a[:, None] * hashes[None, :] + b[:, None]).min(axis=1)
+        whole = ((a[:, None] * hashes[None, :] + b[:, None]) % sketch.PRIME).min(axis=1)
         assert (sketch.signature(hashes, a, b) == whole).all()
 
 
