@@ -6,7 +6,7 @@ all instants; nothing here looks at the clock.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -259,6 +259,19 @@ def daily_rollup(events: DataFrame) -> DataFrame:
     )
 
 
+def counts_from_rollup(rollup: DataFrame, *, first: date, last: date, project_slug: str | None = None) -> DataFrame:
+    """Count and cost per known type over whole days, from the rollup instead of the events."""
+    days = rollup.where(F.col("day").between(F.lit(first), F.lit(last)))
+    if project_slug:
+        days = days.where(F.col("project_slug") == project_slug)
+    of = lambda column, t: F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col(column))), F.lit(0))
+    row = days.agg(*[of("event_count", t).alias(f"{t}#n") for t in EVENT_TYPES],
+                   *[of("daily_cost_usd", t).alias(f"{t}#c") for t in EVENT_TYPES])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("event_type"), F.col(f"`{t}#n`").alias("event_count"), F.col(f"`{t}#c`").cast("double").alias("cost_usd"))
+        for t in EVENT_TYPES])))
+
+
 def rollup_unique_check(rollup: DataFrame) -> DataFrame:
     """Keys that occur twice; an empty result is the expected one."""
     key = ["project_slug", "event_type", "day"]

@@ -109,9 +109,9 @@ SELECT org, slug, starter, (SELECT count(*) FROM reg WHERE org = 'org-1') AS tot
 FROM reg WHERE org = 'org-1' ORDER BY slug LIMIT 10 OFFSET 10""")
 def projects_list(spark, folder):
     projects = op.registered_projects(_projects(spark, folder))
-    total = op.projects_total(projects, org="org-1").select("total", F.lit("org-1").alias("org"))
+    total = op.projects_total(projects, org="org-1").scalar()
     page = op.projects_list(projects, org="org-1", page=2, page_size=10)
-    return page.join(total, "org").select("org", "slug", "starter", "total")
+    return page.select("org", "slug", "starter", total.alias("total"))
 
 
 @query("project_detail", P + "SELECT org, slug, starter, ts AS registered_at FROM reg WHERE slug = 'proj-77'")
@@ -132,7 +132,7 @@ S = f"WITH s AS (SELECT {SERVERS} FROM supplier) "
 
 
 @query("catalog_register", S + """
-, op AS (SELECT DISTINCT server_name FROM s WHERE id % 60 < 5)
+, op AS (SELECT DISTINCT concat('srv-', s_suppkey % 60) AS server_name FROM supplier WHERE s_acctbal < 500)
 SELECT s.id, s.server_name, security_audit_status,
        CASE security_audit_status
          WHEN 'passed' THEN CASE WHEN op.server_name IS NULL AND row_number() OVER (
@@ -143,7 +143,7 @@ SELECT s.id, s.server_name, security_audit_status,
 FROM s LEFT JOIN op ON op.server_name = s.server_name""")
 def catalog_register(spark, folder):
     requests = _servers(spark, folder)
-    opened = requests.where("id % 60 < 5").select("server_name")
+    opened = table(spark, folder, "supplier").where("s_acctbal < 500").selectExpr("concat('srv-', s_suppkey % 60) AS server_name")
     return op.catalog_register(requests, opened).select("id", "server_name", "security_audit_status", "status", "reason")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
@@ -185,6 +185,15 @@ def rollup_unique_check(spark, folder):
     return op.rollup_unique_check(op.daily_rollup(_events(spark, folder)))
 
 
+@query("rollup_type_counts", EV + f"""
+SELECT t.event_type, count(ev.id) AS event_count,
+       CAST(coalesce(sum(cost) FILTER (WHERE ev.event_type = 'skill.invoked'), 0) AS DOUBLE) AS cost_usd
+FROM {TYPES} LEFT JOIN ev ON ev.event_type = t.event_type AND event_ts >= TIMESTAMP '2024-01-05' AND event_ts < TIMESTAMP '2024-01-26'
+GROUP BY t.event_type""")
+def rollup_type_counts(spark, folder):
+    return op.counts_from_rollup(op.daily_rollup(_events(spark, folder)), first=date(2024, 1, 5), last=date(2024, 1, 25))
+
+
 def _cost_check(by: str, column: str) -> str:
     return f"""
 SELECT '{by}' AS grouping, coalesce(nullif({column}, ''), 'unknown') AS name, count(*) AS calls,
