@@ -129,16 +129,15 @@ def leaves(metric_rows: DataFrame, deps: DataFrame, *, limit: int = 10, max_line
     """Most complex procedures that call no other procedure.
 
     NOT IN semantics: one NULL caller empties the result. It is written as an anti join plus a
-    check for that NULL (at most one row, so broadcast), because the planner's own form of NOT IN
-    would broadcast all callers.
+    scalar check for that NULL, because the planner's own form of NOT IN would broadcast all
+    callers.
     """
     callers = deps.where(F.col("dependency_type") == "PROCEDURE").select(F.col("caller_path").alias("path"))
-    null_caller = callers.where(F.col("path").isNull()).limit(1).select(F.lit(1).alias("_any"))
+    null_callers = callers.where(F.col("path").isNull()).limit(1).agg(F.count("*")).scalar()
     rows = metric_rows.where(F.col("path").ilike("%procedures%"))
     if max_lines:
         rows = rows.where(F.col("line_count") <= max_lines)
-    rows = rows.join(callers, "path", "left_anti").withColumn("_any", F.lit(1))
-    rows = rows.join(F.broadcast(null_caller), "_any", "left_anti")
+    rows = rows.join(callers, "path", "left_anti").where(null_callers == 0)
     best = top_k(rows, limit, F.desc("complexity_score"), F.asc("path"))
     return best.select("path", "complexity_score", "line_count")
 
