@@ -120,7 +120,7 @@ def call_graph_nodes(graph: DataFrame, found_patterns: DataFrame) -> DataFrame:
     """Each node once; ``highlight`` marks names that are technology patterns found in the corpus."""
     nodes = graph.select(F.inline(F.array(F.struct(F.col("caller").alias("name")), F.struct(F.col("callee").alias("name"))))).distinct()
     marks = found_patterns.select(F.col("pattern").alias("name")).distinct().withColumn("_hit", F.lit(True))
-    return nodes.join(marks, "name", "left").select("name", F.coalesce("_hit", F.lit(False)).alias("highlight"))
+    return nodes.join(F.broadcast(marks), "name", "left").select("name", F.coalesce("_hit", F.lit(False)).alias("highlight"))
 
 
 def looks_external(name: Column) -> Column:
@@ -131,9 +131,12 @@ def looks_external(name: Column) -> Column:
 
 
 def external_calls(edges: DataFrame, found_patterns: DataFrame) -> DataFrame:
-    """Edges to a found technology pattern or to a name that looks external."""
+    """Edges to a found technology pattern or to a name that looks external.
+
+    The patterns are a fixed short list, so the found ones are broadcast.
+    """
     marks = found_patterns.select(F.col("pattern").alias("callee")).distinct().withColumn("_hit", F.lit(True))
-    return edges.join(marks, "callee", "left").where(F.col("_hit") | looks_external(F.col("callee"))).drop("_hit")
+    return edges.join(F.broadcast(marks), "callee", "left").where(F.col("_hit") | looks_external(F.col("callee"))).drop("_hit")
 
 
 def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sketch
-from ..functions.groups import members_of_repeated_groups
 from ..functions.ranking import latest
+from ..functions.skew import members_of_repeated_groups, skew_join
 from ..functions.text import file_name, let, suffix
 from ..session import cut_lineage
 
@@ -96,8 +96,8 @@ def clones_of(procedures: DataFrame, files: DataFrame, term: str) -> DataFrame:
         "matched", F.coalesce("matched", F.lit(False))
     )
     wanted = marked.groupBy("hash").agg(F.count("*").alias("n"), F.bool_or("matched").alias("hit"))
-    wanted = wanted.where((F.col("n") > 1) & F.col("hit")).select("hash", (F.col("n") - 1).alias("clones"))
-    return marked.join(wanted, "hash").select("hash", "path", "matched", "clones")
+    wanted = wanted.where((F.col("n") > 1) & F.col("hit")).select("hash", "n")
+    return skew_join(marked, wanted, ["hash"], sizes=wanted).select("hash", "path", "matched", (F.col("n") - 1).alias("clones"))
 
 
 def _digest(values: Column) -> Column:
@@ -133,8 +133,8 @@ def lsh_candidates(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
     bands, rows = sketch.banding(threshold, num_perm)
     # Kept once: sizes and members both read it, and signatures are dear to compute.
     member = cut_lineage(signatures.select("path", F.inline(_band_keys(bands, rows))))
-    sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    return member.join(sizes, ["band", "bucket"])
+    sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return skew_join(member, sizes, ["band", "bucket"], sizes=sizes).withColumnRenamed("n", "members")
 
 
 def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: int = 128) -> DataFrame:
@@ -150,20 +150,20 @@ def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
     bands, rows = sketch.banding(threshold, num_perm)
     reps, members = _representatives(signatures)
     buckets = reps.select("rep", "sig", F.inline(_band_keys(bands, rows)))
-    shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    graph = cut_lineage(buckets.join(shared, ["band", "bucket"]).select(
-        F.concat_ws(":", "band", "bucket").alias("bucket"), "rep", "sig"
-    ))
+    buckets = buckets.select(F.concat_ws(":", "band", "bucket").alias("bucket"), "rep", "sig")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    graph = cut_lineage(skew_join(buckets, shared, ["bucket"], sizes=shared).select("bucket", "rep", "sig"))
     open_rows, seed_parts = graph, []
     while not open_rows.isEmpty():
-        smallest = open_rows.groupBy("bucket").agg(F.min("rep").alias("smallest"))
-        verdict = open_rows.join(smallest, "bucket").groupBy("rep").agg(
+        smallest = open_rows.groupBy("bucket").agg(F.min("rep").alias("smallest"), F.count("*").alias("n"))
+        sizes = smallest.select("bucket", "n")
+        verdict = skew_join(open_rows, smallest, ["bucket"], sizes=sizes).groupBy("rep").agg(
             F.bool_and(F.col("rep") == F.col("smallest")).alias("seed")
         )
         seeds = cut_lineage(verdict.where("seed").select("rep"))
         seed_parts.append(seeds)
         taken = open_rows.join(seeds, "rep", "left_semi").select("bucket").distinct()
-        closed = open_rows.join(taken, "bucket", "left_semi").select("rep").distinct()
+        closed = skew_join(open_rows, taken, ["bucket"], "left_semi", sizes=sizes).select("rep").distinct()
         open_rows = cut_lineage(open_rows.join(closed, "rep", "left_anti"))
     near = None
     if seed_parts:
@@ -171,14 +171,14 @@ def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
         for part in seed_parts[1:]:
             all_seeds = all_seeds.unionByName(part)
         owner = graph.join(all_seeds, "rep", "left_semi").select("bucket", F.col("rep").alias("seed"))
-        near = graph.join(owner, "bucket").select("seed", "sig").distinct()
+        near = skew_join(graph, owner, ["bucket"]).select("seed", "sig").distinct()
     # A representative with copies but no near neighbour still is the seed of its copies.
     alone = reps.select("rep", "sig").join(graph.select("rep").distinct(), "rep", "left_anti").select(
         F.col("rep").alias("seed"), "sig"
     )
-    clusters = (alone if near is None else near.unionByName(alone)).join(members, "sig").select("seed", "path")
-    sizes = clusters.groupBy("seed").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    return clusters.join(sizes, "seed")
+    owners = alone if near is None else near.unionByName(alone)
+    clusters = skew_join(members, owners, ["sig"]).select("seed", "path")
+    return members_of_repeated_groups(clusters, "seed", "size")
 
 
 def near_duplicates(corpus: DataFrame, clusters: DataFrame, *, threshold: float = 0.9) -> DataFrame:

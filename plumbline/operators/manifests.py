@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.groups import members_of_repeated_groups
+from ..functions.skew import members_of_repeated_groups
 from ..functions.text import line_array, once, strip
 
 

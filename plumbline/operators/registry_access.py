@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import first, latest
+from ..functions.skew import skew_join
 from ..vocab import ADMIN_ROLE, SLUG_PATTERN
 
 
@@ -27,11 +28,10 @@ def project_register(requests: DataFrame) -> DataFrame:
     is posted very often is never gathered in one task.
     """
     valid = requests.where(slug_problem(F.col("slug")).isNull())
-    winners = valid.groupBy("org", "slug").agg(F.min(F.struct("ts", "id")).alias("winner"))
+    winners = valid.groupBy("org", "slug").agg(F.min(F.struct("ts", "id")).alias("winner"), F.count("*").alias("n"))
     status = F.when((F.col("winner.ts") == F.col("ts")) & (F.col("winner.id") == F.col("id")), "created").otherwise("existing")
-    return valid.join(winners, ["org", "slug"]).withColumn("status", status).withColumn(
-        "registered_at", F.col("winner.ts")
-    ).drop("winner")
+    joined = skew_join(valid, winners.drop("n"), ["org", "slug"], sizes=winners.select("org", "slug", "n"))
+    return joined.withColumn("status", status).withColumn("registered_at", F.col("winner.ts")).drop("winner")
 
 
 def registered_projects(requests: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def catalog_register(requests: DataFrame, open_entries: DataFrame) -> DataFrame:
     known = open_entries.select("server_name").distinct().withColumn("open", F.lit(True))
     is_opener = (F.col("opener.ts") == F.col("ts")) & (F.col("opener.id") == F.col("id")) & F.col("open").isNull()
     audit = F.col("security_audit_status")
-    labelled = requests.join(openers, "server_name", "left").join(known, "server_name", "left")
+    servers = openers.join(known, "server_name", "full")
+    labelled = skew_join(requests, servers, ["server_name"], "left")
     return labelled.withColumn(
         "status",
         F.when(audit == "passed", F.when(is_opener, "pr_opened").otherwise("pr_updated"))
@@ -113,7 +114,7 @@ def catalog_update_check(requests: DataFrame, catalog: DataFrame, grants: DataFr
     """An update needs the administrator role or membership of the owning team."""
     admin = admins(grants).withColumn("is_admin", F.lit(True))
     owner = catalog.select("server_name", "owner_team")
-    joined = requests.join(owner, "server_name", "left").join(admin, "user_id", "left")
+    joined = skew_join(skew_join(requests, owner, ["server_name"], "left"), admin, ["user_id"], "left")
     decision = (
         F.when(F.col("owner_team").isNull(), "not_found")
         .when(F.col("is_admin") | (F.col("team") == F.col("owner_team")), "allowed").otherwise("denied")
@@ -135,9 +136,10 @@ def rbac_grant(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """
     held = active(grants).select("user_id", "role").distinct().withColumn("held", F.lit(True))
     admin = admins(grants).select(F.col("user_id").alias("granted_by"), F.lit(True).alias("by_admin"))
-    checked = requests.join(admin, "granted_by", "left").join(held, ["user_id", "role"], "left")
+    checked = skew_join(requests, admin, ["granted_by"], "left")
     firsts = checked.where(F.col("by_admin")).groupBy("user_id", "role").agg(F.min(F.struct("ts", "id")).alias("_first"))
-    decided = checked.join(firsts, ["user_id", "role"], "left")
+    known = held.join(firsts, ["user_id", "role"], "full")
+    decided = skew_join(checked, known, ["user_id", "role"], "left")
     is_first = (F.col("_first.ts") == F.col("ts")) & (F.col("_first.id") == F.col("id"))
     decision = (
         F.when(F.col("by_admin").isNull(), "forbidden")
@@ -163,7 +165,7 @@ def rbac_enforce(requests: DataFrame, grants: DataFrame, role_scopes: DataFrame)
         active(grants).join(role_scopes, "role").select("user_id", F.col("scope").alias("required_scope")).distinct()
         .withColumn("_ok", F.lit(True))
     )
-    decided = requests.join(scopes, ["user_id", "required_scope"], "left")
+    decided = skew_join(requests, scopes, ["user_id", "required_scope"], "left")
     return decided.withColumn("decision", F.when(F.col("_ok"), "allowed").otherwise("denied")).drop("_ok")
 
 
