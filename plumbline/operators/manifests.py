@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import members_of_repeated_groups
 from ..functions.text import line_array, once, strip
+from ..session import cut_lineage
 
 
 def _object_keys(document: Column, field: str) -> tuple[Column, Column]:
@@ -58,7 +59,8 @@ def dependencies(manifests: DataFrame) -> DataFrame:
 
 def deps_clusters(manifests: DataFrame) -> DataFrame:
     """Projects with the dependency list of another: (signature, root, members), one row per project."""
-    signed = dependencies(manifests).select(
+    # Kept once: sizes and members both read it, and the manifests need not be parsed again.
+    signed = cut_lineage(dependencies(manifests).select(
         F.concat("kind", F.lit(":"), F.array_join("deps", ",")).alias("signature"), "root"
-    )
+    ))
     return members_of_repeated_groups(signed, "signature", "members")
