@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import code_decisions as op
 from ..operators.code_structure import head_per_group
 from .code_corpus import code

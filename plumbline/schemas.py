@@ -47,46 +47,3 @@ RATE_CARD = T.StructType([
     T.StructField("input_usd_per_m", T.DoubleType()),
     T.StructField("output_usd_per_m", T.DoubleType()),
 ])
-
-CORPUS = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
-
-NAMED_LINE = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("line", T.LongType()),
-])
-
-FUNCTION = T.StructType([
-    T.StructField("name", T.StringType()),
-    T.StructField("line", T.LongType()),
-    T.StructField("args", T.ArrayType(T.StringType())),
-    T.StructField("decorators", T.ArrayType(T.StringType())),
-])
-
-MODULE = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("language", T.StringType()),
-    T.StructField("imports", T.ArrayType(T.StructType([
-        T.StructField("module", T.StringType()),
-        T.StructField("names", T.ArrayType(T.StringType())),
-        T.StructField("line", T.LongType()),
-    ]))),
-    T.StructField("classes", T.ArrayType(T.StructType([
-        T.StructField("name", T.StringType()),
-        T.StructField("line", T.LongType()),
-        T.StructField("bases", T.ArrayType(T.StringType())),
-        T.StructField("methods", T.ArrayType(FUNCTION)),
-    ]))),
-    T.StructField("functions", T.ArrayType(FUNCTION)),
-    T.StructField("is_entry_point", T.BooleanType()),
-    T.StructField("line_count", T.LongType()),
-])
-
-CALL_EDGE = T.StructType([
-    T.StructField("caller", T.StringType()),
-    T.StructField("callee", T.StringType()),
-    T.StructField("line", T.LongType()),
-    T.StructField("location", T.StringType()),
-])

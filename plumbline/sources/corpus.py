@@ -1,31 +1,131 @@
-"""A source tree as (path, content) rows."""
+"""A source tree as (path, content) rows.
+
+Spark's file sources leave out empty files and names that start with ``_`` or ``.``, such as
+``__init__.py``, so directories are listed and files read here, by tasks, through Arrow's file
+systems.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import suffix
-from ..vocab import DUPLICATE_SCAN_EXTENSIONS, IGNORED_DIRECTORIES
+from ..functions.text import file_name, suffix
+from ..session import cut_lineage
+from ..vocab import DUPLICATE_SCAN_EXTENSIONS, IGNORED_DIRECTORIES, IGNORED_DIRECTORIES_SHORT
 
+# Bytes one reading task is planned for, and bytes of one batch it hands on.
+TASK_BYTES = 128 * 2**20
+BATCH_BYTES = 16 * 2**20
 
-def outside(path: Column, directories: tuple[str, ...]) -> Column:
-    """True unless a directory of the path is in the list."""
-    return ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in directories]))
 
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    filesystem, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    return filesystem, base.rstrip("/")
 
-def read_tree(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
-    """All files below ``root``: (path, raw, content), path relative to the root.
 
-    Filters on ``path`` are applied before the content is read. Undecodable bytes are replaced.
+def _entries(filesystem: pafs.FileSystem, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(name, size, is_dir) of a folder. Links to folders are not followed, so links cannot loop."""
+    if isinstance(filesystem, pafs.LocalFileSystem):
+        with os.scandir(folder) as listing:
+            for entry in listing:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, 0, True
+                elif entry.is_file():
+                    yield entry.name, entry.stat().st_size, False
+    else:
+        for info in filesystem.get_file_info(pafs.FileSelector(folder)):
+            yield info.base_name, info.size or 0, info.type == pafs.FileType.Directory
+
+
+def list_tree(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
+    """(path, size) of all files below ``root``, paths relative to it; ignored directories are not entered.
+
+    One job per directory level, each listing its directories in parallel.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, base = _open(root)
+        for batch in batches:
+            for folder in batch["path"]:
+                rows = [(f"{folder}/{name}".lstrip("/"), size, is_dir)
+                        for name, size, is_dir in _entries(filesystem, f"{base}/{folder}".rstrip("/"))
+                        if not (is_dir and name in ignore)]
+                yield pd.DataFrame(rows, columns=["path", "size", "is_dir"])
+
+    level, found = spark.createDataFrame([("",)], "path string"), []
+    while not level.isEmpty():
+        listed = cut_lineage(level.mapInPandas(run, "path string, size bigint, is_dir boolean"))
+        found.append(listed.where(~F.col("is_dir")).select("path", "size"))
+        level = listed.where("is_dir").select("path").repartition("path")
+    files = found[0]
+    for more in found[1:]:
+        files = files.unionByName(more)
+    return files
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """(path, raw, content) of listed files, the paths first spread so that each task reads a like amount.
+
+    A file that cannot be read is left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    full = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    relative = F.substr(full, F.lit(len(root.rstrip("/")) + 2))
-    return files.select(relative.alias("path"), F.col("content").alias("raw")).where(
-        outside(F.col("path"), ignore)
-    ).withColumn("content", F.decode("raw", "UTF-8"))
+    spark = files.sparkSession
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, base = _open(root)
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with filesystem.open_input_stream(f"{base}/{path}") as stream:
+                        rows.append((path, stream.read()))
+                except OSError:
+                    continue
+                held += len(rows[-1][1])
+                if held >= BATCH_BYTES or len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["path", "raw"])
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "raw"])
+
+    read = files.select("path").repartition(tasks, "path").mapInPandas(run, "path string, raw binary")
+    return read.withColumn("content", as_text(F.col("raw")))
+
+
+def as_text(raw: Column) -> Column:
+    """Bytes as text: undecodable bytes are dropped, and every line end becomes a line feed."""
+    text = raw.cast("string")
+    clean = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
+    return F.regexp_replace(clean, r"\r\n?", "\n")
+
+
+def read_tree(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
+    """All files below ``root``. A file named like an ignored directory is left out too."""
+    files = list_tree(spark, root, ignore=ignore)
+    return read_files(files.where(~file_name(F.col("path")).isin(*ignore)) if ignore else files, root)
+
+
+def with_extension(files: DataFrame, extensions: tuple[str, ...] = DUPLICATE_SCAN_EXTENSIONS) -> DataFrame:
+    return files.where(suffix(F.col("path")).isin(*extensions))
+
+
+def read_for_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    """Code files for the near-duplicate scan; files that are not UTF-8 are left out."""
+    listed = with_extension(list_tree(spark, root, ignore=IGNORED_DIRECTORIES_SHORT))
+    return read_files(listed, root).where(F.is_valid_utf8(F.col("raw").cast("string"))).select("path", "content")
 
 
-def with_extension(corpus: DataFrame, extensions: tuple[str, ...] = DUPLICATE_SCAN_EXTENSIONS) -> DataFrame:
-    return corpus.where(suffix(F.col("path")).isin(*extensions))
+def read_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """Manifests as (root, filename, content) for the dependency operators; ``root`` is the directory."""
+    name = file_name(F.col("path"))
+    listed = list_tree(spark, root, ignore=IGNORED_DIRECTORIES_SHORT)
+    listed = listed.where(name.isin("package.json", "requirements.txt", "pom.xml") | name.endswith(".csproj"))
+    directory = F.left("path", F.greatest(F.length("path") - F.length(name) - 1, F.lit(0)))
+    return read_files(listed, root).select(directory.alias("root"), name.alias("filename"), "content")

@@ -1,5 +1,3 @@
-import pytest
-
 from plumbline.operators import code_calls as calls
 from plumbline.operators import code_decisions as dec
 from plumbline.operators import code_structure as st

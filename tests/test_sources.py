@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from plumbline.operators import duplicates
+from plumbline.operators import duplicates, manifests
 from plumbline.session import cut_lineage, scratch_dir
 from plumbline.sources import corpus as source
 from plumbline.sources import sinks
@@ -10,15 +10,26 @@ from plumbline.operators import sql_corpus
 
 
 def test_tree(spark, tmp_path, rows):
-    for name, data in {"a/x.py": b"print(1)\n", "a/.git/y.py": b"no", "b/build/z.c": b"no", "b/n.c": b"\xff\xfeint", "m.md": b"#"}.items():
+    for name, data in {"a/x.py": b"print(1)\n", "a/.git/y.py": b"no", "b/build/z.c": b"no", "b/n.c": b"\xff\xfeint", "m.md": b"#", "a/__init__.py": b"", ".hidden/_z.c": b"x\r\ny\rz"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
     files = source.read_tree(spark, str(tmp_path))
-    assert [r[0] for r in rows(files.select("path"))] == ["a/x.py", "b/n.c", "m.md"]
-    assert [r[0] for r in rows(source.with_extension(files).select("path"))] == ["a/x.py", "b/n.c"]
+    assert [r[0] for r in rows(files.select("path"))] == [".hidden/_z.c", "a/__init__.py", "a/x.py", "b/n.c", "m.md"]
+    assert [r[0] for r in rows(source.with_extension(files).select("path"))] == [".hidden/_z.c", "a/__init__.py", "a/x.py", "b/n.c"]
     prints = {r["path"]: r for r in duplicates.file_fingerprint(files, project_root="p").collect()}
     assert prints["b/n.c"]["size"] == 5 and prints["b/n.c"]["extension"] == ".c" and len(prints["a/x.py"]["hash"]) == 64
-    assert files.where("path = 'a/x.py'").first()["content"] == "print(1)\n"
+    assert {r["path"]: r["content"] for r in files.collect()} == {"a/x.py": "print(1)\n", "b/n.c": "int", "m.md": "#", "a/__init__.py": "", ".hidden/_z.c": "x\ny\nz"}
+    assert [r[0] for r in rows(source.read_for_duplicates(spark, str(tmp_path)).select("path"))] == [".hidden/_z.c", "a/__init__.py", "a/x.py"]
+
+
+def test_manifests_in_a_tree(spark, tmp_path, rows):
+    for name, data in {"requirements.txt": b"a\r\nb\rc\n", "x/y/requirements.txt": b"c\nb\na", "node_modules/requirements.txt": b"a\nb\nc", "x/target/app.csproj": b""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    files = source.read_manifests(spark, str(tmp_path))
+    assert rows(files.select("root", "filename")) == [("", "requirements.txt"), ("x/target", "app.csproj"), ("x/y", "requirements.txt")]
+    assert rows(manifests.deps_clusters(files)) == [("pip:a,b,c", "", 2), ("pip:a,b,c", "x/y", 2)]
 
 
 @pytest.mark.parametrize("path, suffix, stem", [("a/b.tar.gz", ".gz", "b.tar"), ("a/.bashrc", "", ".bashrc"), ("x.d/name", "", "name"), ("a.", "", "a."), ("p.SQL", ".SQL", "p")])
