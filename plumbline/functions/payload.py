@@ -8,7 +8,9 @@ from .text import once
 
 
 def with_payload(events: DataFrame, name: str = "p") -> DataFrame:
-    """Adds the parsed ``payload`` as a struct."""
+    """Adds the parsed ``payload`` as a struct, unless it is stored next to it already."""
+    if name in events.columns:
+        return events
     return once(events, name, F.from_json("payload", PAYLOAD))
 
 

@@ -48,16 +48,22 @@ def events_filter(
 ) -> DataFrame:
     """Equality and inclusive range filters; an empty argument does not filter.
 
-    Bounds are literals, so they reach the scan as pushed filters and partition pruning.
+    Bounds are literals, so they reach the scan as pushed filters; on a table partitioned by
+    ``event_date`` they also leave out whole days.
     """
+    by_day = "event_date" in events.columns
     if event_type:
         events = events.where(F.col("event_type") == event_type)
     if project_slug:
         events = events.where(F.col("project_slug") == project_slug)
     if start:
         events = events.where(F.col("event_ts") >= _instant(start))
+        if by_day:
+            events = events.where(F.col("event_date") >= F.lit(start.date()))
     if end:
         events = events.where(F.col("event_ts") <= _instant(end))
+        if by_day:
+            events = events.where(F.col("event_date") <= F.lit(end.date()))
     return events
 
 

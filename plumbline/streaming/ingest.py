@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.payload import with_payload
 from ..functions.text import once
 from ..operators.telemetry import daily_rollup, events_projection
-from ..schemas import DAILY_ROLLUP, EVENTS, WIRE_EVENT
+from ..schemas import DAILY_ROLLUP, EVENTS, PAYLOAD, WIRE_EVENT
 from ..vocab import EVENT_TYPES
 
 REQUIRED = ("event_type", "project_slug", "timestamp", "payload")
@@ -68,7 +69,8 @@ def rejected(checked: DataFrame) -> DataFrame:
 def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
     checked = validate(batch).persist()
     try:
-        accepted = enrich(checked).withColumn("event_date", F.to_date("event_ts"))
+        # The parsed fields are stored too: reports then read those columns and no JSON.
+        accepted = with_payload(enrich(checked)).withColumn("event_date", F.to_date("event_ts"))
         # Rebalancing splits a busy day over several writers and merges quiet ones.
         accepted.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(
             f"{store}/events/batch_id={batch_id}"
@@ -93,8 +95,8 @@ def _partitioned(schema: T.StructType, **columns: T.DataType) -> T.StructType:
 
 
 def read_events(spark: SparkSession, store: str) -> DataFrame:
-    """Stored events; a filter on ``event_date`` prunes folders."""
-    schema = _partitioned(EVENTS, batch_id=T.LongType(), event_date=T.DateType())
+    """Stored events with their parsed payload ``p``; a filter on ``event_date`` prunes folders."""
+    schema = _partitioned(EVENTS, p=PAYLOAD, batch_id=T.LongType(), event_date=T.DateType())
     return spark.read.schema(schema).parquet(f"{store}/events")
 
 

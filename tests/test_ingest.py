@@ -3,7 +3,7 @@ from datetime import date, datetime
 
 import pytest
 
-from plumbline.operators.telemetry import daily_rollup
+from plumbline.operators.telemetry import daily_rollup, events_filter, top_models
 from plumbline.streaming import alerts, ingest
 
 
@@ -58,6 +58,12 @@ def test_late_file_changes_its_own_day(spark, tmp_path):
     assert sorted(r["reason"] for r in ingest.read_dead(spark, store).collect()) == ["malformed_json", "unknown_event_type"]
     assert _plain(ingest.read_rollup(spark, store)) == _plain(daily_rollup(stored))
 
+    # A report over the store leaves out other days and reads single parsed fields, not the JSON.
+    inside = events_filter(stored, start=datetime(2024, 1, 1), end=datetime(2024, 1, 31))
+    plan = top_models(inside)._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "payload" not in plan and [tuple(r) for r in top_models(inside).collect()] == [("unknown", 2, 0.2)]
+
     before = _plain(ingest.read_rollup(spark, store))
     ingest.compact_rollup(spark, store, through=0)
     assert _plain(ingest.read_rollup(spark, store)) == before
