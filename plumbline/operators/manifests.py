@@ -11,10 +11,13 @@ from ..session import cut_lineage
 
 
 def _object_keys(document: Column, field: str) -> tuple[Column, Column]:
-    """Keys of one object field, and whether the field is there without being an object."""
-    value = F.get_json_object(document, f"$.{field}")
-    keys = F.json_object_keys(value)
-    return F.array_distinct(F.coalesce(keys, F.array().cast("array<string>"))), value.isNotNull() & keys.isNull()
+    """Keys of one object field, and whether the field is there without being an object.
+
+    A document that is no object itself counts as such a fault.
+    """
+    keys = F.json_object_keys(F.get_json_object(document, f"$.{field}"))
+    present = F.coalesce(F.array_contains(F.json_object_keys(document), field), F.lit(True))
+    return F.array_distinct(F.coalesce(keys, F.array().cast("array<string>"))), present & keys.isNull()
 
 
 def npm(content: Column) -> Column:

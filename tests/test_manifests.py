@@ -5,6 +5,8 @@ FILES = [
     ("n2", "package.json", "{broken", None, None),
     ("n3", "package.json", '{"dependencies": ["a"]}', None, None),
     ("n4", "package.json", "{}", None, None),
+    ("n6", "package.json", '{"dependencies": null, "devDependencies": {"x": "1"}}', None, None),
+    ("n7", "package.json", '["dependencies"]', None, None),
     ("n5", "package.json", '{"devDependencies": {"x": "1"}}', "npm", ["x"]),
     ("p1", "requirements.txt", "# all\n\nflask>=2\r\npkg == 1 # why\nodd!=1\n  spaced~=1\nplain", "pip", ["flask", "odd!", "pkg ", "plain", "spaced"]),
     ("m1", "pom.xml", "<artifactId>b</artifactId><x/><artifactId>a</artifactId>\n<artifactId>b</artifactId><artifactId>no\n</artifactId>", "maven", ["a", "b"]),
