@@ -150,7 +150,7 @@ def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
     bands, rows = sketch.banding(threshold, num_perm)
     reps, members = _representatives(signatures)
     buckets = reps.select("rep", "sig", F.inline(_band_keys(bands, rows)))
-    buckets = buckets.select(F.concat_ws(":", "band", "bucket").alias("bucket"), "rep", "sig")
+    buckets = cut_lineage(buckets.select(F.concat_ws(":", "band", "bucket").alias("bucket"), "rep", "sig"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     graph = cut_lineage(skew_join(buckets, shared, ["bucket"], sizes=shared).select("bucket", "rep", "sig"))
     open_rows, seed_parts = graph, []
@@ -177,7 +177,7 @@ def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
         F.col("rep").alias("seed"), "sig"
     )
     owners = alone if near is None else near.unionByName(alone)
-    clusters = skew_join(members, owners, ["sig"]).select("seed", "path")
+    clusters = cut_lineage(skew_join(members, owners, ["sig"]).select("seed", "path"))
     return members_of_repeated_groups(clusters, "seed", "size")
 
 
