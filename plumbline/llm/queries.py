@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, sharding, simhash
+from . import langid, lines, packing, sharding, simhash, toxicity
+from .text import text_hash_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +79,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     packed = packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER)))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op5_rank_order_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = text_hash_mod(F.col("doc_id"), 3) == 1
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.language_id(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_nb_ngram_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = text_hash_mod(F.col("doc_id"), 5) == 0
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.classifier(docs, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
