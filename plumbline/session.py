@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join input even where that costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows hold whole texts; Arrow batches of them are kept to a few megabytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
