@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, packing, sharding, simhash, toxicity
+from . import chunks, decontam, html, langid, lines, packing, quality, sharding, simhash, toxicity
 from .text import text_hash_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,29 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.classifier(docs, table(spark, folder, "labels"), ~held_out)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op9_decision_list_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.judged(docs, table(spark, folder, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_max_subsequence_html")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_string_tiling_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontam.overlaps(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_words", F.size("tiles").cast("long").alias("n_tiles"))
+
+
+@query("op7_gear_chunk_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return chunks.repeated_passages(docs)

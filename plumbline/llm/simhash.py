@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ..functions.skew import skew_join
 from ..session import cut_lineage
 from .graph import connected_components
-from .text import added, extend, utf8, word_spans
+from .text import added, extend, keyed, utf8, word_spans
 
 SEED = 42
 TREE_NODES = 20_000
@@ -229,9 +229,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **h
 
     Of rows that share that doc_id the one with the smallest text hash stays; of wholly equal rows, one.
     """
-    key = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_crc"))
-    groups = near_duplicates(key, text="text", doc_id="doc_id", **how)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_crc")).alias("keep"))
-    keep = first.select(F.col("keep.doc_id").alias("_id"), F.col("keep._crc").alias("_crc")).distinct()
-    marked = docs.withColumn("_crc", F.xxhash64(text))
-    return marked.join(keep, marked[doc_id].eqNullSafe(keep["_id"]) & (marked["_crc"] == keep["_crc"]), "left_semi").drop("_crc")
+    rows = keyed(docs, doc_id, text)
+    groups = near_duplicates(rows.select("_key", "_crc", F.col(text).alias("text")), text="text", doc_id="_key", **how)
+    first = groups.groupBy("component_id").agg(F.min(F.struct("_key", "_crc")).alias("keep"))
+    return rows.join(first.select("keep._key", "keep._crc"), ["_key", "_crc"], "left_semi").dropDuplicates(["_key", "_crc"]).select(*docs.columns)

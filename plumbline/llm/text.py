@@ -54,6 +54,11 @@ def text_hash_mod(column, n: int):
     return F.crc32(column.cast("string")) % n
 
 
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with what tells its rows apart: ``_key``, the id (null: smaller than any), and ``_crc``, a hash of the text."""
+    return docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_crc", F.xxhash64(text))
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Numbers the rows of each group from 0 without a gap, in the given order.
 
