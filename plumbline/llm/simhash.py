@@ -199,13 +199,50 @@ def _signed(word: int) -> int:
     return word - (1 << 64) if word >> 63 else word
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 128,
-                    radius: int = 24, recall: float | None = 0.95, tree_nodes: int = TREE_NODES) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc, shingles): sorted distinct 64-bit hashes of the shingles of each (doc, text)."""
+    schema = T.StructType([docs.schema["doc"], T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for value in utf8(batch.column("text")):
+                low, starts, ends = shingle_slices(value or b"", words)
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(low[a:b], SEED) for a, b in zip(starts, ends)], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+
+    return docs.select("doc", "text").mapInArrow(run, schema)
+
+
+def verified(edges: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The edges (a, b, doc_a, doc_b) whose documents have a Jaccard similarity of at least ``least`` over their shingles."""
+    edges = cut_lineage(edges)
+    asked = edges.select(F.col("doc_a").alias("doc")).union(edges.select("doc_b")).distinct()
+    sets = cut_lineage(shingle_sets(docs.join(asked, "doc", "left_semi").dropDuplicates(["doc"]), words))
+    both = skew_join(edges, sets.select(F.col("doc").alias("doc_a"), F.col("shingles").alias("x")), ["doc_a"])
+    both = skew_join(both.select("a", "b", "doc_b", "x"), sets.select(F.col("doc").alias("doc_b"), F.col("shingles").alias("y")), ["doc_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 128, radius: int = 24,
+                    recall: float | None = 0.95, similarity: float | None = 0.8, tree_nodes: int = TREE_NODES) -> DataFrame:
     """``docs`` without ``text`` and with fp_hi, fp_lo and component_id, the smallest doc_id reachable over links.
 
     ``recall`` None asks for every link, by blocks; else it is the chance to find a link just at the radius. For
     two texts of Jaccard similarity J over their shingles the expected share of differing bits is
     arccos(2J / (1 + J)) / pi, which is 0.15 at J = 0.8; the default radius leaves room for the spread around it.
+    With ``similarity`` an edge counts only if the two texts have that Jaccard similarity. Edges checked are those
+    that span each tree, so copies cost their number; equal fingerprints are not checked.
     """
     marked = cut_lineage(fingerprints(docs, text=text, words=words, bits=bits))
     distinct = cut_lineage(marked.groupBy("fp_hi", "fp_lo").agg(F.min(doc_id).alias("_first"), F.count("*").alias("_n")))
@@ -214,8 +251,14 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     found = links(distinct, masks, radius, tree_nodes=tree_nodes)
     # A node's number is its fingerprint; of 128 bits a 64-bit hash.
     node = (lambda hi, lo: F.col(lo)) if bits == 64 else (lambda hi, lo: F.xxhash64(hi, lo))
-    roots = cut_lineage(connected_components(found.select(node("a_hi", "a_lo").alias("a"), node("b_hi", "b_lo").alias("b"))))
     nodes = distinct.withColumn("node", node("fp_hi", "fp_lo"))
+    edges = found.select(node("a_hi", "a_lo").alias("a"), node("b_hi", "b_lo").alias("b"))
+    if similarity is not None:
+        edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for end in ("a", "b"):
+            edges = edges.join(nodes.select(F.col("node").alias(end), F.col("_first").alias(f"doc_{end}")), end)
+        edges = verified(edges, docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), words, similarity)
+    roots = cut_lineage(connected_components(edges))
     linked = roots.join(nodes.select("node", "_first"), "node")
     least = linked.groupBy("root").agg(F.min("_first").alias("_least"), F.count("*").alias("n"))
     least = cut_lineage(least)
