@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..session import cut_lineage
 from ..vocab import API_GROUPS, CALL_KEYWORDS
-from .code_structure import KNOWN_FUNCTIONS, describe_python, module_heads, symbols
+from .code_structure import KNOWN_FUNCTIONS, LINE_BREAK, describe_python, module_heads, symbols
 
 # Definition and call patterns by language.
-C_DEFINITION = r"(?Um)^[\w\*\s]+\s+(\w+)\s*\([^)]*\)\s*(?:const\s*)?\{"
+# One start for each run of words, stars and white space; the content must begin with a line end.
+C_DEFINITION = (rf"(?U)(?<![\w*\s])(?=[\w*\s]++\([^)]*\)\s*(?:const\s*)?\{{)[\w*\s&&[^\n\r\x85\u2028\u2029]]*+{LINE_BREAK}"
+                r"[\w*\s]+\s(\w+)\s*\([^)]*\)\s*(?:const\s*)?\{")
 JS_DEFINITION = (r"(?U)(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(?)\s*(?:[^)]*\))?\s*(?:=>)?\s*\{")
 CS_DEFINITION = r"(?U)(?:public|private|protected|internal|static|override|virtual|async)\s+[\w<>\[\]]+\s+(\w+)\s*\("
 GENERIC_DEFINITION = r"(?U)\b(\w+)\s*\([^)]*\)\s*(?:->[\w\s]+)?\s*[\{:]"
@@ -32,13 +34,14 @@ def call_edges_c(corpus: DataFrame) -> DataFrame:
     The body after each definition is cut at its calls; lines are running sums of newline counts
     over the small pieces, so no content is shuffled.
     """
-    content = F.col("content")
+    content = F.concat(F.lit("\n"), F.col("content"))
     # Selected first, so that both arrays are computed once per file.
-    cut = corpus.where(content.rlike(C_DEFINITION)).select(
+    cut = corpus.select(
         "path", F.split(content, C_DEFINITION, -1).alias("pieces"),
         F.regexp_extract_all(content, F.lit(C_DEFINITION), F.lit(0)).alias("heads"),
     )
-    rows = cut.select("path", text.newline_count(F.col("pieces")[0]).alias("first"), F.posexplode(F.arrays_zip(
+    # The line end put in front doesn't count.
+    rows = cut.select("path", (text.newline_count(F.col("pieces")[0]) - 1).alias("first"), F.posexplode(F.arrays_zip(
         F.col("heads").alias("head"), F.slice("pieces", 2, F.size("pieces")).alias("rest"),
         F.slice("heads", 2, F.size("heads")).alias("next"),
     )).alias("fn", "z"))
@@ -57,7 +60,7 @@ def call_edges_c(corpus: DataFrame) -> DataFrame:
     line = base + F.sum(F.col("before") + F.col("inside")).over(upto) - F.col("inside") + 1
     found = calls.withColumn("line", line).where(F.col("hit").isNotNull()).select(
         "caller", F.regexp_extract("hit", CALL, 1).alias("callee"), "line", F.col("path").alias("location"),
-        (F.col("fn") * 1_000_000 + F.col("pos")).cast("bigint").alias("pos"),
+        (F.col("fn").cast("bigint") * 2**31 + F.col("pos")).alias("pos"),
     )
     return _real(found, "c")
 

@@ -18,8 +18,9 @@ INTENT = (r"(?iUd)(?://|#|/\*|\*)\s*(TODO|FIXME|HACK|NOTE|WORKAROUND|BUG|OPTIMIZ
 NUMBER = r"(?U)\b(0x[0-9A-Fa-f]{2,8}|[0-9]{3,})\b"
 TIMEOUT = r"(?iU)(?:timeout|delay|sleep|wait|interval|period|ms|msec|millisec)\s*[=:]\s*(\d+)"
 RETRY = r"(?iU)(?:retry|retries|attempts|max_attempts|max_retry)\s*[=:]\s*(\d+)"
-BYTE_RUN = r"(?U)(?:0x[0-9A-Fa-f]{2}\s*[,\s]+){2,}"
-COMMAND_BYTES = r"(?U)(?:0x[0-9A-Fa-f]{2},?\s*){4,}"
+# Two bytes show a run and four a command, however many follow.
+BYTE_RUN = r"(?U)0x[0-9A-Fa-f]{2}[,\s]++0x[0-9A-Fa-f]{2}[,\s]"
+COMMAND_BYTES = r"(?U)(?:0x[0-9A-Fa-f]{2},?\s*+){4}"
 THREADING = r"(?iU)\b(Thread|threading|mutex|semaphore|lock|async|await|concurrent|queue|event|signal)\b"
 CARD_CONSTANT = r"(?U)\bSCARD_[A-Z_]+\b"
 SHARE_MODE = r"SCARD_SHARE_(SHARED|EXCLUSIVE|DIRECT)"

@@ -13,8 +13,12 @@ from ..vocab import (API_GROUPS, BUILD_SYSTEM_BY_EXTENSION, BUILD_SYSTEM_BY_NAME
                      TECHNOLOGY_PATTERNS)
 
 # Definition patterns by language.
-C_FUNCTION = (r"(?Um)^(?:(?:static|extern|inline|virtual|WINAPI|STDCALL|__cdecl)\s+)*"
-              r"(?:[\w\*]+\s+)+(\w+)\s*\(([^)]*)\)\s*(?:const\s*)?(?:\{|;)")
+# One start for each run of words, stars and white space, whose end is looked at before its lines: no
+# repeated groups, which recurse, and no second look at a run. The content must begin with a line end.
+LINE_BREAK = r"(?>\r\n|[\n\r\x85\u2028\u2029])"
+C_HEAD = r"\([^)]*\)\s*(?:const\s*)?[{;]"
+C_LEAD = rf"[\w*\s]*?{LINE_BREAK}(?=[\w*])"
+C_FUNCTION = rf"(?U)(?<![\w*\s])(?=[\w*\s]++{C_HEAD}){C_LEAD}[\w*\s]*\s(\w+)\s*\(([^)]*)\)\s*(?:const\s*)?[{{;]"
 # An include ends on its own line, so the white space and the name stop at a line end.
 C_INCLUDE = r"""(?U)#include[\s&&[^\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]]*[<"]([^>"\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]+)[>"]"""
 C_CLASS = r"(?U)(?:class|struct)\s+(\w+)\s*(?::\s*(?:public|private|protected)\s+\w+)?\s*\{"
@@ -136,11 +140,24 @@ def _matches(kind: str, pattern: str, *, name: int = 1, args: int = 0, base: int
     return F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), one)
 
 
-def _located(kind: str, pattern: str, name, *, args: int = 0, line_end: str = "\n", content: Column | None = None) -> Column:
-    """Matches with the line they start on, filled in by the running sum of :func:`_finish`."""
+def _located(kind: str, pattern: str, name, *, args: int = 0, line_end: str = "\n", content: Column | None = None, lead: str | None = None) -> Column:
+    """Matches with the line they start on, filled in by the running sum of :func:`_finish`.
+
+    With ``lead`` the pattern wants a line end in front of the content, and what ``lead`` matches at the start of a hit is no part of it.
+    """
     source = F.col("content") if content is None else content
+    if lead:
+        source = F.concat(F.lit("\n"), source)
+
+    def own(hit: Column) -> Column:
+        return F.regexp_replace(hit, rf"(?U)\A{lead}", "") if lead else hit
+
+    def before(z: Column, i: Column) -> Column:
+        skipped = F.coalesce(text.newline_count(z["hit"]) - text.newline_count(own(z["hit"])), F.lit(0)) - F.when(i == 0, 1).otherwise(0)
+        return z["before"] + skipped if lead else z["before"]
+
     return F.transform(text.cut_at(source, pattern, line_end), lambda z, i: _symbol(
-        kind, i, name=name(z["hit"]), before=z["before"], hit=z["hit"], line=F.lit(-1),
+        kind, i, name=name(z["hit"]), before=before(z, i), hit=own(z["hit"]), line=F.lit(-1),
         args=text.comma_parts(F.regexp_extract(z["hit"], pattern, args)) if args else None))
 
 
@@ -150,7 +167,7 @@ def _group(pattern: str, *groups: int):
 
 def _arrays_c() -> Column:
     return F.concat(
-        _located("function", C_FUNCTION, _group(C_FUNCTION, 1), args=2),
+        _located("function", C_FUNCTION, _group(C_FUNCTION, 1), args=2, lead=C_LEAD),
         _located("import", C_INCLUDE, _group(C_INCLUDE, 1), line_end=text.LINE_END),
         _matches("class", C_CLASS, first_line=True), _matches("define", C_DEFINE))
 

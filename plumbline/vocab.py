@@ -193,9 +193,9 @@ SQL_SUMMARY_TRANSFER = "Data Transfer: Transformation and ingestion into target
 SQL_SUMMARY_QUERY = "Data Retrieval: Pure query or view definition."
 SQL_SUMMARY_UNREADABLE = "Procedural Logic"
 
-# Command rules in order, first match wins.
+# Command rules in order, first match wins. Words before a name are one run of characters, not a repeated group, which recurses.
 COMMAND_RULES = (
-    ("GITOPS-001", r"git\s+push\s+(?:[-\w]+\s+)*origin\s+(?:master|main)\b"),
+    ("GITOPS-001", r"git\s+push\s+(?:[-\w][-\w\s]*\s)?origin\s+(?:master|main)\b"),
     ("GITOPS-002", r"\bgit\s+merge\b"),
     ("GITOPS-003", r"gh\s+pr\s+merge\b.*--admin"),
     ("GITOPS-004", r"(?i)gh\s+api\b.*\bbranches/(?:master|main)/protection\b.*(PUT|DELETE|PATCH)"),
