@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import skew_join
 from ..session import cut_lineage
 
+# Links that one task settles by union-find; more go through rounds of joins, with the same result.
+FEW_LINKS = 200_000
+
 
 def _to_smallest(pairs: DataFrame) -> DataFrame:
     """(u, v) with the smallest v of each u added as ``m``; u may have any number of rows."""
@@ -33,14 +39,37 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def _united(edges: DataFrame) -> DataFrame:
+    """The components of at most ``FEW_LINKS`` edges, in one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while up.setdefault(i, i) != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                u, v = root(u), root(v)
+                up[max(u, v)] = min(u, v)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(i) for i in nodes], pa.int64())], names=["node", "root"])
+
+    return edges.repartition(1).mapInArrow(run, "node long, root long")
+
+
+def connected_components(links: DataFrame, *, few_links: int = FEW_LINKS) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); the root is the smallest node of its component.
 
-    Large-star and small-star steps alternate until every node hangs on its root; the number of rounds
+    The links are counted. Up to ``few_links`` one task unites them. Beyond, large-star and small-star steps alternate until every node hangs on its root; the number of rounds
     grows with the logarithm of the longest path. A link from a node to itself or with a null counts for nothing.
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     edges = cut_lineage(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(a.alias("u"), b.alias("v")).distinct())
+    if edges.count() <= few_links:
+        return _united(edges)
     before = None
     while (now := _state(edges)) != before and now[0]:
         before = now

@@ -49,13 +49,13 @@ def metadata(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", dim
     grouped = groups.where("n > 1")
     named = skew_join(rows, grouped.drop("n"), ["h", "size"], "left", sizes=grouped.select("h", "size", "n"))
     low = F.coalesce(F.col("doc").cast("long"), F.lit(0))
-    return cut_lineage(named.select("doc", "size", "crc", "h", low.alias("d"), F.col("size").alias("k0"),
+    return cut_lineage(named.select("doc", "size", "crc", "h", low.alias("d"), F.lit(0).cast("long").alias("root"), F.col("size").alias("k0"),
                                     *[F.coalesce(f"g{k}", k).alias(k) for k in spots]))
 
 
 def _with_nodes(rows: DataFrame, splits: list[list[tuple]]) -> DataFrame:
     """Walks each row down the levels found so far; each level's table has one row for each node."""
-    out = rows.withColumn("node", F.lit(0).cast("long"))
+    out = rows.withColumnRenamed("root", "node")
     schema = "node long, dim int, sk long, sh long, sd long"
     for level in splits:
         known = rows.sparkSession.createDataFrame(level, schema)
