@@ -15,11 +15,11 @@ Other columns play no part.
 
 from __future__ import annotations
 
-import os
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,35 +33,43 @@ from ..session import cut_lineage
 CAPACITY = 2048
 END_ID = 0
 BLOCK_PIECES = 4096
-CACHED_WORDS = 200_000
+# Characters of a text that are encoded at a time.
+CUT_TEXT = 100_000
 # Fixed value: how byte-level BPE vocabularies of this kind split text before any merge.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_EDGE = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 
 class Encoder:
-    """Texts to ids as little-endian 32-bit bytes. Ids of a word don't depend on its neighbours, so they are kept."""
+    """Texts to ids, as little-endian 32-bit bytes, by the vocabulary of a byte-level BPE file.
+
+    Merges follow from the ids, so the vocabulary as ranks gives the ids that the file's own library gives.
+    """
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.words = regex.compile(SPLIT)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = {w for words in split for w in words}
-        new = list(new)
-        for word, made in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.array(made.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        # Byte-level vocabularies write a byte as a printable character: itself, or one after the first 256 in turn.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        others = [b for b in range(256) if b not in plain]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in vocabulary.items()}
+        self.model = tiktoken.Encoding("given", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """A long text is cut before words, where the split of the text has an edge anyhow."""
+        if len(text) <= CUT_TEXT:
+            return np.array(self.model.encode_ordinary(text), "<u4").tobytes()
+        parts, at = [], 0
+        edges = [m.start() for m in _EDGE.finditer(text)]
+        while at < len(text):
+            end = bisect_left(edges, at + CUT_TEXT)
+            end = edges[end] if end < len(edges) else len(text)
+            parts.append(np.array(self.model.encode_ordinary(text[at:end]), "<u4").tobytes())
+            at = end
+        return b"".join(parts)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -83,12 +91,11 @@ def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str =
         for batch in batches:
             rows: list[tuple] = []
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for name, ids in zip(names[at:at + 256], encoder.encode([t or "" for t in texts[at:at + 256]])):
-                    ids += end
-                    for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
-                        own = ids[4 * start:4 * (start + length)]
-                        rows.append((name, i, start, length, zlib.crc32(own), *[np.frombuffer(own, "<i4")] * with_ids))
+            for name, value in zip(names, texts):
+                ids = encoder.encode(value or "") + end
+                for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
+                    own = ids[4 * start:4 * (start + length)]
+                    rows.append((name, i, start, length, zlib.crc32(own), *[np.frombuffer(own, "<i4")] * with_ids))
             columns = list(zip(*rows)) or [()] * len(schema.fields)
             kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
