@@ -23,7 +23,6 @@ DEFINITIONS = {"js": (JS_DEFINITION, (1, 2)), "csharp": (CS_DEFINITION, (1,)), "
 EXTERNAL_PREFIXES = ("Sc", "Win", "Nfc", "Usb")
 
 MAX_DEPTH = 6
-ENTRY_MODULES = 5
 
 # Edges: (caller, callee, line, location, pos); `pos` orders the calls of one line.
 
@@ -142,34 +141,38 @@ def external_calls(edges: DataFrame, found_patterns: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(marks), "callee", "left").where(F.col("_hit") | looks_external(F.col("callee"))).drop("_hit")
 
 
-def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Call paths from entry functions: (entry, file, depth, path, callee), one row per step.
+def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """Steps of the flows from entry functions: (entry, file, depth, caller, callee, again).
 
-    A step is expanded up to ``max_depth`` and never when its name is already on the path, so
-    cycles end in a leaf. Each level is one join with the graph and is kept in the shared folder.
+    A level holds each step once, whatever number of paths lead to it, and a function is left only at the
+    first level that reaches it, so rows grow with the edges. ``again`` marks steps to a function of an earlier level
+    (cycles among them), where the flow isn't followed further. Each level is kept in the shared folder; steps up to
+    ``max_depth`` calls below the entry's own are listed, all of them for None.
     """
     adjacent = cut_lineage(graph.select("caller", "callee").distinct())
-    frontier = roots.select("entry", "file").distinct().select(
-        "entry", "file", F.lit(0).alias("depth"), F.array("entry").alias("trail"), F.lit(False).alias("repeated"))
-    levels = []
-    for depth in range(max_depth + 1):
-        open_steps = frontier.where(~F.col("repeated")).withColumn("caller", F.element_at("trail", -1))
-        frontier = cut_lineage(open_steps.join(adjacent, "caller").select(
-            "entry", "file", F.lit(depth + 1).alias("depth"), F.array_append("trail", F.col("callee")).alias("trail"),
-            F.array_contains("trail", F.col("callee")).alias("repeated"),
-        ))
-        levels.append(frontier)
+    name = ["entry", "file", "name"]
+    frontier = reached = cut_lineage(roots.select("entry", "file", F.col("entry").alias("name")).distinct())
+    levels: list[DataFrame] = []
+    while max_depth is None or len(levels) <= max_depth:
+        found = frontier.withColumnRenamed("name", "caller").join(adjacent, "caller")
+        known = reached.select("entry", "file", F.col("name").alias("callee"), F.lit(True).alias("_known"))
+        level = cut_lineage(found.join(known, ["entry", "file", "callee"], "left").select(
+            "entry", "file", F.lit(len(levels) + 1).cast("bigint").alias("depth"), "caller", "callee", F.coalesce("_known", F.lit(False)).alias("again")))
+        levels.append(level)
+        frontier = cut_lineage(level.where(~F.col("again")).select("entry", "file", F.col("callee").alias("name")).distinct())
+        if frontier.isEmpty():
+            break
+        reached = reached.select(*name).union(frontier.select(*name))
     steps = levels[0]
     for level in levels[1:]:
-        steps = steps.unionByName(level)
-    return steps.select("entry", "file", F.col("depth").cast("bigint").alias("depth"),
-                        F.array_join("trail", ">").alias("path"), F.element_at("trail", -1).alias("callee"))
+        steps = steps.union(level)
+    return steps
 
 
-def entry_roots(corpus: DataFrame, parser: str, *, k: int = ENTRY_MODULES) -> DataFrame:
-    """Functions of the first ``k`` entry modules in path order; only those files are looked into."""
-    first = module_heads(corpus, parser).where("is_entry_point").select("path").orderBy("path").limit(k)
-    files = corpus.join(F.broadcast(first), "path", "left_semi")
+def entry_roots(corpus: DataFrame, parser: str, *, k: int | None = None) -> DataFrame:
+    """Functions of the entry modules, of the first ``k`` in path order if given; only those files are looked into."""
+    first = module_heads(corpus, parser).where("is_entry_point").select("path")
+    files = corpus.join(first if k is None else first.orderBy("path").limit(k), "path", "left_semi")
     own = symbols(files, parser).where(F.col("kind") == "function")
     return own.select(F.col("name").alias("entry"), F.col("path").alias("file"))
 

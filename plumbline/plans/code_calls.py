@@ -113,13 +113,14 @@ def external_calls(spark, folder):
 
 @query("entry_flows", EDGES_C.replace("WITH x", "WITH RECURSIVE x") + r"""
 , adj AS (SELECT DISTINCT caller, callee FROM e),
-ent AS (SELECT path FROM x WHERE contains(content, 'main(') ORDER BY path LIMIT 5),
+ent AS (SELECT path FROM x WHERE contains(content, 'main(')),
 roots AS (SELECT DISTINCT regexp_extract(text, '(\w+)\s*\(', 1) AS entry, path AS file FROM l
           WHERE path IN (FROM ent) AND regexp_matches(text, '^(static )?int \w+\(')),
-walk AS (SELECT entry, file, CAST(0 AS BIGINT) AS depth, [entry] AS trail, false AS repeated FROM roots
-         UNION ALL SELECT entry, file, depth + 1, list_append(trail, callee), list_contains(trail, callee)
-         FROM walk JOIN adj ON adj.caller = trail[-1] WHERE NOT repeated AND depth <= 6)
-SELECT entry, file, depth, array_to_string(trail, '>') AS path, trail[-1] AS callee FROM walk WHERE depth > 0""")
+walk AS (SELECT entry, file, entry AS name, CAST(0 AS BIGINT) AS depth FROM roots
+         UNION SELECT entry, file, callee, depth + 1 FROM walk JOIN adj ON adj.caller = walk.name WHERE depth <= 6),
+seen AS (SELECT entry, file, name, min(depth) AS depth FROM walk GROUP BY ALL)
+SELECT a.entry, a.file, a.depth + 1 AS depth, caller, callee, b.depth <= a.depth AS again
+FROM seen a JOIN adj ON adj.caller = a.name JOIN seen b ON b.entry = a.entry AND b.file = a.file AND b.name = callee WHERE a.depth <= 6""")
 def entry_flows(spark, folder):
     files = code(spark, folder, "c")
     roots = op.entry_roots(files, "c")

@@ -14,15 +14,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads a small input over all cores before per-file work.
+# Session setting by which the caller asks for a number of partitions of texts and files; unset, the reader's splits stay.
+INPUT_PARTITIONS = "spark.plumbline.inputPartitions"
 
-    A small table may be a single file that one task would read and then process alone. A large
-    one already comes in many splits and is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores, key) if int(str(size)) < cores * 128 * 2**20 else df
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals rows to as many partitions as the session asks for, if it does: a file of one row group is one task otherwise."""
+    asked = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(asked), key) if asked else df
 
 
 # File extension given to each document language.
@@ -122,7 +121,7 @@ def finops(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
     return (
         lines.join(parts, "l_partkey").join(orders, "l_orderkey").join(customers, "o_custkey")
-        .join(F.broadcast(nations), "n_nationkey")  # one row per nation, a fixed list
+        .join(nations, "n_nationkey")
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
             F.concat(F.lit("org-"), F.col("n_regionkey").cast("string")).alias("org"),

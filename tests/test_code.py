@@ -145,9 +145,24 @@ def test_flows_stop_at_cycles_and_depth(spark):
     edges = [("m", "a"), ("a", "b"), ("b", "a")] + [(f"n{i}", f"n{i + 1}") for i in range(12)]
     graph = spark.createDataFrame(edges, "caller string, callee string")
     roots = spark.createDataFrame([("m", "f"), ("n0", "f"), ("leaf", "f")], "entry string, file string")
-    got = {(r["entry"], r["path"]) for r in calls.entry_flows(graph, roots).collect()}
-    assert {p for e, p in got if e == "m"} == {"m>a", "m>a>b", "m>a>b>a"}
-    assert max(p.count(">") for e, p in got if e == "n0") == 7 and not [p for e, p in got if e == "leaf"]
+    got = [tuple(r) for r in calls.entry_flows(graph, roots).collect()]
+    assert sorted(r[2:] for r in got if r[0] == "m") == [(1, "m", "a", False), (2, "a", "b", False), (3, "b", "a", True)]
+    assert max(r[2] for r in got if r[0] == "n0") == 7 and not [r for r in got if r[0] == "leaf"]
+    assert max(r["depth"] for r in calls.entry_flows(graph, roots, max_depth=None).collect()) == 12
+
+
+def test_a_hub_of_calls_stays_linear(spark):
+    names = [f"h{i}" for i in range(1000)]
+    edges = [("m", n) for n in names] + [(n, "log") for n in names] + [("log", n) for n in names]
+    graph = spark.createDataFrame(edges, "caller string, callee string")
+    roots = spark.createDataFrame([("m", f"f{i}") for i in range(7)], "entry string, file string")
+    assert calls.entry_flows(graph, roots).count() == 7 * 3000
+
+
+def test_all_entry_modules_are_looked_into(corpus):
+    files = corpus({f"{i}.c": f"int start_{i}(void) {{\n  int main(void) {{\n}}\n" for i in range(9)})
+    assert calls.entry_roots(files, "c").select("file").distinct().count() == 9
+    assert calls.entry_roots(files, "c", k=2).select("file").distinct().count() == 2
 
 
 def test_external(spark, rows):
