@@ -96,13 +96,12 @@ def tool_degraded_alert(spark, folder):
 
 
 @query("trace_tree", """
-WITH s AS (SELECT o_orderkey AS trace_id, 'root' AS span_id, NULL AS parent_id, 'order' AS name,
-                  o_orderdate AS started_at, CAST(100 AS BIGINT) AS duration_ms FROM orders
-           UNION ALL SELECT l_orderkey, 'l' || l_linenumber || '-' || l_partkey, CASE WHEN l_linenumber = 1 THEN 'root' ELSE 'missing' END,
-                  'line', l_shipdate, CAST(l_quantity AS BIGINT) FROM lineitem)
-SELECT s.trace_id, s.span_id, s.parent_id, s.name, p.name AS parent_name, s.duration_ms,
-       date_diff('second', p.started_at, s.started_at) AS offset_s
-FROM s LEFT JOIN s p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id""")
+SELECT o_orderkey AS trace_id, 'root' AS span_id, CAST(NULL AS VARCHAR) AS parent_id, 'order' AS name,
+       CAST(NULL AS VARCHAR) AS parent_name, CAST(100 AS BIGINT) AS duration_ms, CAST(NULL AS BIGINT) AS offset_s FROM orders
+UNION ALL
+SELECT l_orderkey, 'l' || l_linenumber || '-' || l_partkey, CASE WHEN l_linenumber = 1 THEN 'root' ELSE 'missing' END, 'line',
+       CASE WHEN o_orderkey IS NOT NULL THEN 'order' END, CAST(l_quantity AS BIGINT), date_diff('second', o_orderdate, l_shipdate)
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND l_linenumber = 1""")
 def trace_tree(spark, folder):
     roots = table(spark, folder, "orders").selectExpr(
         "o_orderkey AS trace_id", "'root' AS span_id", "CAST(NULL AS STRING) AS parent_id", "'order' AS name",
