@@ -168,7 +168,8 @@ def weights(pages: DataFrame, *, page: str = "html", rows: int = SAMPLE_PAGES) -
     return {r["feature"]: math.log((r["i"] + 1) / (r["o"] + 1)) for r in sums.orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(4096).collect()}
 
 
-WORD, TAG = 1.0, -1.5
+# What a word, a block's tag and any other tag score before pages have taught better.
+WORD, TAG, INLINE = 1.0, -1.0, -0.2
 
 
 def token_score(token: tuple[str, str, str, bool, int], learned: dict[str, float], clip: float = 4.0) -> float:
@@ -179,9 +180,8 @@ def token_score(token: tuple[str, str, str, bool, int], learned: dict[str, float
         if token[3]:
             return -WORD * n
         return n * (WORD if odds is None else min(clip, max(0.1, odds + WORD)))
-    if token[3]:
-        return TAG
-    return TAG if odds is None else max(-clip, min(-0.1, odds + TAG))
+    plain = TAG if token[1] in BLOCKS else INLINE
+    return plain if odds is None or token[3] else max(-clip, min(-0.1, odds + plain))
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

@@ -106,7 +106,7 @@ def binned(labelled: DataFrame, bins: int) -> tuple[DataFrame, dict[str, list[fl
 
     A bin number is how many cuts a value exceeds. Cuts are quantiles of the good and of the bad rows.
     """
-    shares = [0.005, 0.02] + [i / bins for i in range(1, bins)] + [0.98, 0.995]
+    shares = [0.0, 0.02] + [i / bins for i in range(1, bins)] + [0.98, 1.0]
     rows = labelled.groupBy("bad").agg(*[F.percentile_approx(F.expr(e), shares, 20_000).alias(m) for m, e in MEASURES.items()]).collect()
     cuts = {m: sorted({c for row in rows for c in row[m] or []}) for m in MEASURES}
     number = [reduce(lambda a, b: a + b, [(F.expr(e) > c).cast("int") for c in cuts[m]], F.lit(0)).alias(m) for m, e in MEASURES.items()]
@@ -147,8 +147,8 @@ def learn(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label:
         inside = left
         while len(rule) < max_conditions and n0:
             found = counts(inside, True, [_holds([o]) for o in options])
-            # Of conditions that gain alike the narrowest wins, so that a threshold stays clear of good documents.
-            best = max(range(len(options)), key=lambda i: (_gain(*found[i], p0, n0), options[i][2] if options[i][1] == ">" else -options[i][2], -i))
+            # Of conditions that gain alike the widest wins.
+            best = max(range(len(options)), key=lambda i: (_gain(*found[i], p0, n0), options[i][2] if options[i][1] == "<=" else -options[i][2], -i))
             if _gain(*found[best], p0, n0) <= 0:
                 break
             rule.append(options[best])
@@ -165,7 +165,8 @@ def learn(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label:
             break
         rules.append(shorter[best])
         left = left.where(~_holds(shorter[best]))
-    return [[(m, op, float(cuts[m][i])) for m, op, i in rule] for rule in rules]
+    # Halfway to the next cut, a threshold keeps clear of the good and the bad rows beside it.
+    return [[(m, op, float(cuts[m][i] + cuts[m][min(i + 1, len(cuts[m]) - 1)]) / 2) for m, op, i in rule] for rule in rules]
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
