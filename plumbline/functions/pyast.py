@@ -69,7 +69,10 @@ def describe(source: str, wanted_args: frozenset[str]) -> dict:
 
 
 def describe_files(corpus: DataFrame, wanted_args: tuple[str, ...], *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per file; where the source is not valid Python ``parsed`` is false and ``source`` its text."""
+    """One row per file; where the source is not valid Python ``parsed`` is false and ``source`` its text.
+
+    A file too deeply nested to walk has a null ``parsed`` and no symbols; it isn't taken for another language.
+    """
     wanted = frozenset(wanted_args)
     fields = ("imports", "classes", "functions", "calls")
     kept = ", ".join(f"`{c}` {t}" for c, t in corpus.select(*keep).dtypes) if keep else ""
@@ -80,8 +83,10 @@ def describe_files(corpus: DataFrame, wanted_args: tuple[str, ...], *, keep: tup
             for content in batch["content"]:
                 try:
                     rows.append({"parsed": True, "source": None, **describe(content, wanted)})
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                except (SyntaxError, ValueError):
                     rows.append({"parsed": False, "source": content, **{f: [] for f in fields}})
+                except (RecursionError, MemoryError):
+                    rows.append({"parsed": None, "source": None, **{f: [] for f in fields}})
             out = pd.DataFrame(rows, columns=["parsed", "source", *fields])
             out.insert(0, "path", batch["path"].to_numpy())
             for column in keep:

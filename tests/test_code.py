@@ -227,3 +227,12 @@ def test_critical_and_summary(spark):
 def test_head_per_group(spark, rows):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 0)], "g string, n int")
     assert rows(st.head_per_group(df, ["g"], 2, "n")) == [("a", 0, 1, 3), ("a", 1, 2, 3), ("b", 0, 1, 0)]
+
+
+def test_a_file_too_deep_to_walk_is_marked(corpus):
+    from plumbline.operators.code_structure import describe_python
+
+    files = corpus({"deep.py": "def f():\n  return " + "-" * 60_000 + "1\n", "bad.py": "def (:\n", "good.py": "def g():\n  pass\n"})
+    got = {r["path"]: r["parsed"] for r in describe_python(files).collect()}
+    assert got == {"deep.py": None, "bad.py": False, "good.py": True}
+    assert {r["path"] for r in st.symbols(files, "python").where("kind = 'function'").collect()} == {"good.py"}
