@@ -17,11 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.skew import skew_join
+from ..session import cut_lineage
 from .text import added, extend, utf8, word_spans
 
 WINDOW = 16
@@ -30,6 +32,9 @@ REACH = 64
 # Words that the chained chunks of a passage hold at least; passages of 50 words and more hold as many.
 MIN_WORDS = 25
 NO_ID = -(2**63)
+# Bits of the filter by which documents know digests that can't be shared. Its size is fixed: with very many shared
+# digests it lets more through, which costs shuffled rows and changes nothing else.
+FILTER_BITS = 1 << 25
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -57,15 +62,18 @@ def chunk_ends(data: bytes, average: int = AVERAGE) -> np.ndarray:
     return ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data))
 
 
-def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", average: int = AVERAGE, places: bool = True) -> DataFrame:
+def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", average: int = AVERAGE, places: bool = True,
+            wanted: Broadcast | None = None) -> DataFrame:
     """(doc, digest) and, with ``places``, ``span`` and ``words``: for each chunk with a successor, offsets where both start and end.
 
     ``span`` holds byte offsets, ``words`` counts of words that start before them, two 32-bit numbers each.
+    ``wanted`` is a filter made by :func:`digest_filter`.
     """
     names = ["doc", "digest", "span", "words"] if places else ["doc", "digest"]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if wanted is None else wanted.value
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
             for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
@@ -80,6 +88,10 @@ def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", aver
                 if places:
                     first = word_spans(data)[0]
                     made += (start << 32 | end, np.searchsorted(first, start) << 32 | np.searchsorted(first, end))
+                    if bits is not None:
+                        at = digest.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+                        hit = bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+                        made = tuple(c[hit] for c in made)
                 else:
                     digest = np.unique(digest)  # a document counts once for each digest
                     made = (made[0][:len(digest)], digest)
@@ -91,6 +103,16 @@ def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", aver
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.col(text)).mapInArrow(run, schema)
 
 
+def digest_filter(digests: DataFrame, *, bits: int = FILTER_BITS) -> Broadcast:
+    """One bit for each value of the low bits of a digest: set if some digest has it."""
+    at = F.col("digest").bitwiseAND(F.lit(bits - 1))
+    words = digests.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(digest & 63 AS int))").alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bit").to_numpy().view(np.uint64)
+    return digests.sparkSession.sparkContext.broadcast(out)
+
+
 def repeated_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", average: int = AVERAGE, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): passages in byte offsets that stand in another document too.
 
@@ -98,8 +120,8 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     """
     how = {"text": text, "doc_id": doc_id, "average": average}
     sums = windows(docs, places=False, **how).groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    shared = sums.where(F.col("first") < F.col("last")).select("digest", "first", "n")
-    hits = skew_join(windows(docs, **how), shared.select("digest", "first"), ["digest"], sizes=shared.select("digest", "n"))
+    shared = cut_lineage(sums.where(F.col("first") < F.col("last")).select("digest", "first", "n"))
+    hits = skew_join(windows(docs, wanted=digest_filter(shared), **how), shared.select("digest", "first"), ["digest"], sizes=shared.select("digest", "n"))
     # A list is as long as one document.
     lists = hits.groupBy("doc").agg(F.collect_list(F.struct("span", "words", "first")).alias("own"))
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "end", "n_words", "first_doc_id")])
