@@ -31,39 +31,36 @@ BUCKETS = 1 << 18
 ORDERS = (3, 4, 5, 6)
 # N-grams that the fit may weigh: those whose ratio is surest. All others have weight 0.
 KEPT_BUCKETS = 20_000
-CACHED_WORDS = 400_000
-
-
-def word_buckets(word: str) -> list[int]:
-    """Buckets of the n-grams of one padded word."""
-    padded = f" {word} "
-    found = {padded[i:i + n] for n in ORDERS for i in range(len(padded) - n + 1)}
-    return [xxhash.xxh32_intdigest(g.encode("utf-8", "replace")) % BUCKETS for g in found]
-
-
-class Grams:
-    """The distinct buckets of a text; those of a word are kept while there is room."""
-
-    def __init__(self, wanted: np.ndarray | None = None):
-        self.wanted, self.known = wanted, {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        made = np.array(word_buckets(word), np.int32)
-        return made if self.wanted is None else made[self.wanted[made]]
-
-    def of_text(self, text: str | None) -> np.ndarray:
-        words = set((text or "").lower().split())
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        parts = []
-        for w in words:
-            part = known.get(w)
-            if part is None:
-                part = known[w] = self.of_word(w)
-            if len(part):
-                parts.append(part)
-        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
+# Code points of a long text that are hashed at a time.
+CHUNK = 1 << 20
+
+
+def _part(points: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """Distinct buckets of the n-grams that start in ``points``, blanks being 32; no n-gram has a blank inside."""
+    blanks = np.concatenate([[0], np.cumsum(points == 32)])
+    out, h = [], points
+    with np.errstate(over="ignore"):
+        for n in range(2, max(ORDERS) + 1):
+            if len(points) < n:
+                break
+            h = h[:-1] * np.uint64(0x100000001B3) + points[n - 1:]
+            if n in ORDERS:
+                whole = blanks[n - 1:len(points)] == blanks[1:len(points) - n + 2]
+                mixed = (h[whole] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+                bucket = (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+                out.append(bucket if wanted is None else bucket[wanted[bucket]])
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.int32)
+
+
+def gram_buckets(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The distinct buckets of a text, of those ``wanted``."""
+    points = np.frombuffer(" ".join((text or "").lower().split()).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    if not len(points):
+        return np.empty(0, np.int32)
+    points = np.concatenate([[np.uint64(32)], points, [np.uint64(32)]])
+    reach = max(ORDERS) - 1
+    parts = [_part(points[at:at + CHUNK + reach], wanted) for at in range(0, max(1, len(points) - reach), CHUNK)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, *, text: str, doc_id: str, label: str, rows: int) -> DataFrame:
@@ -80,10 +77,10 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, *, text: str, doc_
 def ratios(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Log-count ratio of each bucket, documents with it, and the number of training documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, made = np.zeros((2, BUCKETS + 1), np.int64), Grams()
+        count = np.zeros((2, BUCKETS + 1), np.int64)
         for batch in batches:
             for label, value in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                count[label, made.of_text(value)] += 1
+                count[label, gram_buckets(value)] += 1
                 count[label, BUCKETS] += 1  # the documents themselves
         at = np.flatnonzero(count.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[0, at]), pa.array(count[1, at])], names=["bucket", "n0", "n1"])
@@ -110,9 +107,8 @@ def fit(examples: DataFrame, *, steps: int = 120, l2: float = 8.0) -> tuple[np.n
     size, scale = int(wanted.sum()), ratio[wanted]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Grams(wanted)
         for batch in batches:
-            rows = [number[made.of_text(v)].astype(np.int32) for v in batch.column("text").to_pylist()]
+            rows = [number[gram_buckets(v, wanted)].astype(np.int32) for v in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], names=["label", "at"])
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
@@ -153,10 +149,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        made = Grams(weights != 0)
+        wanted = weights != 0
         for batch in batches:
-            z = np.array([weights[made.of_text(v)].sum() for v in batch.column(text).to_pylist()]) + bias
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            z = np.array([weights[gram_buckets(v, wanted)].sum() for v in batch.column(text).to_pylist()]) + bias
+            p = np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
             yield extend(batch, schema, {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     return docs.mapInArrow(run, schema)
