@@ -36,6 +36,8 @@ SEED = 42
 TREE_NODES = 20_000
 # Fingerprints of one shard to aim at: bits of a shard's name follow from it and the number of fingerprints.
 SHARD_NODES = 16
+# Bins in which the shingles of a text are counted: what two texts differ by in them, their sets differ by at least.
+BINS = 128
 _ROWS = 1 << 15
 
 
@@ -52,8 +54,8 @@ def shingle_slices(data: bytes, words: int) -> tuple[bytes, list[int], list[int]
     return low, starts[:n].tolist(), ends[-n:].tolist()
 
 
-def fingerprint(data: bytes | None, words: int, bits: int) -> bytes:
-    """Big-endian SimHash; 64 bits from XXH64, 128 from XXH128."""
+def fingerprint(data: bytes | None, words: int, bits: int, hashes: list[np.ndarray] | None = None) -> bytes:
+    """Big-endian SimHash; 64 bits from XXH64, 128 from XXH128. The last 64 bits of each shingle's hash are added to ``hashes``."""
     low, starts, ends = shingle_slices(data or b"", words)
     if not starts:
         return bytes(bits // 8)
@@ -61,19 +63,42 @@ def fingerprint(data: bytes | None, words: int, bits: int) -> bytes:
     ones = np.zeros(bits, np.int64)
     for at in range(0, len(starts), _ROWS):
         raw = b"".join([digest(low[a:b], SEED) for a, b in zip(starts[at:at + _ROWS], ends[at:at + _ROWS])])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int32)
+        table = np.frombuffer(raw, np.uint8).reshape(-1, bits // 8)
+        ones += np.unpackbits(table, axis=1).sum(axis=0, dtype=np.int32)
+        if hashes is not None:
+            hashes.append(np.ascontiguousarray(table[:, -8:]).view(">u8").ravel().astype(np.uint64))
     return np.packbits(2 * ones > len(starts)).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4, bits: int = 64) -> DataFrame:
-    """``docs`` without ``text`` and with its fingerprint as two longs, ``fp_hi`` (0 for 64 bits) and ``fp_lo``."""
-    schema = added(docs, [("fp_hi", T.LongType()), ("fp_lo", T.LongType())], drop=(text,))
+def set_marks(hashes: list[np.ndarray]) -> tuple[int, int, bytes]:
+    """Hash and size of a set of shingles, and how many of them fall in each of ``BINS`` bins (255 at most)."""
+    own = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
+    bins = np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    return _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), len(own), bins.tobytes()
+
+
+def fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4, bits: int = 64, sets: bool = False) -> DataFrame:
+    """``docs`` without ``text`` and with its fingerprint as two longs, ``fp_hi`` (0 for 64 bits) and ``fp_lo``.
+
+    With ``sets`` also ``_set``, ``_size`` and ``_bins`` of :func:`set_marks`.
+    """
+    new = [("fp_hi", T.LongType()), ("fp_lo", T.LongType())]
+    marks = [("_set", T.LongType()), ("_size", T.LongType()), ("_bins", T.BinaryType())] if sets else []
+    schema = added(docs, new + marks, drop=(text,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join([fingerprint(v, words, bits).rjust(16, b"\0") for v in utf8(batch.column(text))])
-            halves = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2)
-            yield extend(batch, schema, {"fp_hi": pa.array(halves[:, 0]), "fp_lo": pa.array(halves[:, 1])})
+            raw, of_sets = [], []
+            for value in utf8(batch.column(text)):
+                hashes: list[np.ndarray] | None = [] if sets else None
+                raw.append(fingerprint(value, words, bits, hashes).rjust(16, b"\0"))
+                if sets:
+                    of_sets.append(set_marks(hashes))
+            halves = np.frombuffer(b"".join(raw), ">i8").astype(np.int64).reshape(-1, 2)
+            out = {"fp_hi": pa.array(halves[:, 0]), "fp_lo": pa.array(halves[:, 1])}
+            for (name, _), kind, values in zip(marks, (pa.int64(), pa.int64(), pa.binary()), list(zip(*of_sets)) or [()] * 3):
+                out[name] = pa.array(values, kind)
+            yield extend(batch, schema, out)
 
     return docs.mapInArrow(run, schema)
 
@@ -149,19 +174,24 @@ class Tree:
         self.up.append(new)
 
 
-def links(distinct: DataFrame, masks: list[int], radius: int, *, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """(a_hi, a_lo, b_hi, b_lo): for each tree, edges that span what its links connect, fewer than its nodes."""
+def dealt(members: DataFrame, masks: list[int], tree_nodes: int, *, by: list[str], carried: list[str]) -> DataFrame:
+    """``members`` at each tree they belong to or are sent to (``probe``), sorted by tree, a tree's own before the others; ``table`` is the mask's number."""
     names = F.array(*[F.xxhash64(F.lit(i), F.col("fp_hi").bitwiseAND(F.lit(_signed(m >> 64))), F.col("fp_lo").bitwiseAND(F.lit(_signed(m))))
                       for i, m in enumerate(masks)])
-    members = distinct.select("fp_hi", "fp_lo", F.explode(names).alias("shard"))
+    members = members.select(*carried, F.posexplode(names).alias("table", "shard"))
     large = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree_nodes).select(
         "shard", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"))  # at most members / tree_nodes rows
     trees = F.coalesce("trees", F.lit(1))
-    own = F.pmod(F.xxhash64("fp_lo", "fp_hi"), trees)
+    own = F.pmod(F.xxhash64(*by), trees)
     sent = (members.join(F.broadcast(large), "shard", "left").withColumn("own", own)
             .withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1)))
-            .select("shard", "tree", (F.col("tree") != F.col("own")).alias("probe"), "fp_hi", "fp_lo"))
-    dealt = sent.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "probe")
+            .select("shard", "tree", (F.col("tree") != F.col("own")).alias("probe"), "table", *carried))
+    return sent.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "probe")
+
+
+def links(distinct: DataFrame, masks: list[int], radius: int, *, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """(a_hi, a_lo, b_hi, b_lo): for each tree, edges that span what its links connect, fewer than its nodes."""
+    sent = dealt(distinct, masks, tree_nodes, by=["fp_lo", "fp_hi"], carried=["fp_hi", "fp_lo"])
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("a_hi", "a_lo", "b_hi", "b_lo")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +205,8 @@ def links(distinct: DataFrame, masks: list[int], radius: int, *, tree_nodes: int
                 key = (hi & _WORD) << 64 | lo & _WORD
                 found = tree.near(key)
                 if probe:
-                    for top in {tree.root(i) for i in found}:
-                        out.append((key, tree.keys[top]))
+                    for i in {tree.root(i): i for i in found}.values():
+                        out.append((key, tree.keys[i]))
                     continue
                 new = len(tree.keys)
                 tree.add(key)
@@ -188,7 +218,81 @@ def links(distinct: DataFrame, masks: list[int], radius: int, *, tree_nodes: int
             words = [[_signed(k >> 64) for k, _ in out], [_signed(k) for k, _ in out], [_signed(k >> 64) for _, k in out], [_signed(k) for _, k in out]]
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()) for w in words], names=schema.names)
 
-    return dealt.mapInArrow(run, schema).distinct()
+    return sent.mapInArrow(run, schema).distinct()
+
+
+class Families:
+    """A BK-tree over fingerprints that several nodes may share, and which knows the subtrees that hold one component alone."""
+
+    def __init__(self, radius: int):
+        self.radius, self.keys, self.kids, self.held, self.sole = radius, [], [], [], []
+
+    def others(self, key: int, component: int) -> list[tuple]:
+        """All nodes within the radius that are not of ``component``."""
+        if not self.keys:
+            return []
+        keys, kids, sole, r, found, todo = self.keys, self.kids, self.sole, self.radius, [], [0]
+        while todo:
+            i = todo.pop()
+            if sole[i] == component:
+                continue
+            d = (keys[i] ^ key).bit_count()
+            if d <= r:
+                found.extend(n for n in self.held[i] if n[1] != component)
+            for edge, child in kids[i].items():
+                if d - r <= edge <= d + r:
+                    todo.append(child)
+        return found
+
+    def add(self, key: int, node: tuple) -> None:
+        at, component = 0, node[1]
+        while at < len(self.keys):
+            if self.sole[at] != component:
+                self.sole[at] = None
+            d = (self.keys[at] ^ key).bit_count()
+            if not d:
+                self.held[at].append(node)
+                return
+            at = self.kids[at].setdefault(d, len(self.keys))
+        self.keys.append(key)
+        self.kids.append({})
+        self.held.append([node])
+        self.sole.append(component)
+
+
+def open_pairs(nodes: DataFrame, masks: list[int], radius: int, least: float, *, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """(a, b): every pair of ``nodes`` (node, component, fp_hi, fp_lo, _size, _bins) within the radius, of one shard and of different
+    components, but for those whose sizes or bins rule out a Jaccard similarity of ``least``."""
+    sent = dealt(nodes, masks, tree_nodes, by=["node"], carried=["node", "component", "fp_hi", "fp_lo", "_size", "_bins"])
+    most = (1 - least) / (1 + least)  # that share of both sizes is the most by which similar sets differ
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, tree = None, Families(radius)
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = [batch.column(c).to_pylist() for c in ("shard", "tree", "probe", "table", "node", "component", "fp_hi", "fp_lo", "_size", "_bins")]
+            for shard, part, probe, table, node, component, hi, lo, size, bins in zip(*columns):
+                if (shard, part) != name:
+                    name, tree = (shard, part), Families(radius)
+                key = (hi & _WORD) << 64 | lo & _WORD
+                # A pair is left to the first shard in which it meets.
+                found = [n for n in tree.others(key, component) if not any((n[2] ^ key) & m == 0 for m in masks[:table])]
+                if found:
+                    theirs = np.frombuffer(b"".join([n[4] for n in found]), np.uint8).reshape(-1, BINS).astype(np.int16)
+                    apart = np.abs(theirs - np.frombuffer(bins, np.uint8)).sum(axis=1)
+                    out.extend((node, n[0]) for n, d in zip(found, apart.tolist()) if max(d, abs(size - n[3])) <= most * (size + n[3]) + 1e-6)
+                if not probe:
+                    tree.add(key, (node, component, key, size, bins))
+                if len(out) >= 50_000:
+                    yield _pairs(out)
+                    out = []
+            yield _pairs(out)
+
+    return sent.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 _WORD = (1 << 64) - 1
@@ -214,13 +318,16 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, schema)
 
 
-def verified(edges: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges (a, b, doc_a, doc_b) whose documents have a Jaccard similarity of at least ``least`` over their shingles."""
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The edges (a, b) whose texts have a Jaccard similarity of at least ``least`` over their shingles.
+
+    ``nodes`` (node, row) name the ``docs`` (row, text) of which each node is compared.
+    """
     edges = cut_lineage(edges)
-    asked = edges.select(F.col("doc_a").alias("doc")).union(edges.select("doc_b")).distinct()
-    sets = cut_lineage(shingle_sets(docs.join(asked, "doc", "left_semi").dropDuplicates(["doc"]), words))
-    both = skew_join(edges, sets.select(F.col("doc").alias("doc_a"), F.col("shingles").alias("x")), ["doc_a"])
-    both = skew_join(both.select("a", "b", "doc_b", "x"), sets.select(F.col("doc").alias("doc_b"), F.col("shingles").alias("y")), ["doc_b"])
+    asked = nodes.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node", "left_semi")
+    sets = cut_lineage(shingle_sets(docs.join(asked.select("row", F.col("node").alias("doc")), "row").dropDuplicates(["doc"]), words))
+    both = skew_join(edges, sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), ["a"])
+    both = skew_join(both, sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), ["b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,30 +348,50 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     ``recall`` None asks for every link, by blocks; else it is the chance to find a link just at the radius. For
     two texts of Jaccard similarity J over their shingles the expected share of differing bits is
     arccos(2J / (1 + J)) / pi, which is 0.15 at J = 0.8; the default radius leaves room for the spread around it.
-    With ``similarity`` an edge counts only if the two texts have that Jaccard similarity. Edges checked are those
-    that span each tree, so copies cost their number; equal fingerprints are not checked.
+    With ``similarity`` an edge counts only if the two texts have that Jaccard similarity. Edges that span each tree are
+    checked first, so copies cost their number; then all pairs within the radius that those have left in different
+    components and whose counts by bins allow the similarity. Equal fingerprints are not checked.
     """
-    marked = cut_lineage(fingerprints(docs, text=text, words=words, bits=bits))
-    distinct = cut_lineage(marked.groupBy("fp_hi", "fp_lo").agg(F.min(doc_id).alias("_first"), F.count("*").alias("_n")))
+    how = {"text": text, "doc_id": doc_id, "words": words, "bits": bits, "radius": radius, "recall": recall, "similarity": similarity, "tree_nodes": tree_nodes}
+    return grouped(docs, **how).drop("_group")
+
+
+def grouped(docs: DataFrame, *, text: str, doc_id: str, words: int, bits: int, radius: int, recall: float | None, similarity: float | None,
+            tree_nodes: int) -> DataFrame:
+    """:func:`near_duplicates` with ``_group``, the number of the component, which does not hang on any doc_id."""
+    marks = ["fp_hi", "fp_lo"]
+    # A node's number is its fingerprint; of 128 bits a 64-bit hash.
+    node = (lambda hi, lo: F.col(lo)) if bits == 64 else (lambda hi, lo: F.xxhash64(hi, lo))
+    own = node("fp_hi", "fp_lo")
+    least = [F.min(doc_id).alias("_first"), F.count("*").alias("_n")]
+    if similarity is not None:
+        docs = docs.withColumn("_row", F.xxhash64(doc_id, text))
+        least.append(F.min(F.struct("_row", "_size", "_bins")).alias("_of"))
+    marked = cut_lineage(fingerprints(docs, text=text, words=words, bits=bits, sets=similarity is not None))
+    nodes = cut_lineage(marked.groupBy(*marks).agg(*least).withColumn("node", own))
+    distinct = nodes.select("fp_hi", "fp_lo")
     n = distinct.count()
     masks = block_masks(bits, radius, n) if recall is None else sampled_masks(bits, radius, n, recall)
     found = links(distinct, masks, radius, tree_nodes=tree_nodes)
-    # A node's number is its fingerprint; of 128 bits a 64-bit hash.
-    node = (lambda hi, lo: F.col(lo)) if bits == 64 else (lambda hi, lo: F.xxhash64(hi, lo))
-    nodes = distinct.withColumn("node", node("fp_hi", "fp_lo"))
     edges = found.select(node("a_hi", "a_lo").alias("a"), node("b_hi", "b_lo").alias("b"))
     if similarity is not None:
-        edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for end in ("a", "b"):
-            edges = edges.join(nodes.select(F.col("node").alias(end), F.col("_first").alias(f"doc_{end}")), end)
-        edges = verified(edges, docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), words, similarity)
+        edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        rows, texts = nodes.select("node", "_of._row").withColumnRenamed("_row", "row"), docs.select(F.col("_row").alias("row"), F.col(text).alias("text"))
+        spanning = cut_lineage(verified(edges, rows, texts, words, similarity))
+        # A node without a link has none within the radius.
+        near = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        roots = connected_components(spanning)
+        unsettled = nodes.join(near, "node", "left_semi").join(roots, "node", "left").select(
+            "node", F.coalesce("root", "node").alias("component"), "fp_hi", "fp_lo", "_of._size", "_of._bins")
+        rest = open_pairs(cut_lineage(unsettled), masks, radius, similarity, tree_nodes=tree_nodes)
+        edges = spanning.union(verified(rest, rows, texts, words, similarity))
     roots = cut_lineage(connected_components(edges))
     linked = roots.join(nodes.select("node", "_first"), "node")
     least = linked.groupBy("root").agg(F.min("_first").alias("_least"), F.count("*").alias("n"))
     least = cut_lineage(least)
-    of_node = skew_join(linked.select("node", "root"), least.drop("n"), ["root"], sizes=least.select("root", "n")).select("node", "_least")
-    named = nodes.join(of_node, "node", "left").select("fp_hi", "fp_lo", F.coalesce("_least", "_first").alias("component_id"))
-    return skew_join(marked, named, ["fp_hi", "fp_lo"], sizes=distinct.select("fp_hi", "fp_lo", F.col("_n").alias("n")))
+    of_node = skew_join(linked.select("node", "root"), least.drop("n"), ["root"], sizes=least.select("root", "n")).select("node", "root", "_least")
+    named = nodes.join(of_node, "node", "left").select(*marks, F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "node").alias("_group"))
+    return skew_join(marked.drop("_row", "_size", "_bins"), named, marks, sizes=nodes.select(*marks, F.col("_n").alias("n"))).drop("_set")
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
