@@ -341,8 +341,7 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, le
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 128, radius: int = 24,
-                    recall: float | None = 0.95, similarity: float | None = 0.8, tree_nodes: int = TREE_NODES) -> DataFrame:
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without ``text`` and with fp_hi, fp_lo and component_id, the smallest doc_id reachable over links.
 
     ``recall`` None asks for every link, by blocks; else it is the chance to find a link just at the radius. For
@@ -352,12 +351,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     checked first, so copies cost their number; then all pairs within the radius that those have left in different
     components and whose counts by bins allow the similarity. Equal fingerprints are not checked.
     """
-    how = {"text": text, "doc_id": doc_id, "words": words, "bits": bits, "radius": radius, "recall": recall, "similarity": similarity, "tree_nodes": tree_nodes}
     return grouped(docs, **how).drop("_group")
 
 
-def grouped(docs: DataFrame, *, text: str, doc_id: str, words: int, bits: int, radius: int, recall: float | None, similarity: float | None,
-            tree_nodes: int) -> DataFrame:
+def grouped(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 128, radius: int = 24,
+            recall: float | None = 0.95, similarity: float | None = 0.8, tree_nodes: int = TREE_NODES) -> DataFrame:
     """:func:`near_duplicates` with ``_group``, the number of the component, which does not hang on any doc_id."""
     marks = ["fp_hi", "fp_lo"]
     # A node's number is its fingerprint; of 128 bits a 64-bit hash.
@@ -395,11 +393,12 @@ def grouped(docs: DataFrame, *, text: str, doc_id: str, words: int, bits: int, r
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: the one with the smallest doc_id, null being the smallest.
 
+    Components are of texts: rows that share a doc_id, or have none, are no copies for that.
     Of rows that share that doc_id the one with the smallest text hash stays; of wholly equal rows, one.
     """
     rows = keyed(docs, doc_id, text)
-    groups = near_duplicates(rows.select("_key", "_crc", F.col(text).alias("text")), text="text", doc_id="_key", **how)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("_key", "_crc")).alias("keep"))
+    groups = grouped(rows.select("_key", "_crc", F.col(text).alias("text")), **{"doc_id": "_key", **how})
+    first = groups.groupBy("_group").agg(F.min(F.struct("_key", "_crc")).alias("keep"))
     return rows.join(first.select("keep._key", "keep._crc"), ["_key", "_crc"], "left_semi").dropDuplicates(["_key", "_crc"]).select(*docs.columns)

@@ -48,3 +48,12 @@ def test_every_pair_within_the_radius_is_compared(spark):
     for nodes in (20_000, 7):
         got = simhash.near_duplicates(docs, recall=0.999999, tree_nodes=nodes).collect()
         assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == name
+
+
+def test_rows_without_or_with_one_doc_id_are_no_copies_for_that(spark):
+    """A third of the rows have no doc_id, some share one; only a copy goes."""
+    texts = [prose(100, 300 + i) for i in range(30)]
+    ids = [None] * 10 + [7] * 5 + list(range(100, 115))
+    rows = [*zip(ids, texts), (500, texts[0] + " tail"), (501, texts[12] + " tail"), (7, texts[20] + " tail")]
+    kept = sorted(r.text for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.999999).collect())
+    assert kept == sorted([*texts[:20], texts[20] + " tail", *texts[21:]])
