@@ -3,11 +3,14 @@
 A gear hash rolls over the bytes of a text; a chunk ends where the hash of the last ``WINDOW`` bytes is small, and
 where it is the smallest within ``REACH`` bytes either way, so that monotonous text is cut too. So ends depend on nearby bytes alone, and an insertion shifts no chunk but those it touches. A digest covers a chunk and the
 next one: two texts that share it share both chunks side by side. Chained digests found in several documents make
-up a repeated passage; it is kept in the document with the smallest doc_id that holds all of it.
+up a repeated passage. Each pair of chunks is kept in the document with the smallest doc_id that holds it, so a document may
+keep some of what it shares and hold, inside of it, what an earlier one keeps; these are passages of their own.
 
 Ends of a passage that lie inside a chunk are not seen: a passage is found a chunk short at each side, about
 ``AVERAGE`` bytes, so ``MIN_WORDS`` is set well below the passages that are to be caught. Null, empty and one-chunk texts have no
-digest. Rows that share a doc_id are one document: what repeats only among them is no repeat. Extra columns play no part.
+digest. Rows that share a doc_id are one document: what repeats only among them is no repeat. A row without a doc_id is a
+document by itself, told from others by its text and earlier than all with a doc_id. Offsets are those of the row with the text
+hash ``row``. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -64,19 +67,19 @@ def chunk_ends(data: bytes, average: int = AVERAGE) -> np.ndarray:
 
 def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", average: int = AVERAGE, places: bool = True,
             wanted: Broadcast | None = None) -> DataFrame:
-    """(doc, digest) and, with ``places``, ``span`` and ``words``: for each chunk with a successor, offsets where both start and end.
+    """(doc, row, digest) and, with ``places``, ``span`` and ``words``: for each chunk with a successor, offsets where both start and end.
 
-    ``span`` holds byte offsets, ``words`` counts of words that start before them, two 32-bit numbers each.
+    ``row`` is a hash of the text; without ``places`` 0 where there is a doc_id. ``span`` holds byte offsets, ``words`` counts of words that start before them, two 32-bit numbers each.
     ``wanted`` is a filter made by :func:`digest_filter`.
     """
-    names = ["doc", "digest", "span", "words"] if places else ["doc", "digest"]
+    names = ["doc", "row", "digest", "span", "words"] if places else ["doc", "row", "digest"]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else wanted.value
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
-            for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            for doc, row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
                 if not data:
                     continue
                 ends = chunk_ends(data, average)
@@ -84,7 +87,7 @@ def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", aver
                     continue
                 start, end = np.concatenate([[0], ends[:-2]]), ends[1:]
                 digest = np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(start.tolist(), end.tolist())], np.uint64).view(np.int64)
-                made = (np.full(len(start), doc, np.int64), digest)
+                made = (np.full(len(start), doc, np.int64), np.full(len(start), row, np.int64), digest)
                 if places:
                     first = word_spans(data)[0]
                     made += (start << 32 | end, np.searchsorted(first, start) << 32 | np.searchsorted(first, end))
@@ -94,13 +97,14 @@ def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", aver
                         made = tuple(c[hit] for c in made)
                 else:
                     digest = np.unique(digest)  # a document counts once for each digest
-                    made = (made[0][:len(digest)], digest)
+                    made = (made[0][:len(digest)], made[1][:len(digest)], digest)
                 parts.append(made)
             columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts)] or [np.empty(0, np.int64)] * len(names)
             for at in range(0, max(1, len(columns[0])), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 50_000]) for c in columns], names=names)
 
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.col(text)).mapInArrow(run, schema)
+    row = F.xxhash64(text) if places else F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.lit(0))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), row, F.col(text)).mapInArrow(run, schema)
 
 
 def digest_filter(digests: DataFrame, *, bits: int = FILTER_BITS) -> Broadcast:
@@ -114,48 +118,77 @@ def digest_filter(digests: DataFrame, *, bits: int = FILTER_BITS) -> Broadcast:
 
 
 def repeated_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", average: int = AVERAGE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id): passages in byte offsets that stand in another document too.
+    """(doc_id, row, start, end, n_words, first_doc_id, kept): passages in byte offsets that stand in another document too.
 
-    ``first_doc_id`` is the smallest doc_id with the passage, the document's own in the one that keeps it.
+    ``first_doc_id`` is the smallest doc_id with the passage, the document's own where it keeps it (``kept``); parts of fewer
+    than ``min_words`` words that a still earlier one has do not cut a passage. Passages that touch hold ``min_words`` together.
     """
     how = {"text": text, "doc_id": doc_id, "average": average}
-    sums = windows(docs, places=False, **how).groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    shared = cut_lineage(sums.where(F.col("first") < F.col("last")).select("digest", "first", "n"))
-    hits = skew_join(windows(docs, wanted=digest_filter(shared), **how), shared.select("digest", "first"), ["digest"], sizes=shared.select("digest", "n"))
-    # A list is as long as one document.
-    lists = hits.groupBy("doc").agg(F.collect_list(F.struct("span", "words", "first")).alias("own"))
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "end", "n_words", "first_doc_id")])
+    no_id = F.when(F.col("doc") == NO_ID, F.col("row"))
+    sums = windows(docs, places=False, **how).groupBy("digest").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(no_id).alias("first_row"), F.max(no_id).alias("last_row"), F.count("*").alias("n"))
+    shared = cut_lineage(sums.where((F.col("first") < F.col("last")) | (F.col("first_row") < F.col("last_row"))).select(
+        "digest", "first", F.coalesce("first_row", F.lit(0)).alias("first_row"), "n"))
+    hits = skew_join(windows(docs, wanted=digest_filter(shared), **how), shared.drop("n"), ["digest"], sizes=shared.select("digest", "n"))
+    # A list is as long as one row's text.
+    lists = hits.groupBy("doc", "row").agg(F.collect_list(F.struct("span", "words", "first", "first_row")).alias("own"))
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc_id", "row", "start", "end", "n_words", "first_doc_id")], T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             own = batch.column("own")
             flat, offsets = own.values, own.offsets.to_numpy()
-            span, words, first = (flat.field(i).to_numpy() for i in range(3))
-            for k, doc in enumerate(batch.column("doc").to_pylist()):
-                part = slice(offsets[k], offsets[k + 1])
-                rows.extend(_passages(doc, span[part], words[part], first[part], min_words))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=schema.names)
+            fields = [flat.field(i).to_numpy() for i in range(4)]
+            for k, (doc, row) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist())):
+                rows.extend(_passages(doc, row, *[f[offsets[k]:offsets[k + 1]] for f in fields], min_words))
+            columns = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.bool_())], names=schema.names)
 
     return lists.mapInArrow(run, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))).withColumn("first_doc_id", F.nullif("first_doc_id", F.lit(NO_ID)))
 
 
-def _passages(doc: int, span: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> Iterator[tuple]:
-    """Merges windows that overlap by a chunk; the passage's keeper is the latest of their first documents."""
-    order = np.argsort(span)
-    span, words, first = span[order], words[order], first[order]
-    start, end = span >> 32, span & 0xFFFFFFFF
-    breaks = np.flatnonzero(np.concatenate([[True], start[1:] >= end[:-1]]))
-    for a, b in zip(breaks.tolist(), [*breaks[1:].tolist(), len(span)]):
-        n = int((words[b - 1] & 0xFFFFFFFF) - (words[a] >> 32))
-        if n >= min_words:
-            yield doc, int(start[a]), int(end[b - 1]), n, int(first[a:b].max())
+def _passages(doc: int, row: int, span: np.ndarray, words: np.ndarray, first: np.ndarray, first_row: np.ndarray, min_words: int) -> Iterator[tuple]:
+    """Chains windows that overlap by a chunk and cuts the chains where the keeper changes.
+
+    A chain's keeper is the latest of the first documents of its windows. Windows in a row that earlier documents have and
+    that hold enough words are cut out and treated likewise; fewer stay part of the passage around them.
+    """
+    order = np.unique(span, return_index=True)[1]  # rows that are wholly equal have the same windows
+    span, words, first, first_row = span[order], words[order], first[order], first_row[order]
+    start, end, before, upto = span >> 32, span & 0xFFFFFFFF, words >> 32, words & 0xFFFFFFFF
+    place = first if first.min() != NO_ID else np.unique(np.stack([first, first_row]), axis=1, return_inverse=True)[1].ravel()
+
+    def runs(a: int, changes: np.ndarray) -> list[tuple[int, int]]:
+        at = [a, *(np.flatnonzero(changes) + a + 1).tolist(), a + len(changes) + 1]
+        return list(zip(at, at[1:]))
+
+    def long(a: int, b: int) -> bool:
+        return upto[b - 1] - before[a] >= min_words
+
+    def passage(a: int, b: int, by: int) -> tuple:
+        own = first[by] == doc and (doc != NO_ID or first_row[by] == row)
+        return doc, row, int(start[a]), int(end[b - 1]), int(upto[b - 1] - before[a]), int(first[by]), bool(own)
+
+    todo = [(a, b) for a, b in runs(0, start[1:] >= end[:-1]) if long(a, b)]
+    while todo:
+        a, b = todo.pop()
+        by = a + int(place[a:b].argmax())
+        earlier = place[a:b] < place[by]
+        at = a
+        for c, d in runs(a, earlier[1:] != earlier[:-1]):
+            if earlier[c - a] and long(c, d):
+                todo.append((c, d))
+                if at < c:
+                    yield passage(at, c, by)
+                at = d
+        if at < b:
+            yield passage(at, b, by)
 
 
 def drop_repeats(docs: DataFrame, passages: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the passages that an earlier document keeps; the cut ends on character boundaries."""
-    spans = passages.where(~F.col("first_doc_id").eqNullSafe(F.col("doc_id"))).groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc")).agg(
+    spans = passages.where("NOT kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("row").alias("_row")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     schema = added(docs, [(text, T.StringType())])
 
@@ -176,5 +209,5 @@ def drop_repeats(docs: DataFrame, passages: DataFrame, *, text: str = "text", do
                 kept.append(data)
             yield extend(batch, schema, {text: pa.array(kept, pa.binary()).cast(pa.string())})
 
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
-    return skew_join(keyed, spans, ["_doc"], "left").mapInArrow(run, schema)
+    keyed = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn("_row", F.xxhash64(text))
+    return skew_join(keyed, spans, ["_doc", "_row"], "left").mapInArrow(run, schema)

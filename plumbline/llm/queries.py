@@ -120,4 +120,4 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_gear_chunk_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return chunks.repeated_passages(docs)
+    return chunks.repeated_passages(docs).select("doc_id", "start", "end", "n_words", "first_doc_id")

@@ -2,10 +2,11 @@
 
 import random
 from itertools import combinations
+from os.path import commonprefix
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
+from plumbline.llm import chunks, simhash
 
 RNG = random.Random(11)
 VOCABULARY = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(3, 8))) for _ in range(3000)]
@@ -57,3 +58,29 @@ def test_rows_without_or_with_one_doc_id_are_no_copies_for_that(spark):
     rows = [*zip(ids, texts), (500, texts[0] + " tail"), (501, texts[12] + " tail"), (7, texts[20] + " tail")]
     kept = sorted(r.text for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.999999).collect())
     assert kept == sorted([*texts[:20], texts[20] + " tail", *texts[21:]])
+
+
+def test_a_passage_of_an_earlier_document_inside_of_what_a_later_one_repeats(spark):
+    p, x, y = prose(80, 1), prose(90, 2), prose(70, 3)
+    texts = {3: f"{prose(30, 4)} {p} {prose(30, 5)}", 10: f"{x} {p} {y}", 50: f"{x} {p} {y}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = chunks.repeated_passages(docs)
+    got = [(r.doc_id, r.first_doc_id, texts[r.doc_id][r.start:r.end]) for r in found.orderBy("doc_id", "start").collect()]
+    assert [g[:2] for g in got] == [(3, 3), (10, 10), (10, 3), (10, 10), (50, 10), (50, 3), (50, 10)]
+    assert all(text in texts[first] for _, first, text in got)
+    kept = {r.doc_id: r.text for r in chunks.drop_repeats(docs, found).collect()}
+    assert kept[3] == texts[3] and len(kept[10]) < len(x) + len(y) + 200 and kept[10].startswith(x)
+    # A text that starts like what follows the passage elsewhere loses no more than that.
+    assert y.removeprefix(commonprefix([y, prose(30, 5)])) in kept[10]
+    assert len(kept[50]) < 200
+
+
+def test_chunks_of_rows_without_or_with_one_doc_id(spark):
+    """Rows without a doc_id are documents of their own; no row is cut at another's offsets."""
+    p, q = prose(80, 21), prose(80, 22)
+    rows = [(None, f"{p} {prose(60, 23)}"), (None, f"{prose(60, 24)} {p}"), (None, prose(150, 25)), (5, f"{q} {prose(60, 26)}"), (8, f"{prose(60, 27)} {q}"), (8, prose(150, 28))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.text for r in chunks.drop_repeats(docs, chunks.repeated_passages(docs)).collect()]
+    whole = [t for _, t in rows if t in kept]
+    assert rows[2][1] in whole and rows[3][1] in whole and rows[5][1] in whole and len(whole) == 4
+    assert all(len(t) < 700 for t in kept if t not in whole)
