@@ -10,7 +10,7 @@ one task, and the trees may grow with the corpus. A shard with more fingerprints
 into several trees, and its fingerprints are sent to each of them.
 
 Null, empty and word-less texts have fingerprint zero, which links like any other. Equal texts share one
-fingerprint and cost one node. Rows that share a doc_id may have different fingerprints; each row gets the
+fingerprint and cost one node; where links are checked, so do texts of one fingerprint only if their shingles are the same. Rows that share a doc_id may have different fingerprints; each row gets the
 component of its own. A null doc_id never names a component unless it has no other. Other columns stay as they are.
 """
 
@@ -349,7 +349,8 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     arccos(2J / (1 + J)) / pi, which is 0.15 at J = 0.8; the default radius leaves room for the spread around it.
     With ``similarity`` an edge counts only if the two texts have that Jaccard similarity. Edges that span each tree are
     checked first, so copies cost their number; then all pairs within the radius that those have left in different
-    components and whose counts by bins allow the similarity. Equal fingerprints are not checked.
+    components and whose counts by bins allow the similarity. Without it equal fingerprints are one node; with it only those
+    of equal sets of shingles are.
     """
     return grouped(docs, **how).drop("_group")
 
@@ -357,7 +358,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 def grouped(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 128, radius: int = 24,
             recall: float | None = 0.95, similarity: float | None = 0.8, tree_nodes: int = TREE_NODES) -> DataFrame:
     """:func:`near_duplicates` with ``_group``, the number of the component, which does not hang on any doc_id."""
-    marks = ["fp_hi", "fp_lo"]
+    marks = ["fp_hi", "fp_lo"] if similarity is None else ["fp_hi", "fp_lo", "_set"]
     # A node's number is its fingerprint; of 128 bits a 64-bit hash.
     node = (lambda hi, lo: F.col(lo)) if bits == 64 else (lambda hi, lo: F.xxhash64(hi, lo))
     own = node("fp_hi", "fp_lo")
@@ -366,8 +367,16 @@ def grouped(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", word
         docs = docs.withColumn("_row", F.xxhash64(doc_id, text))
         least.append(F.min(F.struct("_row", "_size", "_bins")).alias("_of"))
     marked = cut_lineage(fingerprints(docs, text=text, words=words, bits=bits, sets=similarity is not None))
-    nodes = cut_lineage(marked.groupBy(*marks).agg(*least).withColumn("node", own))
-    distinct = nodes.select("fp_hi", "fp_lo")
+    nodes = marked.groupBy(*marks).agg(*least)
+    if similarity is None:
+        nodes = cut_lineage(nodes.withColumn("node", own))
+        distinct = nodes.select("fp_hi", "fp_lo")
+    else:  # of the sets with one fingerprint the first has its number
+        nodes = cut_lineage(nodes)
+        distinct = cut_lineage(nodes.groupBy("fp_hi", "fp_lo").agg(F.min("_set").alias("_least_set"), F.count("*").alias("n")))
+        number = F.when(F.col("_set") == F.col("_least_set"), own).otherwise(F.xxhash64("fp_hi", "fp_lo", "_set"))
+        nodes = skew_join(nodes, distinct.withColumnRenamed("n", "_sets"), ["fp_hi", "fp_lo"], sizes=distinct.drop("_least_set"))
+        nodes = cut_lineage(nodes.withColumn("node", number).drop("_least_set"))
     n = distinct.count()
     masks = block_masks(bits, radius, n) if recall is None else sampled_masks(bits, radius, n, recall)
     found = links(distinct, masks, radius, tree_nodes=tree_nodes)
@@ -376,10 +385,11 @@ def grouped(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", word
         edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         rows, texts = nodes.select("node", "_of._row").withColumnRenamed("_row", "row"), docs.select(F.col("_row").alias("row"), F.col(text).alias("text"))
         spanning = cut_lineage(verified(edges, rows, texts, words, similarity))
-        # A node without a link has none within the radius.
+        # A fingerprint without a link has none within the radius.
         near = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         roots = connected_components(spanning)
-        unsettled = nodes.join(near, "node", "left_semi").join(roots, "node", "left").select(
+        alone = F.col("_sets") == 1
+        unsettled = nodes.where(~alone).union(nodes.where(alone).join(near, nodes["node"] == near["node"], "left_semi")).join(roots, "node", "left").select(
             "node", F.coalesce("root", "node").alias("component"), "fp_hi", "fp_lo", "_of._size", "_of._bins")
         rest = open_pairs(cut_lineage(unsettled), masks, radius, similarity, tree_nodes=tree_nodes)
         edges = spanning.union(verified(rest, rows, texts, words, similarity))

@@ -84,3 +84,16 @@ def test_chunks_of_rows_without_or_with_one_doc_id(spark):
     whole = [t for _, t in rows if t in kept]
     assert rows[2][1] in whole and rows[3][1] in whole and rows[5][1] in whole and len(whole) == 4
     assert all(len(t) < 700 for t in kept if t not in whole)
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    """One shingle that makes up most of a text sets all bits of its fingerprint."""
+    rule = " ".join(["-"] * 300)
+    texts = [f"{rule} {prose(100, 400 + i)}" for i in range(12)]
+    texts += [texts[3] + " tail", texts[5] + " -"]
+    assert len({simhash.fingerprint(t.encode(), 5, 128) for t in texts}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for nodes in (20_000, 5):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, tree_nodes=nodes).collect()}
+        assert got == {i: i for i in range(12)} | {12: 3, 13: 5}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(12))
