@@ -30,7 +30,7 @@ def words(text):
 
 
 def test_all_are_registered():
-    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10 and "pipeline" in QUERIES
+    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 14)] == [1] * 13 and "pipeline" in QUERIES
 
 
 def test_op1_shards_are_even_and_gapless(spark, docs):
