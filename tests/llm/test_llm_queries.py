@@ -72,7 +72,6 @@ def test_op4_ids_and_places(spark, docs):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     got = run(spark, "op4_")
     ids = {i: np.array([*model.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in docs.text.items()}
     assert got.groupby("doc_id").length.sum().to_dict() == {i: len(v) for i, v in ids.items()}
