@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +112,38 @@ def line_of(content: Column, token: Column) -> Column:
     """Line of the first occurrence of ``token``, 0 when it does not occur."""
     at = F.position(token, content)
     return F.when(at > 0, newline_count(F.left(content, at - 1)) + 1).otherwise(F.lit(0).cast("bigint"))
+
+
+# Names of one file that are looked up one by one.
+FEW_NAMES = 8
+
+
+def lines_of(content: str, names: list[str]) -> list[int]:
+    """Line of the first occurrence of each name, in one pass over the content however many names there are."""
+    import ahocorasick
+
+    found: dict[str, int] = {}
+    searched = ahocorasick.Automaton()
+    for name in set(names):
+        if name:
+            searched.add_word(name, name)
+    if len(searched):
+        searched.make_automaton()
+        for end, name in searched.iter(content):
+            if name not in found:
+                found[name] = end - len(name) + 1
+                if len(found) == len(searched):
+                    break
+    ends = [m.start() for m in re.finditer("\n", content)]
+    return [bisect_left(ends, found[n]) + 1 if n in found else int(not n) for n in names]
+
+
+def first_lines(content: Column, names: Column) -> Column:
+    """:func:`line_of` for each of ``names``; files with many names send their content to one linear search."""
+
+    @F.pandas_udf("array<bigint>")
+    def many(contents: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else lines_of(c, list(n)) for c, n in zip(contents, wanted)], dtype=object)
+
+    few = F.size(names) <= FEW_NAMES
+    return F.when(few, F.transform(names, lambda n: line_of(content, n))).otherwise(many(F.when(~few, content), F.when(~few, names)))

@@ -92,11 +92,11 @@ def described_files(corpus: DataFrame) -> DataFrame:
 
 
 def _broken(described: DataFrame) -> DataFrame:
-    return described.where(~F.col("parsed")).select("path", F.col("source").alias("content"))
+    return described.where(F.col("source").isNotNull()).select("path", F.col("source").alias("content"))
 
 
 def call_edges_python(described: DataFrame) -> DataFrame:
-    """Calls inside functions from the syntax tree; files that do not parse go by lines."""
+    """Calls inside functions from the syntax tree; what does not parse goes by lines."""
     edges = described.select("path", F.posexplode("calls").alias("pos", "c")).where(F.col("c.caller").isNotNull()).select(
         "c.caller", "c.callee", "c.line", F.col("path").alias("location"), F.col("pos").cast("bigint").alias("pos"))
     return edges.unionByName(call_edges_line(_broken(described), "generic"))

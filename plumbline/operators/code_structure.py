@@ -98,9 +98,10 @@ def corpus_totals(corpus: DataFrame) -> DataFrame:
     )
 
 
-def with_parser(corpus: DataFrame) -> DataFrame:
-    """Source files with the parser the primary language of the whole corpus selects for them."""
+def with_parser(corpus: DataFrame, primary: str | None = None) -> DataFrame:
+    """Source files with the parser that the primary language, of the whole corpus if not given, selects for them."""
     files, suffix = source_files(corpus), text.suffix(F.col("path"))
+    named = primary_language(corpus).scalar() if primary is None else F.lit(primary)
     primary = F.col("primary_language")
     parser = (
         F.when((primary == "Python") & (suffix == ".py"), "python")
@@ -108,7 +109,7 @@ def with_parser(corpus: DataFrame) -> DataFrame:
         .when(primary.isin("JavaScript", "TypeScript") & suffix.isin(*JS_SUFFIXES), "js")
         .when((primary == "C#") & (suffix == ".cs"), "csharp").otherwise("generic")
     )
-    return files.withColumn("primary_language", primary_language(corpus).scalar()).withColumn("parser", parser)
+    return files.withColumn("primary_language", named).withColumn("parser", parser)
 
 
 # Symbols: (path, kind, ordinal, name, line, args, bases). `line` is NULL where none is reported.
@@ -130,14 +131,18 @@ def _matches(kind: str, pattern: str, *, name: int = 1, args: int = 0, base: int
     """Matches whose own line is not asked for; ``first_line`` reports where the name first occurs."""
     content = F.col("content")
 
-    def one(hit: Column, i: Column) -> Column:
+    def one(hit: Column, i: Column, lines: Column | None = None) -> Column:
         found = F.regexp_extract(hit, pattern, name)
         return _symbol(
-            kind, i, name=found, line=text.line_of(content, found) if first_line else None,
+            kind, i, name=found, line=None if lines is None else F.get(lines, i),
             args=text.comma_parts(F.regexp_extract(hit, pattern, args)) if args else None,
             bases=F.filter(F.array(F.regexp_extract(hit, pattern, base)), lambda b: b != "") if base else None)
 
-    return F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), one)
+    hits = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    if not first_line:
+        return F.transform(hits, lambda hit, i: one(hit, i))
+    names = F.regexp_extract_all(content, F.lit(pattern), F.lit(name))
+    return text.let(text.first_lines(content, names), lambda lines: F.transform(hits, lambda hit, i: one(hit, i, lines)))
 
 
 def _located(kind: str, pattern: str, name, *, args: int = 0, line_end: str = "\n", content: Column | None = None, lead: str | None = None) -> Column:
@@ -185,14 +190,15 @@ def _arrays_generic(content: Column | None = None) -> Column:
     return _located("once", GENERIC_FUNCTION, _group(GENERIC_FUNCTION, 1), content=content)
 
 
-def _arrays_python() -> Column:
-    """Over described files: symbols of the syntax tree, or those of any language where it failed."""
+def _arrays_python(source: Column | None = None) -> Column:
+    """Over described files: symbols of the syntax tree, and those of any language in what it doesn't cover."""
     tree = F.concat(
         F.transform("functions", lambda s, i: _symbol("function", i, name=s["name"], line=s["line"], args=s["args"])),
         F.transform("classes", lambda s, i: _symbol(
             "class", i, name=s["name"], line=s["line"], args=F.transform(s["methods"], lambda m: m["name"]), bases=s["bases"])),
         F.transform("imports", lambda s, i: _symbol("import", i, name=s["module"], line=s["line"], args=s["names"])))
-    return F.when(F.col("parsed"), tree).otherwise(_arrays_generic(F.col("source")))
+    source = F.col("source") if source is None else source
+    return F.when(source.isNull(), tree).otherwise(F.concat(tree, _arrays_generic(source)))
 
 
 ARRAYS = {"python": _arrays_python, "c": _arrays_c, "js": _arrays_js, "csharp": _arrays_csharp, "generic": _arrays_generic}
@@ -225,6 +231,11 @@ def describe_python(corpus: DataFrame) -> DataFrame:
     return describe_files(corpus, KNOWN_FUNCTIONS)
 
 
+def python_rejects(described: DataFrame) -> DataFrame:
+    """(path, problem): files that are read as text, in part or as a whole, and why."""
+    return described.where(F.col("problem").isNotNull()).select("path", "problem")
+
+
 def _described(files: DataFrame) -> DataFrame:
     return files if "parsed" in files.columns else describe_python(files)
 
@@ -260,7 +271,11 @@ def modules(corpus: DataFrame, parser: str) -> DataFrame:
     # One more element per file keeps the files without symbols.
     nothing = F.array(_symbol("none", F.lit(0), name=F.lit(None)))
     found = files.select("path", *heads, F.lit(parser == "c").alias("c_like"), F.inline(F.concat(ARRAYS[parser](), nothing)))
-    rows = _finish(found, heads)
+    return nested(_finish(found, heads), heads)
+
+
+def nested(rows: DataFrame, heads: tuple[str, ...]) -> DataFrame:
+    """Symbols as lists of their file, which bounds them."""
     entry = F.struct("ordinal", "name", "line", "args", "bases")
 
     def of(kind: str) -> Column:

@@ -109,3 +109,20 @@ MIXED_SQL = f"""
 {code_sql('c')} UNION ALL SELECT {BUILD_PATH}, {BUILD_CONTENT} FROM part
 UNION ALL SELECT source || '/' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.c' WHEN 'fr' THEN '.js'
                  WHEN 'es' THEN '.cs' ELSE '.txt' END, text FROM documents"""
+
+
+def tree(spark, folder: str, first: str) -> DataFrame:
+    """Files of all languages and build files; C leads where it is also vendored, else Python does, which comes first by path."""
+    files = table(spark, folder, "part").selectExpr(f"{BUILD_PATH} AS path", f"{BUILD_CONTENT} AS content")
+    for name in LANGUAGES:
+        files = files.unionByName(code(spark, folder, name))
+    if first == "c":
+        files = files.unionByName(code(spark, folder, "c").selectExpr("concat('vendor/', path) AS path", "content"))
+    return files
+
+
+def tree_sql(first: str) -> str:
+    parts = [f"SELECT {BUILD_PATH} AS path, {BUILD_CONTENT} AS content FROM part", *map(code_sql, LANGUAGES)]
+    if first == "c":
+        parts.append(f"SELECT 'vendor/' || path, content FROM ({code_sql('c')})")
+    return " UNION ALL ".join(parts)

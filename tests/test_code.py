@@ -229,10 +229,20 @@ def test_head_per_group(spark, rows):
     assert rows(st.head_per_group(df, ["g"], 2, "n")) == [("a", 0, 1, 3), ("a", 1, 2, 3), ("b", 0, 1, 0)]
 
 
-def test_a_file_too_deep_to_walk_is_marked(corpus):
-    from plumbline.operators.code_structure import describe_python
-
-    files = corpus({"deep.py": "def f():\n  return " + "-" * 60_000 + "1\n", "bad.py": "def (:\n", "good.py": "def g():\n  pass\n"})
-    got = {r["path"]: r["parsed"] for r in describe_python(files).collect()}
-    assert got == {"deep.py": None, "bad.py": False, "good.py": True}
-    assert {r["path"] for r in st.symbols(files, "python").where("kind = 'function'").collect()} == {"good.py"}
+def test_a_file_too_deep_to_parse_keeps_its_symbols(corpus, rows):
+    deep = "import os\n@deco\ndef before(a):\n  return run(a)\n\ndef f():\n  return " + "-" * 60_000 + "g(1)\n\nclass K(B):\n  def m(self):\n    hid_open(self)\n"
+    files = corpus({"deep.py": deep, "bad.py": "def (:\n", "good.py": "def g():\n  pass\n", "nul.py": "x = 1\x00"})
+    described = calls.described_files(files)
+    assert rows(st.python_rejects(described)) == [("bad.py", "syntax error"), ("deep.py", "nested too deeply"), ("nul.py", "null character")] or \
+        rows(st.python_rejects(described)) == [("bad.py", "syntax error"), ("deep.py", "nested too deeply"), ("nul.py", "syntax error")]
+    own = st.symbols(described, "python").where("path = 'deep.py'").cache()
+    assert sorted(names(own, "function")) == [("before", 3), ("f", 6)] and names(own, "class") == [("K", 9)] and names(own, "import") == [("", 1)]
+    edges = {(r["caller"], r["callee"], r["line"]) for r in calls.call_edges_python(described).where("location = 'deep.py'").collect()}
+    assert edges == {("before", "deco", 2), ("before", "run", 4), ("f", "g", 7), ("m", "hid_open", 11)} or edges == {("before", "run", 4), ("f", "g", 7), ("m", "hid_open", 11)}
+    assert [(r["function"], r["line"]) for r in calls.api_calls_python(described).where("file = 'deep.py'").collect()] == [("hid_open", 11)]
+
+
+def test_long_chains_of_names_and_calls(corpus):
+    text = "x = " + ".".join(["a"] * 900) + ".go()\nhid_open(" + "+".join(["1"] * 900) + ")\n"
+    [row] = st.describe_python(corpus({"chain.py": text})).collect()
+    assert row["parsed"] and [c["callee"] for c in row["calls"]] == ["go", "hid_open"]

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import text
 from plumbline.operators import code_calls, code_decisions, code_structure, policy
 
 OLD_FUNCTION = re.compile(r"^(?:(?:static|extern|inline|virtual|WINAPI|STDCALL|__cdecl)\s+)*(?:[\w\*]+\s+)+(\w+)\s*\(([^)]*)\)\s*(?:const\s*)?(?:\{|;)", re.MULTILINE)
@@ -50,3 +51,20 @@ def test_patterns_match_as_plain_search(spark):
         want = [(m[1], t.count("\n", 0, m.start()) + 1) for m in OLD_FUNCTION.finditer(t) if m[1] not in keywords]
         assert got.get(f"{i:04d}.c", []) == want, t
         assert names[f"{i:04d}.c"] == [m[1] for m in OLD_DEFINITION.finditer(t)], t
+
+
+def test_twenty_thousand_classes_in_a_file(corpus):
+    """First lines of all names come from one pass over the file."""
+    structs = "".join(f"struct node_{i} {{\n  int a;\n}};\n" for i in range(20_000))
+    started = time.perf_counter()
+    found = code_structure.symbols(corpus({"a.c": structs}), "c").where("kind = 'class'")
+    assert sum(r["line"] == 3 * r["ordinal"] + 1 for r in found.collect()) == 20_000
+    methods = "class T {\n" + "".join(f"  public int Run{i}(int a) {{ return Run{i - 1}(a); }}\n" for i in range(20_000)) + "}\n"
+    found = code_structure.symbols(corpus({"a.cs": methods}), "csharp").where("kind = 'function'")
+    assert all(r["line"] >= 2 for r in found.collect()) and time.perf_counter() - started < 30
+
+
+def test_first_lines_like_a_search_for_each():
+    content = "ab\nabc b\n\nbca\r\nx é ab"
+    names = ["ab", "b", "abc", "bca", "ca", "x", "é", "none", "", "ab", "\n"]
+    assert text.lines_of(content, names) == [content[:content.find(n)].count("\n") + 1 if n in content else 0 for n in names]
