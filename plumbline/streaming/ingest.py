@@ -1,13 +1,19 @@
 """Event ingest: checks, defaults, an append-only store, a dead-letter store and the rollup.
 
-Each micro-batch owns its folders (``batch_id=N``) and overwrites them, so a replayed batch
-replaces itself and every event counts once. Late events need no watermark: the rollup is kept
-as one small delta per batch and summed on read, so an event of any age lands in its own day at
-a cost that depends on the batch, not on the days it touches.
+The store is folders by day and part, and a list of the live ones that is itself a table. A batch writes a part of each day it
+touches, replacing its own if it is replayed, and then its entries of the list. Compaction merges the parts of a day into one and folds the
+rollup, writes the whole list anew, and last one row that names the batch it reaches *through*: readers look for the largest, so
+they switch in one step, and a replay of a batch that is already folded in changes nothing. Reads of a day open that day's live parts alone.
+
+Late events need no watermark: the rollup is kept as one small delta per batch and summed on read, so an event of any age
+lands in its own day at a cost that depends on the batch, not on the days it touches. One writer, the stream, owns a store.
+Parts that a compaction has replaced stay in place for readers that began before it; the list tells which are live.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,26 +72,62 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("reason").isNotNull()).select("value", "reason")
 
 
-def store_batch(batch: DataFrame, batch_id: int, store: str) -> None:
+LISTED = "event_date date, part string, rows bigint"
+ROLLED = "project_slug string, event_type string, day date, event_count bigint, daily_cost_usd decimal(38,6)"
+
+
+def create_store(spark: SparkSession, store: str) -> None:
+    """An empty list and rollup, and the mark that nothing is folded yet; leaves a store that is there as it is."""
+    spark.createDataFrame([], LISTED).write.mode("ignore").parquet(f"{store}/files/since=0/batch_id=-1")
+    spark.createDataFrame([], ROLLED).write.mode("ignore").parquet(f"{store}/rollup/since=0/batch_id=-1")
+    spark.createDataFrame([(True,)], "complete boolean").coalesce(1).write.mode("ignore").parquet(f"{store}/folded/through=-1")
+
+
+def folded_through(spark: SparkSession, store: str) -> int:
+    """The last batch that compaction has reached, -1 for none."""
+    return spark.read.schema("complete boolean, through bigint").parquet(f"{store}/folded").agg(F.max("through")).first()[0]
+
+
+def live_parts(spark: SparkSession, store: str) -> DataFrame:
+    """(event_date, part, rows, batch_id): the parts that make up the store."""
+    since = folded_through(spark, store) + 1
+    return spark.read.schema(f"{LISTED}, batch_id bigint").parquet(f"{store}/files/since={since}")
+
+
+def _write_parts(rows: DataFrame, store: str, part: str) -> None:
+    # Rebalancing splits a busy day over several writers and merges quiet ones.
+    rows.withColumn("part", F.lit(part)).hint("rebalance", "event_date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("event_date", "part").parquet(f"{store}/events")
+
+
+def store_batch(batch: DataFrame, batch_id: int, store: str, *, compact_every: int | None = None) -> None:
+    """Stores one batch. With ``compact_every`` each batch of that number's multiples ends with a compaction."""
+    spark = batch.sparkSession
+    create_store(spark, store)
+    folded = folded_through(spark, store)
+    if batch_id <= folded:
+        return
     checked = validate(batch).persist()
     try:
         # The parsed fields are stored too: reports then read those columns and no JSON.
         accepted = with_payload(enrich(checked)).withColumn("event_date", F.to_date("event_ts"))
-        # Rebalancing splits a busy day over several writers and merges quiet ones.
-        accepted.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(
-            f"{store}/events/batch_id={batch_id}"
-        )
+        _write_parts(accepted, store, f"b{batch_id}")
         rejected(checked).write.mode("overwrite").parquet(f"{store}/dead/batch_id={batch_id}")
-        daily_rollup(accepted).write.mode("overwrite").parquet(f"{store}/rollup/batch_id={batch_id}")
+        daily_rollup(accepted).write.mode("overwrite").parquet(f"{store}/rollup/since={folded + 1}/batch_id={batch_id}")
+        accepted.groupBy("event_date").agg(F.lit(f"b{batch_id}").alias("part"), F.count("*").alias("rows")).coalesce(1).write.mode(
+            "overwrite").parquet(f"{store}/files/since={folded + 1}/batch_id={batch_id}")
     finally:
         checked.unpersist()
+    if compact_every and (batch_id + 1) % compact_every == 0:
+        compact(spark, store)
 
 
-def start_ingest(raw: DataFrame, store: str, *, available_now: bool = True) -> StreamingQuery:
+def start_ingest(raw: DataFrame, store: str, *, available_now: bool = True, compact_every: int | None = 64) -> StreamingQuery:
     """Runs the ingest on a stream with a ``value`` column of JSON text."""
+    create_store(raw.sparkSession, store)
     writer = (
         raw.select("value").writeStream.option("checkpointLocation", f"{store}/_progress")
-        .foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, store))
+        .foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, store, compact_every=compact_every))
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
@@ -94,49 +136,53 @@ def _partitioned(schema: T.StructType, **columns: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in columns.items()]])
 
 
-def read_events(spark: SparkSession, store: str) -> DataFrame:
-    """Stored events with their parsed payload ``p``; a filter on ``event_date`` prunes folders."""
-    schema = _partitioned(EVENTS, p=PAYLOAD, batch_id=T.LongType(), event_date=T.DateType())
-    return spark.read.schema(schema).parquet(f"{store}/events")
+def _read_parts(spark: SparkSession, store: str, parts: DataFrame) -> DataFrame:
+    """The events of listed parts; the list is as long as the days asked for times the parts a day has since it was compacted."""
+    schema = _partitioned(EVENTS, p=PAYLOAD, event_date=T.DateType(), part=T.StringType())
+    folders = [f"{store}/events/event_date={r['event_date']}/part={r['part']}" for r in parts.select("event_date", "part").collect()]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{store}/events").parquet(*folders)
 
 
-def read_dead(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema("value string, reason string, batch_id bigint").parquet(f"{store}/dead")
+def read_events(spark: SparkSession, store: str, *, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Stored events of the days ``start`` to ``end`` with their parsed payload ``p``, as of now; a filter on ``event_date`` prunes further."""
+    parts = live_parts(spark, store)
+    if start:
+        parts = parts.where(F.col("event_date") >= F.lit(start))
+    if end:
+        parts = parts.where(F.col("event_date") <= F.lit(end))
+    return _read_parts(spark, store, parts)
 
 
-def _base_batch(spark: SparkSession, store: str) -> int:
-    """Last batch the compacted rollup covers, -1 without one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/rollup_base")
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return -1
-    names = [s.getPath().getName() for s in files.listStatus(folder)]
-    done = [n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/rollup_base/{n}/_SUCCESS"))]
-    return max((int(n.split("=")[1]) for n in done), default=-1)
+def read_dead(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema("value string, reason string, batch_id bigint").parquet(f"{store}/dead")
 
 
 def read_rollup(spark: SparkSession, store: str) -> DataFrame:
-    """The daily rollup: compacted part plus later deltas."""
-    base = _base_batch(spark, store)
-    deltas = spark.read.schema(_partitioned(DAILY_ROLLUP, batch_id=T.LongType())).parquet(f"{store}/rollup")
-    rows = deltas.where(F.col("batch_id") > base).drop("batch_id")
-    if base >= 0:
-        rows = rows.unionByName(spark.read.schema(DAILY_ROLLUP).parquet(f"{store}/rollup_base/through={base}"))
+    """The daily rollup: what compaction has folded plus later deltas."""
+    rows = spark.read.schema(_partitioned(DAILY_ROLLUP, batch_id=T.LongType())).parquet(f"{store}/rollup/since={folded_through(spark, store) + 1}")
     return rows.groupBy("project_slug", "event_type", "day").agg(
         F.sum("event_count").alias("event_count"), F.sum("daily_cost_usd").alias("daily_cost_usd")
     )
 
 
-def compact_rollup(spark: SparkSession, store: str, *, through: int) -> None:
-    """Folds all deltas up to batch ``through`` into one base; readers switch once it is complete."""
-    base = _base_batch(spark, store)
-    if through <= base:
-        return
-    deltas = spark.read.schema(_partitioned(DAILY_ROLLUP, batch_id=T.LongType())).parquet(f"{store}/rollup")
-    rows = deltas.where((F.col("batch_id") > base) & (F.col("batch_id") <= through)).drop("batch_id")
-    if base >= 0:
-        rows = rows.unionByName(spark.read.schema(DAILY_ROLLUP).parquet(f"{store}/rollup_base/through={base}"))
-    rows.groupBy("project_slug", "event_type", "day").agg(
-        F.sum("event_count").alias("event_count"),
-        F.sum("daily_cost_usd").cast("decimal(38,6)").alias("daily_cost_usd"),
-    ).write.mode("overwrite").parquet(f"{store}/rollup_base/through={through}")
+def compact(spark: SparkSession, store: str) -> int:
+    """Merges the parts of each day that has several, folds the rollup, and returns the batch reached; readers switch at the end."""
+    folded = folded_through(spark, store)
+    listed = live_parts(spark, store).persist()
+    try:
+        last = listed.agg(F.max("batch_id")).first()[0]
+        if last is None or last <= folded:
+            return folded
+        days = listed.groupBy("event_date").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.max("part").alias("part"))
+        several = listed.join(days.where("parts > 1").select("event_date"), "event_date", "left_semi")
+        _write_parts(_read_parts(spark, store, several).drop("part"), store, f"c{last}")
+        part = F.when(F.col("parts") > 1, f"c{last}").otherwise(F.col("part"))
+        days.select("event_date", part.alias("part"), "rows").coalesce(1).write.mode("overwrite").parquet(f"{store}/files/since={last + 1}/batch_id={last}")
+    finally:
+        listed.unpersist()
+    rollup = read_rollup(spark, store).withColumn("daily_cost_usd", F.col("daily_cost_usd").cast("decimal(38,6)"))
+    rollup.write.mode("overwrite").parquet(f"{store}/rollup/since={last + 1}/batch_id={last}")
+    spark.createDataFrame([(True,)], "complete boolean").coalesce(1).write.mode("overwrite").parquet(f"{store}/folded/through={last}")
+    return last

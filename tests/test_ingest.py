@@ -65,10 +65,40 @@ def test_late_file_changes_its_own_day(spark, tmp_path):
     assert "payload" not in plan and [tuple(r) for r in top_models(inside).collect()] == [("unknown", 2, 0.2)]
 
     before = _plain(ingest.read_rollup(spark, store))
-    ingest.compact_rollup(spark, store, through=0)
-    assert _plain(ingest.read_rollup(spark, store)) == before
-    ingest.compact_rollup(spark, store, through=1)
-    assert _plain(ingest.read_rollup(spark, store)) == before
+    assert ingest.compact(spark, store) == 1 == ingest.compact(spark, store)
+    assert _plain(ingest.read_rollup(spark, store)) == before and ingest.read_events(spark, store).count() == 4
+
+
+def test_a_day_is_read_from_its_live_parts_alone(spark, tmp_path):
+    store = str(tmp_path / "store")
+    days = [f"2024-01-{d:02d}T10:00:00Z" for d in range(1, 6)]
+    batch = lambda n: spark.createDataFrame([(event(timestamp=t, project_slug=f"p{n}"),) for t in days + days[:n]], "value string")
+
+    def opened(**period):
+        return {f.split("/part=")[0][-10:] + "/" + f.split("/part=")[1].split("/")[0] for f in ingest.read_events(spark, store, **period).inputFiles()}
+
+    for n in range(7):
+        ingest.store_batch(batch(n % 4), n, store, compact_every=3)
+    day = {"start": date(2024, 1, 2), "end": date(2024, 1, 2)}
+    assert opened(**day) == {"2024-01-02/c5", "2024-01-02/b6"} and len(opened()) == 10
+    before, rollup = ingest.read_events(spark, store), _plain(ingest.read_rollup(spark, store))
+    count = sum(len(days) + n % 4 for n in range(7))
+    assert before.count() == count and rollup == _plain(daily_rollup(before))
+    for n in (5, 6, 0):  # folded in already, last, folded in already
+        ingest.store_batch(batch(n % 4), n, store, compact_every=3)
+    before = ingest.read_events(spark, store)
+    assert before.count() == count and _plain(ingest.read_rollup(spark, store)) == rollup
+    assert ingest.compact(spark, store) == 6 and opened(**day) == {"2024-01-02/c6"}
+    assert before.count() == count == ingest.read_events(spark, store).count() and _plain(ingest.read_rollup(spark, store)) == rollup
+    assert ingest.read_events(spark, store, start=date(2025, 1, 1)).count() == 0
+
+
+def test_a_store_without_accepted_events(spark, tmp_path):
+    store = str(tmp_path / "store")
+    ingest.store_batch(spark.createDataFrame([("{broken",)], "value string"), 0, store)
+    assert ingest.read_events(spark, store).count() == ingest.read_rollup(spark, store).count() == 0 and ingest.read_dead(spark, store).count() == 1
+    ingest.compact(spark, store)
+    assert ingest.read_events(spark, store).count() == 0
 
 
 def test_replayed_batch_counts_once(spark, tmp_path):
@@ -94,8 +124,18 @@ def test_budget_alerts_fire_once(spark, tmp_path):
     spend(35.0)
     spend(5.0)
     spend(20.0)
-    found = sorted((r["threshold"], r["spend_usd"], r["month"], r["batch_id"]) for r in alerts.read_budget_alerts(spark, store).collect())
-    assert found == [(0.8, 85.0, date(2024, 1, 1), 1), (1.0, 110.0, date(2024, 1, 1), 3)]
+    found = lambda: sorted((r["org"], r["threshold"], r["spend_usd"], r["month"]) for r in alerts.read_budget_alerts(spark, store).collect())
+    crossed = [("o", 0.8, 85.0, date(2024, 1, 1)), ("o", 1.0, 110.0, date(2024, 1, 1))]
+    assert found() == crossed
+    # The last batch is run again, as after a crash before it was marked as done.
+    commits = sorted((tmp_path / "store" / "_progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    alerts.start_budget_alerts(spark.readStream.schema(schema).parquet(str(inbox)), store, monthly_budget_usd=100.0).awaitTermination()
+    assert found() == crossed
+    spend(-60.0)
+    spend(45.0)  # crossed again
+    assert found() == sorted([*crossed, ("o", 0.8, 95.0, date(2024, 1, 1))])
 
 
 def test_degraded_tools_stream(spark, tmp_path):
