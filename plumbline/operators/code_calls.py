@@ -22,8 +22,6 @@ CALL_WITH_ARGS = r"(?U)\b(\w+)\s*\(([^)]*)\)"
 DEFINITIONS = {"js": (JS_DEFINITION, (1, 2)), "csharp": (CS_DEFINITION, (1,)), "generic": (GENERIC_DEFINITION, (1,))}
 EXTERNAL_PREFIXES = ("Sc", "Win", "Nfc", "Usb")
 
-MAX_DEPTH = 6
-
 # Edges: (caller, callee, line, location, pos); `pos` orders the calls of one line.
 
 
@@ -141,16 +139,15 @@ def external_calls(edges: DataFrame, found_patterns: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(marks), "callee", "left").where(F.col("_hit") | looks_external(F.col("callee"))).drop("_hit")
 
 
-def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """Steps of the flows from entry functions: (entry, file, depth, caller, callee, again).
 
     A level holds each step once, whatever number of paths lead to it, and a function is left only at the
     first level that reaches it, so rows grow with the edges. ``again`` marks steps to a function of an earlier level
-    (cycles among them), where the flow isn't followed further. Each level is kept in the shared folder; steps up to
-    ``max_depth`` calls below the entry's own are listed, all of them for None.
+    (cycles among them), where the flow isn't followed further. Each level is kept in the shared folder; with ``max_depth``
+    only steps up to that many calls below the entry's own are listed.
     """
     adjacent = cut_lineage(graph.select("caller", "callee").distinct())
-    name = ["entry", "file", "name"]
     frontier = reached = cut_lineage(roots.select("entry", "file", F.col("entry").alias("name")).distinct())
     levels: list[DataFrame] = []
     while max_depth is None or len(levels) <= max_depth:
@@ -158,11 +155,13 @@ def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int | None = M
         known = reached.select("entry", "file", F.col("name").alias("callee"), F.lit(True).alias("_known"))
         level = cut_lineage(found.join(known, ["entry", "file", "callee"], "left").select(
             "entry", "file", F.lit(len(levels) + 1).cast("bigint").alias("depth"), "caller", "callee", F.coalesce("_known", F.lit(False)).alias("again")))
-        levels.append(level)
-        frontier = cut_lineage(level.where(~F.col("again")).select("entry", "file", F.col("callee").alias("name")).distinct())
-        if frontier.isEmpty():
+        if level.isEmpty():
             break
-        reached = reached.select(*name).union(frontier.select(*name))
+        levels.append(level)
+        frontier = level.where(~F.col("again")).select("entry", "file", F.col("callee").alias("name")).distinct()
+        reached = reached.union(frontier)
+    if not levels:
+        return level
     steps = levels[0]
     for level in levels[1:]:
         steps = steps.union(level)

@@ -57,7 +57,7 @@ def _decision(kind: str, description: Column, snippet: Column) -> Column:
 
 def _one(condition: Column, kind: str, description: Column, snippet: Column | None = None) -> Column:
     """An array with one decision or none."""
-    decision = _decision(kind, description, F.left(_bare(), F.lit(120)) if snippet is None else snippet)
+    decision = _decision(kind, description, _bare() if snippet is None else snippet)
     return F.array_compact(F.array(F.when(condition, decision)))
 
 
@@ -87,15 +87,14 @@ def constant() -> Column:
     """Hex literals of six or more characters, outside comments and byte runs."""
     numbers = F.regexp_extract_all("text", F.lit(NUMBER), F.lit(1))
     hexes = F.filter(numbers, lambda v: v.startswith("0x") & (F.length(v) >= 6))
-    rows = F.transform(hexes, lambda v: _decision("constant", F.concat(F.lit("Hardcoded hex constant: "), v), F.left(_bare(), F.lit(120))))
+    rows = F.transform(hexes, lambda v: _decision("constant", F.concat(F.lit("Hardcoded hex constant: "), v), _bare()))
     return F.when(_in_code() & ~_line().rlike(BYTE_RUN), rows).otherwise(F.slice(rows, 1, 0))
 
 
 def timing() -> Column:
-    short = F.left(_bare(), F.lit(80))
     return F.concat(
-        _one(_line().rlike(TIMEOUT), "constant", F.concat(F.lit("Timing decision: "), short)),
-        _one(_line().rlike(RETRY), "constant", F.concat(F.lit("Retry/attempt limit: "), short)),
+        _one(_line().rlike(TIMEOUT), "constant", F.concat(F.lit("Timing decision: "), _bare())),
+        _one(_line().rlike(RETRY), "constant", F.concat(F.lit("Retry/attempt limit: "), _bare())),
     )
 
 
@@ -121,7 +120,7 @@ def scan_lines(corpus: DataFrame, *scanners: str) -> DataFrame:
     return lines.select(
         F.col("path").alias("file"), "line", found.alias("found"),
         F.nullif(F.lower(F.regexp_extract(line, THREADING, 1)), F.lit("")).alias("token"),
-        F.left("bare", F.lit(120)).alias("snippet"),
+        F.col("bare").alias("snippet"),
         line.rlike(ARRAY_START).alias("starts"), (line.contains(";") | line.contains("}")).alias("ends"),
         F.regexp_extract_all(line, F.lit(HEX_BYTE), F.lit(0)).alias("bytes"),
     )
@@ -162,8 +161,7 @@ def byte_arrays(lines: DataFrame) -> DataFrame:
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "bytes"))), lambda s: s["bytes"])).alias("bytes"),
     ).where(F.col("closed") & (F.size("bytes") >= 4))
     count = F.size("bytes")
-    description = F.concat(F.lit("Byte array ("), count.cast("string"), F.lit(" bytes): "), F.array_join(F.slice("bytes", 1, 16), " "),
-                           F.when(count > 16, "...").otherwise(""))
+    description = F.concat(F.lit("Byte array ("), count.cast("string"), F.lit(" bytes): "), F.array_join("bytes", " "))
     return _shape(arrays.select(
         F.lit("protocol").alias("kind"), description.alias("description"), "file", "line",
         F.concat(F.lit("Array starting line "), F.col("line").cast("string")).alias("snippet")))

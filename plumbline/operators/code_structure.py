@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.pyast import describe_files
 from ..functions.ranking import top_k, top_k_per_group
+from ..session import cut_lineage
 from ..vocab import (API_GROUPS, BUILD_SYSTEM_BY_EXTENSION, BUILD_SYSTEM_BY_NAME, C_DEFINITION_KEYWORDS, C_SUFFIXES,
                      JS_ENTRY_NAMES, JS_SUFFIXES, LANGUAGE_BY_EXTENSION, PLATFORM_PRIORITY, PYTHON_ENTRY_NAMES,
                      TECHNOLOGY_PATTERNS)
@@ -316,6 +317,7 @@ def report_top_modules(corpus: DataFrame, parser: str, *, k: int = 30) -> DataFr
 
 
 def head_per_group(rows: DataFrame, group: list[str], k: int, *order: str) -> DataFrame:
-    """The first ``k`` rows of each group, and how many ``more`` the group has."""
+    """The first ``k`` rows of each group, and how many ``more`` the group has. The rows are kept once for both, so what they come from is read once."""
+    rows = cut_lineage(rows)
     totals = rows.groupBy(*group).agg(F.greatest(F.count("*") - k, F.lit(0)).alias("more"))
     return top_k_per_group(rows, group, k, *[F.asc(o) for o in order]).join(totals, group)

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import suffix
+from ..session import cut_lineage
 from ..vocab import (BRANCH_PREFIXES, COMMAND_BYPASS, COMMAND_RULES, RECORD_BYPASS, RECORD_DIRECTORY,
                      RECORD_EXTENSIONS, VERSION_BYPASS)
 
+# Fixed value: the line of a version file.
 VERSION = r'(?m)^version\s*=\s*"(\d+\.\d+\.\d+)"'
 
 
@@ -62,24 +64,28 @@ def policy_branch_flow(pull_requests: DataFrame) -> DataFrame:
     return pull_requests.withColumn("passed", passed)
 
 
-def policy_version_bump(versions: DataFrame, *, slice_by: str = "day") -> DataFrame:
+def policy_version_bump(versions: DataFrame) -> DataFrame:
     """Whether each version file differs from the one before it in its repository.
 
-    A first, unreadable or exempted version passes. The predecessor is found within time slices
-    of a repository; only the last row of each slice is carried into the next, so a repository
-    with very many versions is spread over many tasks.
+    A first, unreadable or exempted version passes. Rows are dealt to tasks by ranges of their order, so one repository, day or
+    moment with very many rows is spread over many; each task finds predecessors among its own rows of a repository, and only
+    the last row of a repository in each task is carried to the next one. Equal rows are told apart by a number of no other use.
     """
-    rows = versions.withColumn("version", F.nullif(F.regexp_extract("file_text", VERSION, 1), F.lit(""))).withColumn(
-        "slice", F.date_trunc(slice_by, "ts"))
-    order = ["ts", "id"]
+    order = ["ts", "id", "_n"]
+    rows = versions.select(
+        "repo", "id", "ts", F.nullif(F.regexp_extract("file_text", VERSION, 1), F.lit("")).alias("version"),
+        F.coalesce(F.col("commit_message").contains(VERSION_BYPASS), F.lit(False)).alias("bypass"), F.monotonically_increasing_id().alias("_n"))
+    dealt = cut_lineage(rows.repartitionByRange("repo", *order).withColumn("_task", F.spark_partition_id()))
     mark = F.struct(F.lit(True).alias("known"), F.col("version").alias("version"))
-    inner = rows.withColumn("before", F.lag(mark).over(Window.partitionBy("repo", "slice").orderBy(*order)))
-    last = rows.groupBy("repo", "slice").agg(F.max_by(mark, F.struct(*order)).alias("last"))
-    carried = last.withColumn("carried", F.lag("last").over(Window.partitionBy("repo").orderBy("slice"))).drop("last")
-    joined = inner.join(carried, ["repo", "slice"]).withColumn("previous", F.coalesce("before", "carried"))
+    inner = dealt.withColumn("before", F.lag(mark).over(Window.partitionBy("repo", "_task").orderBy(*order)))
+    last = dealt.groupBy("repo", "_task").agg(F.max_by(mark, F.struct(*order)).alias("last"))
+    carried = last.withColumn("carried", F.lag("last").over(Window.partitionBy("repo").orderBy("_task"))).drop("last")
+    same = inner["repo"].eqNullSafe(carried["repo"]) & (inner["_task"] == carried["_task"])
+    # One row for each repository and task that meet, at most repositories + tasks.
+    joined = inner.join(carried, same).select(inner["*"], F.coalesce("before", "carried").alias("previous"))
     previous = F.col("previous.version")
     reason = (
-        F.when(F.col("previous").isNull(), "first").when(F.col("commit_message").contains(VERSION_BYPASS), "bypass")
+        F.when(F.col("previous").isNull(), "first").when(F.col("bypass"), "bypass")
         .when(previous.isNull() | F.col("version").isNull(), "unreadable")
         .when(previous == F.col("version"), "not_bumped").otherwise("bumped")
     )

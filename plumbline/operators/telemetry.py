@@ -144,16 +144,13 @@ def top_models(events: DataFrame, *, k: int = TOP_LIST) -> DataFrame:
 
 
 def total_cost(events: DataFrame, *, k: int = TOP_LIST) -> DataFrame:
-    """Cost of the ``k`` most called models, and next to it the cost of all of them."""
+    """Cost of the ``k`` most called models, and next to it the cost of all of them; one scan."""
     groups = _skill_calls(events).groupBy(F.col("p.model").alias("key")).agg(F.count("*").alias("calls"), _cost())
-    listed = top_k(groups, k, F.desc("calls"), F.asc_nulls_first("key")).select(
-        F.col("cost").alias("listed"), F.lit(None).alias("every")
-    )
-    every = groups.select(F.lit(None).alias("listed"), F.col("cost").alias("every"))
-    return listed.unionByName(every).agg(
-        F.coalesce(F.sum("listed"), F.lit(0)).cast("double").alias("total_cost_usd"),
-        F.coalesce(F.sum("every"), F.lit(0)).cast("double").alias("total_cost_all_usd"),
-    )
+    both = groups.groupingSets([[F.col("key")], []], F.col("key")).agg(
+        F.grouping("key").alias("every"), F.sum("calls").alias("calls"), F.sum("cost").alias("cost"))
+    ranked = top_k_per_group(both, ["every"], k, F.desc("calls"), F.asc_nulls_first("key"))
+    of = lambda every: F.coalesce(F.sum(F.when(F.col("every") == every, F.col("cost"))), F.lit(0)).cast("double")
+    return ranked.agg(of(0).alias("total_cost_usd"), of(1).alias("total_cost_all_usd"))
 
 
 def _facets(events: DataFrame) -> DataFrame:
@@ -197,7 +194,7 @@ def summary(
     project_slug: str | None = None,
     k: int = TOP_LIST,
 ) -> DataFrame:
-    """The whole report as one nested row: counters, CI result, top lists, cost.
+    """The whole report as one nested row: counters, CI result, top lists, cost of the listed models and of all.
 
     One scan; the shuffles move grouped counts only, and only the ``k`` best rows of each list reach the
     final aggregate, so the collected arrays stay bounded.
@@ -218,6 +215,8 @@ def summary(
 
     name = unknown_if_blank(F.col("key"))
     calls = F.col("n").alias("count")
+    skills = (F.col("kind") == "type") & (F.col("event_type") == "skill.invoked")
+    every_cost = F.coalesce(F.sum(F.when(skills, F.col("cost"))), F.lit(0))
     listed_cost = F.coalesce(F.sum(F.when(F.col("kind") == "model", F.col("cost"))), F.lit(0))
     row = ranked.agg(
         *[count_of(t).alias(c) for t, c in SUMMARY_COUNTERS.items()],
@@ -226,6 +225,7 @@ def summary(
         top("skill", name.alias("skill_name"), calls).alias("top_skills"),
         top("model", name.alias("model"), calls, F.col("cost").cast("double").alias("total_cost_usd")).alias("top_models"),
         listed_cost.cast("double").alias("total_cost_usd"),
+        every_cost.cast("double").alias("total_cost_all_usd"),
     )
     ci = F.struct(
         F.col("ci_total").alias("total"),
@@ -234,7 +234,7 @@ def summary(
     )
     return row.select(
         "projects_generated", "skills_invoked", ci.alias("ci_runs"), "tools_executed",
-        "knowledge_created", "knowledge_used", "top_skills", "top_models", "total_cost_usd",
+        "knowledge_created", "knowledge_used", "top_skills", "top_models", "total_cost_usd", "total_cost_all_usd",
     )
 
 
@@ -284,14 +284,22 @@ def rollup_unique_check(rollup: DataFrame) -> DataFrame:
     return rollup.groupBy(*key).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
+def cost_by_groups(events: DataFrame, *, by: tuple[str, ...] = ("model", "skill", "project")) -> DataFrame:
+    """Calls and cost of skill invocations per model, skill or project, as (grouping, name, calls, total_cost_usd).
+
+    One scan: events are combined per (model, skill, project) first, and only those groups are repeated for each grouping.
+    """
+    keys = {"model": F.col("p.model"), "skill": F.col("p.skill_name"), "project": F.col("project_slug")}
+    groups = _skill_calls(events).groupBy(*[keys[b].alias(b) for b in by]).agg(F.count("*").alias("calls"), _cost())
+    each = groups.groupingSets([[F.col(b)] for b in by], *[F.col(b) for b in by]).agg(
+        *[F.grouping(b).alias(f"no_{b}") for b in by], F.sum("calls").alias("calls"), F.sum("cost").alias("cost"))
+    of = lambda value: F.coalesce(*[F.when(F.col(f"no_{b}") == 0, value(b)) for b in by])
+    return each.select(of(F.lit).alias("grouping"), unknown_if_blank(of(F.col)).alias("name"), "calls", F.col("cost").cast("double").alias("total_cost_usd"))
+
+
 def cost_by_group(events: DataFrame, *, by: str) -> DataFrame:
-    """Calls and cost of skill invocations per model, skill or project."""
-    key = {"model": F.col("p.model"), "skill": F.col("p.skill_name"), "project": F.col("project_slug")}[by]
-    return (
-        _skill_calls(events).groupBy(key.alias("key")).agg(F.count("*").alias("calls"), _cost())
-        .select(F.lit(by).alias("grouping"), unknown_if_blank(F.col("key")).alias("name"), "calls",
-                F.col("cost").cast("double").alias("total_cost_usd"))
-    )
+    """:func:`cost_by_groups` for one grouping."""
+    return cost_by_groups(events, by=(by,))
 
 
 def estimate_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:

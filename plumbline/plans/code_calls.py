@@ -116,11 +116,12 @@ def external_calls(spark, folder):
 ent AS (SELECT path FROM x WHERE contains(content, 'main(')),
 roots AS (SELECT DISTINCT regexp_extract(text, '(\w+)\s*\(', 1) AS entry, path AS file FROM l
           WHERE path IN (FROM ent) AND regexp_matches(text, '^(static )?int \w+\(')),
-walk AS (SELECT entry, file, entry AS name, CAST(0 AS BIGINT) AS depth FROM roots
-         UNION SELECT entry, file, callee, depth + 1 FROM walk JOIN adj ON adj.caller = walk.name WHERE depth <= 6),
-seen AS (SELECT entry, file, name, min(depth) AS depth FROM walk GROUP BY ALL)
+seen(entry, file, name, depth) USING KEY (entry, file, name) AS (
+  SELECT entry, file, entry, CAST(0 AS BIGINT) FROM roots
+  UNION SELECT DISTINCT s.entry, s.file, adj.callee, s.depth + 1 FROM seen s JOIN adj ON adj.caller = s.name
+        LEFT JOIN recurring.seen r ON r.entry = s.entry AND r.file = s.file AND r.name = adj.callee WHERE r.name IS NULL)
 SELECT a.entry, a.file, a.depth + 1 AS depth, caller, callee, b.depth <= a.depth AS again
-FROM seen a JOIN adj ON adj.caller = a.name JOIN seen b ON b.entry = a.entry AND b.file = a.file AND b.name = callee WHERE a.depth <= 6""")
+FROM seen a JOIN adj ON adj.caller = a.name JOIN seen b ON b.entry = a.entry AND b.file = a.file AND b.name = callee""")
 def entry_flows(spark, folder):
     files = code(spark, folder, "c")
     roots = op.entry_roots(files, "c")

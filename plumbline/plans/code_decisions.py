@@ -21,25 +21,25 @@ in_code AS (SELECT * FROM t WHERE NOT regexp_matches(bare, '^(//|#|\*|/\*)')),
 d_comment AS (SELECT 'comment' AS kind, regexp_extract(text, '{INTENT}', 1) || ': ' || trim(regexp_extract(text, '{INTENT}', 2)) AS description, file, line, bare AS snippet
               FROM t WHERE regexp_matches(text, '{INTENT}')),
 d_byteseq AS (SELECT 'protocol' AS kind, CASE WHEN regexp_matches(text, '{RUN}') THEN 'Hardcoded byte sequence (possible APDU or device command)'
-                     ELSE 'Possible APDU command bytes' END AS description, file, line, bare[:120] AS snippet FROM in_code
+                     ELSE 'Possible APDU command bytes' END AS description, file, line, bare AS snippet FROM in_code
               WHERE regexp_matches(text, '{RUN}') OR (regexp_matches(text, '{COMMAND}') AND (contains(text, '0x00') OR contains(upper(text), 'FF')))),
 hex AS (SELECT unnest(regexp_extract_all(text, '\b(0x[0-9A-Fa-f]{{2,8}}|[0-9]{{3,}})\b')) AS v, file, line, bare FROM in_code WHERE NOT regexp_matches(text, '{RUN}')),
-d_constant AS (SELECT 'constant' AS kind, 'Hardcoded hex constant: ' || v AS description, file, line, bare[:120] AS snippet FROM hex WHERE v LIKE '0x%' AND length(v) >= 6),
-d_timing AS (SELECT 'constant' AS kind, 'Timing decision: ' || bare[:80] AS description, file, line, bare[:120] AS snippet FROM t WHERE regexp_matches(text, '{TIMEOUT}')
-             UNION ALL SELECT 'constant', 'Retry/attempt limit: ' || bare[:80], file, line, bare[:120] FROM t WHERE regexp_matches(text, '{RETRY}')),
+d_constant AS (SELECT 'constant' AS kind, 'Hardcoded hex constant: ' || v AS description, file, line, bare AS snippet FROM hex WHERE v LIKE '0x%' AND length(v) >= 6),
+d_timing AS (SELECT 'constant' AS kind, 'Timing decision: ' || bare AS description, file, line, bare AS snippet FROM t WHERE regexp_matches(text, '{TIMEOUT}')
+             UNION ALL SELECT 'constant', 'Retry/attempt limit: ' || bare, file, line, bare FROM t WHERE regexp_matches(text, '{RETRY}')),
 d_winscard AS (SELECT 'protocol' AS kind, 'PC/SC share mode choice: ' || regexp_extract(text, 'SCARD_SHARE_(SHARED|EXCLUSIVE|DIRECT)') || ' — affects multi-app access' AS description,
-                      file, line, bare[:120] AS snippet FROM t WHERE regexp_matches(text, 'SCARD_SHARE_(SHARED|EXCLUSIVE|DIRECT)')
+                      file, line, bare AS snippet FROM t WHERE regexp_matches(text, 'SCARD_SHARE_(SHARED|EXCLUSIVE|DIRECT)')
                UNION ALL SELECT 'protocol', 'PC/SC card disposition on disconnect: ' || regexp_extract(text, 'SCARD_(LEAVE_CARD|RESET_CARD|UNPOWER_CARD|EJECT_CARD)') || ' — affects card state',
-                      file, line, bare[:120] FROM t WHERE regexp_matches(text, 'SCARD_(LEAVE_CARD|RESET_CARD|UNPOWER_CARD|EJECT_CARD)')
-               UNION ALL SELECT 'protocol', 'PC/SC constant usage: ' || regexp_extract(text, '\bSCARD_[A-Z_]+\b'), file, line, bare[:120] FROM t WHERE regexp_matches(text, '\bSCARD_[A-Z_]+\b')),
+                      file, line, bare FROM t WHERE regexp_matches(text, 'SCARD_(LEAVE_CARD|RESET_CARD|UNPOWER_CARD|EJECT_CARD)')
+               UNION ALL SELECT 'protocol', 'PC/SC constant usage: ' || regexp_extract(text, '\bSCARD_[A-Z_]+\b'), file, line, bare FROM t WHERE regexp_matches(text, '\bSCARD_[A-Z_]+\b')),
 tok AS (SELECT lower(regexp_extract(text, '{THREADING}', 1)) AS token, file, line, bare FROM t WHERE regexp_matches(text, '{THREADING}')),
-d_threading AS (SELECT 'threading' AS kind, 'Concurrency/threading: ' || token AS description, file, line, bare[:120] AS snippet FROM tok
+d_threading AS (SELECT 'threading' AS kind, 'Concurrency/threading: ' || token AS description, file, line, bare AS snippet FROM tok
                 QUALIFY row_number() OVER (PARTITION BY file, token ORDER BY line) = 1),
 st AS (SELECT file, line AS s, lead(line) OVER (PARTITION BY file ORDER BY line) AS nxt FROM t WHERE regexp_matches(text, '(?:byte|uint8|BYTE|char)\s*\w*\s*\[')),
 en AS (SELECT st.file, s, min(t.line) AS e FROM st JOIN t ON t.file = st.file AND t.line >= s AND (nxt IS NULL OR t.line < nxt) AND regexp_matches(text, '[;}}]') GROUP BY ALL),
 arr AS (SELECT en.file, s, list_reduce(list(regexp_extract_all(text, '0x[0-9A-Fa-f]{{2}}') ORDER BY t.line), lambda a, b: list_concat(a, b)) AS b
        FROM en JOIN t ON t.file = en.file AND t.line BETWEEN s AND e GROUP BY ALL),
-d_byte_array AS (SELECT 'protocol' AS kind, 'Byte array (' || len(b) || ' bytes): ' || array_to_string(b[:16], ' ') || CASE WHEN len(b) > 16 THEN '...' ELSE '' END AS description,
+d_byte_array AS (SELECT 'protocol' AS kind, 'Byte array (' || len(b) || ' bytes): ' || array_to_string(b, ' ') AS description,
                         file, s AS line, 'Array starting line ' || s AS snippet FROM arr WHERE len(b) >= 4),
 d AS (SELECT *, NULL::VARCHAR AS rationale FROM (SELECT * FROM d_comment UNION ALL SELECT * FROM d_byteseq UNION ALL SELECT * FROM d_constant UNION ALL SELECT * FROM d_timing
       UNION ALL SELECT * FROM d_winscard UNION ALL SELECT * FROM d_threading UNION ALL SELECT * FROM d_byte_array))

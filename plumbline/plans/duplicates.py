@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sketch
 from ..operators import duplicates as op
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_dir
+from ..sources import sinks
 from ..sources.bindings import document_files, table
 from ..sources.corpus import with_extension
 from .registry import query
@@ -84,6 +85,19 @@ def index_upsert(spark, folder):
     return op.index_upsert(turns.where("batch = 1"), turns.where("batch = 2"))
 
 
+@query("index_round_trip", FILES + """
+SELECT path, string_split(path, '/')[-1] AS filename, '.' || string_split(path, '.')[-1] AS extension, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS hash,
+       CASE WHEN regexp_matches(path, '\\.(py|c)$') THEN 'second' ELSE 'first' END AS project_root FROM f""")
+def index_round_trip(spark, folder):
+    """All files indexed, those of two kinds indexed again, the first run repeated, and what the index then holds."""
+    files, index = document_files(spark, folder), scratch_dir(spark, "index")
+    first = op.file_fingerprint(files, project_root="first")
+    second = op.file_fingerprint(with_extension(files, (".py", ".c")), project_root="second")
+    for run, rows in ((1, first), (2, second), (1, first)):
+        sinks.merge_index(rows, index, run, buckets=8)
+    return sinks.read_index(spark, index, first.schema, buckets=8)
+
+
 P = int(sketch.PRIME)
 A, B = (values.tolist() for values in sketch.permutations(128, 1))
 BANDS, ROWS = sketch.banding(0.9)

@@ -131,7 +131,7 @@ SELECT projects_generated, skills_invoked, ci_total, ci_passed, ci_total - ci_pa
        tools_executed, knowledge_created, knowledge_used,
        (SELECT string_agg(coalesce(nullif(skill, ''), 'unknown') || '=' || calls, ',' ORDER BY rk) FROM ts) AS top_skills,
        (SELECT string_agg(coalesce(nullif(model, ''), 'unknown') || '=' || calls, ',' ORDER BY rk) FROM tm) AS top_models,
-       (SELECT CAST(sum(cost) AS DOUBLE) FROM tm) AS total_cost_usd
+       (SELECT CAST(sum(cost) AS DOUBLE) FROM tm) AS total_cost_usd, (SELECT CAST(sum(cost) AS DOUBLE) FROM groups) AS total_cost_all_usd
 FROM s""")
 def summary(spark, folder):
     """The nested report, its lists written as text so that both engines show the same value."""
@@ -144,7 +144,7 @@ def summary(spark, folder):
         "tools_executed", "knowledge_created", "knowledge_used",
         F.array_join(F.transform("top_skills", pair("skill_name")), ",").alias("top_skills"),
         F.array_join(F.transform("top_models", pair("model")), ",").alias("top_models"),
-        "total_cost_usd",
+        "total_cost_usd", "total_cost_all_usd",
     )
 
 
@@ -163,7 +163,8 @@ UNION ALL SELECT 'ci_runs.failed', CAST(ci_total - ci_passed AS VARCHAR) FROM s
 UNION ALL SELECT 'tools_executed', CAST(tools_executed AS VARCHAR) FROM s
 UNION ALL SELECT 'knowledge_created', CAST(knowledge_created AS VARCHAR) FROM s
 UNION ALL SELECT 'knowledge_used', CAST(knowledge_used AS VARCHAR) FROM s
-UNION ALL SELECT 'total_cost_usd', CAST((SELECT CAST(sum(cost) AS DOUBLE) FROM tm) AS VARCHAR)""")
+UNION ALL SELECT 'total_cost_usd', CAST((SELECT CAST(sum(cost) AS DOUBLE) FROM tm) AS VARCHAR)
+UNION ALL SELECT 'total_cost_all_usd', CAST((SELECT CAST(sum(cost) AS DOUBLE) FROM groups) AS VARCHAR)""")
 def summary_flatten(spark, folder):
     return op.summary_flatten(op.summary(_events(spark, folder), start=START, end=END))
 
@@ -204,9 +205,7 @@ FROM w WHERE event_type = 'skill.invoked' GROUP BY {column}"""
 @query("cost_by_group", EV + " UNION ALL ".join(
     _cost_check(by, col) for by, col in (("model", "model"), ("skill", "skill"), ("project", "project_slug"))))
 def cost_by_group(spark, folder):
-    rows = _window(spark, folder)
-    return (op.cost_by_group(rows, by="model").unionByName(op.cost_by_group(rows, by="skill"))
-            .unionByName(op.cost_by_group(rows, by="project")))
+    return op.cost_by_groups(_window(spark, folder))
 
 
 @query("estimate_cost", """

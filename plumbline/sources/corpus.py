@@ -12,16 +12,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, suffix
 from ..session import cut_lineage
 from ..vocab import DUPLICATE_SCAN_EXTENSIONS, IGNORED_DIRECTORIES, IGNORED_DIRECTORIES_SHORT
 
-# Bytes one reading task is planned for, and bytes of one batch it hands on.
+# Bytes one reading task is planned for, bytes of one batch it hands on, and entries of a folder that are handed on at a time.
 TASK_BYTES = 128 * 2**20
 BATCH_BYTES = 16 * 2**20
+LISTED = 10_000
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
@@ -44,24 +45,35 @@ def _entries(filesystem: pafs.FileSystem, folder: str) -> Iterator[tuple[str, in
 
 
 def list_tree(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
-    """(path, size) of all files below ``root``, paths relative to it; ignored directories are not entered.
+    """(path, size, problem) of all files below ``root``, paths relative to it; ignored directories are not entered.
 
-    One job per directory level, each listing its directories in parallel.
+    One job per directory level, each listing its directories in parallel and a large one piece by piece. A directory that can't be
+    listed is a row with its ``problem``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, base = _open(root)
         for batch in batches:
             for folder in batch["path"]:
-                rows = [(f"{folder}/{name}".lstrip("/"), size, is_dir)
-                        for name, size, is_dir in _entries(filesystem, f"{base}/{folder}".rstrip("/"))
-                        if not (is_dir and name in ignore)]
-                yield pd.DataFrame(rows, columns=["path", "size", "is_dir"])
-
+                rows: list[tuple] = []
+                try:
+                    for name, size, is_dir in _entries(filesystem, f"{base}/{folder}".rstrip("/")):
+                        if not (is_dir and name in ignore):
+                            rows.append((f"{folder}/{name}".lstrip("/"), size, is_dir, None))
+                        if len(rows) == LISTED:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                except OSError as problem:
+                    if not folder:  # without its root there is no tree
+                        raise
+                    rows.append((folder, 0, False, f"not listed: {problem.strerror or type(problem).__name__}"))
+                yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["path", "size", "is_dir", "problem"]
     level, found = spark.createDataFrame([("",)], "path string"), []
     while not level.isEmpty():
-        listed = cut_lineage(level.mapInPandas(run, "path string, size bigint, is_dir boolean"))
-        found.append(listed.where(~F.col("is_dir")).select("path", "size"))
+        listed = cut_lineage(level.mapInPandas(run, "path string, size bigint, is_dir boolean, problem string"))
+        found.append(listed.where(~F.col("is_dir")).select("path", "size", "problem"))
         level = listed.where("is_dir").select("path").repartition("path")
     files = found[0]
     for more in found[1:]:
@@ -69,34 +81,61 @@ def list_tree(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = IGNOR
     return files
 
 
-def read_files(files: DataFrame, root: str) -> DataFrame:
-    """(path, raw, content) of listed files, the paths first spread so that each task reads a like amount.
-
-    A file that cannot be read is left out.
-    """
+def planned(files: DataFrame, task_bytes: int) -> DataFrame:
+    """``files`` dealt to tasks in path order by running sums of their sizes: each task has about ``task_bytes``, or one larger file."""
     spark = files.sparkSession
-    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    tasks = max(spark.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES))
+    placed = cut_lineage(files.repartitionByRange("path").withColumn("_range", F.spark_partition_id()))
+    sums = sorted((r["_range"], r["total"]) for r in placed.groupBy("_range").agg(F.sum("size").alias("total")).collect())  # one row a task
+    before, at = {}, 0
+    for place, total in sums:
+        before[place] = at
+        at += total
+    if not before:
+        return placed.drop("_range")
+    offset = F.broadcast(spark.createDataFrame(list(before.items()), "_range int, _offset bigint"))
+    upto = Window.partitionBy("_range").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_offset") + F.coalesce(F.sum("size").over(upto), F.lit(0))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-at // task_bytes))
+    share = max(1, -(-at // tasks))
+    return placed.join(offset, "_range").withColumn("_task", F.floor(start / share).cast("int")).repartitionById(int(tasks), "_task").drop("_range", "_offset", "_task")
+
+
+def read_files(files: DataFrame, root: str, *, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(path, raw, content, problem) of listed files, each task reading about as many bytes.
+
+    A file that cannot be read has a null ``raw`` and ``content``; one that is not UTF-8 keeps what is. ``problem`` tells both, and null for none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filesystem, base = _open(root)
         rows, held = [], 0
         for batch in batches:
-            for path in batch["path"]:
-                try:
-                    with filesystem.open_input_stream(f"{base}/{path}") as stream:
-                        rows.append((path, stream.read()))
-                except OSError:
-                    continue
-                held += len(rows[-1][1])
-                if held >= BATCH_BYTES or len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=["path", "raw"])
+            for path, problem in zip(batch["path"], batch["problem"]):
+                raw = None
+                if problem is None:
+                    try:
+                        with filesystem.open_input_stream(f"{base}/{path}") as stream:
+                            raw = stream.read()
+                    except OSError as error:
+                        problem = f"not read: {error.strerror or type(error).__name__}"
+                rows.append((path, raw, problem))
+                held += len(raw or b"")
+                if held >= BATCH_BYTES or len(rows) >= LISTED:
+                    yield pd.DataFrame(rows, columns=["path", "raw", "problem"])
                     rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["path", "raw"])
+            yield pd.DataFrame(rows, columns=["path", "raw", "problem"])
+
+    if "problem" not in files.columns:
+        files = files.withColumn("problem", F.lit(None).cast("string"))
+    read = planned(files.select("path", "size", "problem"), task_bytes).select("path", "problem").mapInPandas(run, "path string, raw binary, problem string")
+    odd = F.when(F.col("raw").isNotNull() & ~F.is_valid_utf8(F.col("raw").cast("string")), "not UTF-8")
+    return read.select("path", "raw", as_text(F.col("raw")).alias("content"), F.coalesce("problem", odd).alias("problem"))
+
 
-    read = files.select("path").repartition(tasks, "path").mapInPandas(run, "path string, raw binary")
-    return read.withColumn("content", as_text(F.col("raw")))
+def rejects(files: DataFrame) -> DataFrame:
+    """(path, problem) of read files that are not there as a whole."""
+    return files.where(F.col("problem").isNotNull()).select("path", "problem")
 
 
 def as_text(raw: Column) -> Column:
@@ -107,7 +146,7 @@ def as_text(raw: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, *, ignore: tuple[str, ...] = IGNORED_DIRECTORIES) -> DataFrame:
-    """All files below ``root``. A file named like an ignored directory is left out too."""
+    """All files below ``root`` with what is wrong with them, see :func:`rejects`. A file named like an ignored directory is left out too."""
     files = list_tree(spark, root, ignore=ignore)
     return read_files(files.where(~file_name(F.col("path")).isin(*ignore)) if ignore else files, root)
 
@@ -117,9 +156,9 @@ def with_extension(files: DataFrame, extensions: tuple[str, ...] = DUPLICATE_SCA
 
 
 def read_for_duplicates(spark: SparkSession, root: str) -> DataFrame:
-    """Code files for the near-duplicate scan; files that are not UTF-8 are left out."""
+    """Code files for the near-duplicate scan; files that can't be read or are not UTF-8 have a ``problem`` and a null ``content``."""
     listed = with_extension(list_tree(spark, root, ignore=IGNORED_DIRECTORIES_SHORT))
-    return read_files(listed, root).where(F.is_valid_utf8(F.col("raw").cast("string"))).select("path", "content")
+    return read_files(listed, root).select("path", F.when(F.col("problem").isNull(), F.col("content")).alias("content"), "problem")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -128,4 +167,4 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     listed = list_tree(spark, root, ignore=IGNORED_DIRECTORIES_SHORT)
     listed = listed.where(name.isin("package.json", "requirements.txt", "pom.xml") | name.endswith(".csproj"))
     directory = F.left("path", F.greatest(F.length("path") - F.length(name) - 1, F.lit(0)))
-    return read_files(listed, root).select(directory.alias("root"), name.alias("filename"), "content")
+    return read_files(listed, root).where(F.col("raw").isNotNull()).select(directory.alias("root"), name.alias("filename"), "content")

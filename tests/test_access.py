@@ -137,3 +137,19 @@ def test_trace(spark, rows):
     df = spark.createDataFrame([("t", "a", None, "root", T1, 5), ("t", "b", "a", "child", T2, 3), ("u", "c", "a", "lost", T2, 1)],
                                "trace_id string, span_id string, parent_id string, name string, started_at timestamp_ntz, duration_ms bigint")
     assert rows(obs.trace_tree(df).select("span_id", "parent_name", "offset_s")) == [("a", None, None), ("b", "root", 86400), ("c", None, None)]
+
+
+def test_one_moment_of_one_repository_is_spread(spark):
+    """A third of all rows, equal but for their ids or wholly equal, goes to several tasks with the outcomes of one walk."""
+    data = [("hot", i // 2, T1, f'version = "1.0.{i % 3}"' if i % 5 else "none", "") for i in range(600)] + [("hot", 900, T2, 'version = "9.0.0"', "")] * 200
+    data += [(f"r{i % 40}", i, T2, f'version = "1.{i % 2}.0"', "[skip-semver]" if i % 7 == 0 else "") for i in range(800)] + [(None, 1, T1, 'version = "1.0.0"', None)] * 2
+    df = spark.createDataFrame(data, "repo string, id long, ts timestamp_ntz, file_text string, commit_message string").repartition(3)
+    got = policy.policy_version_bump(df).cache()
+    assert got.count() == len(data) and got.where("outcome = 'first'").count() == 42
+    assert sorted(r["outcome"] for r in got.where("id = 900").collect()) == ["bumped", *["not_bumped"] * 199]
+    walk = {}
+    for repo, i, ts, text, message in sorted((d for d in data if d[0] and d[0] != "hot"), key=lambda d: (d[0], d[2], d[1])):
+        version = text.split('"')[1]
+        walk[repo, i] = "first" if not any(k[0] == repo for k in walk) else "bypass" if message else "not_bumped" if last == version else "bumped"
+        last = version
+    assert {(r["repo"], r["id"]): r["outcome"] for r in got.where("repo like 'r%'").collect()} == walk

@@ -145,10 +145,11 @@ def test_flows_stop_at_cycles_and_depth(spark):
     edges = [("m", "a"), ("a", "b"), ("b", "a")] + [(f"n{i}", f"n{i + 1}") for i in range(12)]
     graph = spark.createDataFrame(edges, "caller string, callee string")
     roots = spark.createDataFrame([("m", "f"), ("n0", "f"), ("leaf", "f")], "entry string, file string")
-    got = [tuple(r) for r in calls.entry_flows(graph, roots).collect()]
+    got = [tuple(r) for r in calls.entry_flows(graph, roots, max_depth=6).collect()]
     assert sorted(r[2:] for r in got if r[0] == "m") == [(1, "m", "a", False), (2, "a", "b", False), (3, "b", "a", True)]
     assert max(r[2] for r in got if r[0] == "n0") == 7 and not [r for r in got if r[0] == "leaf"]
-    assert max(r["depth"] for r in calls.entry_flows(graph, roots, max_depth=None).collect()) == 12
+    assert max(r["depth"] for r in calls.entry_flows(graph, roots).collect()) == 12
+    assert calls.entry_flows(graph, roots.where("false")).count() == calls.entry_flows(graph, roots.where("entry = 'leaf'")).count() == 0
 
 
 def test_a_hub_of_calls_stays_linear(spark):

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import duplicates, manifests
 from plumbline.session import cut_lineage, scratch_dir
@@ -20,7 +21,29 @@ def test_tree(spark, tmp_path, rows):
     prints = {r["path"]: r for r in duplicates.file_fingerprint(files, project_root="p").collect()}
     assert prints["b/n.c"]["size"] == 5 and prints["b/n.c"]["extension"] == ".c" and len(prints["a/x.py"]["hash"]) == 64
     assert {r["path"]: r["content"] for r in files.collect()} == {"a/x.py": "print(1)\n", "b/n.c": "int", "m.md": "#", "a/__init__.py": "", ".hidden/_z.c": "x\ny\nz"}
-    assert [r[0] for r in rows(source.read_for_duplicates(spark, str(tmp_path)).select("path"))] == [".hidden/_z.c", "a/__init__.py", "a/x.py"]
+    found = source.read_for_duplicates(spark, str(tmp_path))
+    assert [r[0] for r in rows(found.where("problem IS NULL").select("path"))] == [".hidden/_z.c", "a/__init__.py", "a/x.py"]
+    assert rows(source.rejects(found)) == rows(source.rejects(files)) == [("b/n.c", "not UTF-8")]
+
+
+def test_what_cannot_be_read_is_told(spark, tmp_path, rows):
+    for i in range(30):
+        (tmp_path / f"{i:02d}.c").write_text("x" * (1000 if i == 7 else 10))
+    listed = source.list_tree(spark, str(tmp_path))
+    (tmp_path / "03.c").unlink()
+    read = source.read_files(listed.withColumn("problem", F.when(F.col("path") == "05.c", "not listed: x")), str(tmp_path), task_bytes=100).cache()
+    assert read.count() == 30 and [r[0] for r in rows(source.rejects(read))] == ["03.c", "05.c"]
+    assert rows(source.rejects(read))[0][1].startswith("not read: ") and read.where("raw IS NULL AND content IS NULL").count() == 2
+    sizes = [r["n"] for r in read.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("raw")).alias("n")).collect()]
+    assert len(sizes) >= 4 and max(s for s in sizes if s < 1000) <= 110 + 10 + (1280 // max(spark.sparkContext.defaultParallelism, 13))
+    assert source.read_files(listed.where("false"), str(tmp_path)).count() == 0
+
+
+def test_a_large_folder_is_listed_piece_by_piece(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source, "LISTED", 10)
+    for i in range(95):
+        (tmp_path / f"{i}.c").touch()
+    assert source.list_tree(spark, str(tmp_path)).select("path").distinct().count() == 95
 
 
 def test_manifests_in_a_tree(spark, tmp_path, rows):
@@ -50,11 +73,24 @@ def test_lines_as_in_universal_newlines(spark, content):
 
 
 def test_index_runs(spark, corpus, tmp_path, rows):
-    first = duplicates.file_fingerprint(corpus({"a": "1", "b": "1"}), project_root="p")
-    sinks.write_index(first, str(tmp_path / "index"), 1)
-    sinks.write_index(duplicates.file_fingerprint(corpus({"a": "2"}), project_root="q"), str(tmp_path / "index"), 2)
-    index = sinks.read_index(spark, str(tmp_path / "index"), first.schema)
-    assert rows(index.select("path", "project_root")) == [("a", "q"), ("b", "p")]
+    folder, of = str(tmp_path / "index"), lambda files, root: duplicates.file_fingerprint(corpus(files), project_root=root)
+    first = of({"a": "1", "b": "1"} | {f"x{i}": "1" for i in range(50)}, "p")
+    assert sinks.read_index(spark, folder, first.schema, buckets=4).count() == 0
+    assert sinks.merge_index(first, folder, 1, buckets=4) == 1
+    second = of({"a": "2", "c": "3"}, "q")
+    assert sinks.merge_index(second, folder, 2, buckets=4) == 2 == sinks.merge_index(first, folder, 1, buckets=4)
+    index = sinks.read_index(spark, folder, first.schema, buckets=4)
+    assert rows(index.where("length(path) = 1").select("path", "project_root")) == [("a", "q"), ("b", "p"), ("c", "q")] and index.count() == 53
+    # Only the new rows of a merge are shuffled.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.join(second.repartition(3).select("path"), "path", "full")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
+    again = of({"b": "5"}, "r").union(of({"b": "5"}, "r"))
+    sinks.merge_index(again, folder, 3, buckets=4)
+    assert rows(sinks.read_index(spark, folder, first.schema, buckets=4).where("path = 'b'").select("project_root")) == [("r",)]
 
 
 def test_reports(spark, corpus, tmp_path):
