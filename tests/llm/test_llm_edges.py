@@ -270,3 +270,46 @@ def test_html(spark, none):
     assert got[1] == "Title & more\n\nFirst para bold text with many words.\n\nSecond para it's linked words end."
     assert got[2] == got[3] == "" and got[4] == "deep words here" and got[5] == "plain words only"
     assert html.extract(pages.where("false")).count() == 0
+
+
+ARTICLE = "<p>" + "many plain words of the story " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("inner, kept", [
+    ('<p title="The hidden valley">Valley text here</p>', "Valley text here"), ('<p>See <a href="/hidden-costs">costs</a> too</p>', "See costs too"),
+    ('<div class="legal-history"><p>Law text here</p></div>', "Law text here"), ('<p data-id="tags-1">Data text</p>', "Data text"), ('<p>A <label>word</label> b</p>', "A word b"),
+    ("<p>Sum <math><mi>x</mi></math> y</p>", "Sum x y"), ('<figure class="share"><figcaption>Caption text</figcaption></figure>', "Caption text"),
+    ('<fieldset><p>Set text here</p></fieldset>', "Set text here"), ('<p><a href="/x?id=comments&class=ad">link words</a></p>', "link words"), ('<p id=side-effects>Effects text</p>', "Effects text"),
+    ('<div class="ad">Buy now</div>', None), ('<div class="cookie-notice">We use cookies</div>', None), ('<div class=\'ad-slot-3\'>Buy</div>', None), ('<section id="comments"><p>First reader</p></section>', None),
+    ('<ul class="navLinks"><li>Home</li></ul>', None), ('<form><label>Name</label><input name=q></form>', None), ('<aside>Aside words</aside>', None), ('<p hidden>Unseen</p>', None), ('<p style="display: none">Unseen</p>', None),
+    ('<!-- <p>no</p> -->', None), ('<script>var a = "<p>no</p>"</script>', None)])
+@pytest.mark.parametrize("learned", [{}, {"word p": 2.0, "word nav cut": -5.0, "tag p": 1.0}])
+def test_html_keeps_the_article_alone(inner, kept, learned):
+    page = f"<html><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><article><header><h1>Headline</h1></header>{ARTICLE}{inner}{ARTICLE}</article><footer>End</footer>"
+    story = ("many plain words of the story " * 8).strip()
+    assert html.main_text(page, learned).split("\n\n") == ["Headline", story, *[kept] * bool(kept), story]
+
+
+def test_html_of_a_page_in_a_form():
+    page = f"<body><form action=/p><div class=menu>Home</div><h1>Title</h1>{ARTICLE}<p><input name=a>Last words here</p></form>"
+    assert html.main_text(page, {}).split("\n\n")[0] == "Title" and html.main_text(page, {}).endswith("Last words here")
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<div><b>" * 10_000 + "</i>" * 10_000, "<div><b>" * 10_000 + "</b>" * 10_000, "<form>" * 10_000 + "x", "<p><b>" * 10_000, "<ul><li>" * 10_000 + "</p>" * 10_000,
+                 "<script>" * 10_000, "<b><div>" * 10_000 + "</b>" * 10_000, '<a href="' * 10_000, "<a '" * 10_000):
+        started = time.perf_counter()
+        html.main_text(page, {})
+        assert time.perf_counter() - started < 1, page[:20]
+
+
+def test_best_run_like_all_runs():
+    rng = random.Random(5)
+    for _ in range(500):
+        scores = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(0, 14))]
+        runs = [(0, 0), *[(i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]]
+        most = max(sum(scores[i:j]) for i, j in runs)
+        start, end = html.best_run(scores)
+        assert sum(scores[start:end]) == most and (most > 0 or (start, end) == (0, 0))
