@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..vocab import API_GROUPS, CALL_KEYWORDS
 from .code_structure import KNOWN_FUNCTIONS, LINE_BREAK, describe_python, module_heads, symbols
 
@@ -153,7 +153,7 @@ def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int | None = N
     while max_depth is None or len(levels) <= max_depth:
         found = frontier.withColumnRenamed("name", "caller").join(adjacent, "caller")
         known = reached.select("entry", "file", F.col("name").alias("callee"), F.lit(True).alias("_known"))
-        level = cut_lineage(found.join(known, ["entry", "file", "callee"], "left").select(
+        level = written(found.join(known, ["entry", "file", "callee"], "left").select(
             "entry", "file", F.lit(len(levels) + 1).cast("bigint").alias("depth"), "caller", "callee", F.coalesce("_known", F.lit(False)).alias("again")))
         if level.isEmpty():
             break

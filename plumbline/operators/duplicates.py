@@ -14,7 +14,7 @@ from ..functions import sketch
 from ..functions.ranking import latest
 from ..functions.skew import members_of_repeated_groups, skew_join
 from ..functions.text import file_name, let, suffix
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 
 def normalise_code(content: Column) -> Column:
@@ -160,11 +160,11 @@ def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
         verdict = skew_join(open_rows, smallest, ["bucket"], sizes=sizes).groupBy("rep").agg(
             F.bool_and(F.col("rep") == F.col("smallest")).alias("seed")
         )
-        seeds = cut_lineage(verdict.where("seed").select("rep"))
+        seeds = written(verdict.where("seed").select("rep"))
         seed_parts.append(seeds)
         taken = open_rows.join(seeds, "rep", "left_semi").select("bucket").distinct()
         closed = skew_join(open_rows, taken, ["bucket"], "left_semi", sizes=sizes).select("rep").distinct()
-        open_rows = cut_lineage(open_rows.join(closed, "rep", "left_anti"))
+        open_rows = written(open_rows.join(closed, "rep", "left_anti"))
     near = None
     if seed_parts:
         all_seeds = seed_parts[0]

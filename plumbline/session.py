@@ -70,3 +70,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str = "kept") -> DataFrame:
+    """A table in the shared folder, for loops: unlike a checkpoint it doesn't carry what the optimizer knew of the plan behind it, which
+    grows from round to round until planning takes longer than the work."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
