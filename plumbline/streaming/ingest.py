@@ -114,7 +114,9 @@ def store_batch(batch: DataFrame, batch_id: int, store: str, *, compact_every: i
         _write_parts(accepted, store, f"b{batch_id}")
         rejected(checked).write.mode("overwrite").parquet(f"{store}/dead/batch_id={batch_id}")
         daily_rollup(accepted).write.mode("overwrite").parquet(f"{store}/rollup/since={folded + 1}/batch_id={batch_id}")
-        accepted.groupBy("event_date").agg(F.lit(f"b{batch_id}").alias("part"), F.count("*").alias("rows")).coalesce(1).write.mode(
+        # The delta just written has the days and their rows.
+        delta = spark.read.schema(DAILY_ROLLUP).parquet(f"{store}/rollup/since={folded + 1}/batch_id={batch_id}")
+        delta.groupBy(F.col("day").alias("event_date")).agg(F.lit(f"b{batch_id}").alias("part"), F.sum("event_count").alias("rows")).coalesce(1).write.mode(
             "overwrite").parquet(f"{store}/files/since={folded + 1}/batch_id={batch_id}")
     finally:
         checked.unpersist()
