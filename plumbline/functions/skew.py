@@ -6,7 +6,7 @@ aggregated or made distinct on the join key does not, so these joins are split h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Left rows of one key that one task takes.
@@ -16,20 +16,21 @@ NULL_SLICES = 512
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", *,
-              sizes: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+              sizes: DataFrame | None = None, slice_rows: int = SLICE_ROWS, salt: Column | None = None) -> DataFrame:
     """``left.join(right, on, how)`` with hot keys of ``left`` cut into slices of ``slice_rows``.
 
     ``sizes`` holds ``on`` and ``n``, the left rows per key; it is counted (with map-side combine)
     when not given. Keys above ``slice_rows`` number at most left rows / slice_rows, which bounds
-    the broadcast. A left row goes to a slice by its own hash; right rows of a hot key are copied
-    to each slice. ``how`` may be inner, left, left_semi or left_anti.
+    the broadcast. A left row goes to a slice by its own hash, or by ``salt``, a number that is the same whenever a task is run
+    again: equal rows then go to different slices, and long columns aren't hashed. Right rows of a hot key are copied to each slice.
+    ``how`` may be inner, left, left_semi or left_anti.
     """
     if sizes is None:
         sizes = left.groupBy(*on).agg(F.count("*").alias("n"))
     hot = F.broadcast(sizes.where(F.col("n") > slice_rows).select(*on, F.ceil(F.col("n") / slice_rows).cast("int").alias("_slices")))
     slices = F.coalesce("_slices", F.lit(1))
     no_key = F.greatest(*[F.col(k).isNull() for k in on], F.lit(False))
-    row_hash = F.xxhash64(*left.columns)
+    row_hash = F.xxhash64(*left.columns) if salt is None else salt
     cut = left.join(hot, on, "left").withColumn(
         "_slice", F.pmod(row_hash, F.when(no_key, NULL_SLICES).otherwise(slices)).cast("int")).drop("_slices")
     copies = right.join(hot, on, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
