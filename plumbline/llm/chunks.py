@@ -35,9 +35,9 @@ REACH = 64
 # Words that the chained chunks of a passage hold at least; passages of 50 words and more hold as many.
 MIN_WORDS = 25
 NO_ID = -(2**63)
-# Bits of the filter by which documents know digests that can't be shared. Its size is fixed: with very many shared
-# digests it lets more through, which costs shuffled rows and changes nothing else.
-FILTER_BITS = 1 << 25
+# Bits of the filter by which documents know digests that can't be shared: sixteen for each shared digest, within these bounds. Beyond the
+# upper one, 2^28 bits for 17 million digests, it lets more through, which costs shuffled rows and changes nothing else.
+FILTER_BITS = (1 << 20, 1 << 28)
 _GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -107,8 +107,9 @@ def windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", aver
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), row, F.col(text)).mapInArrow(run, schema)
 
 
-def digest_filter(digests: DataFrame, *, bits: int = FILTER_BITS) -> Broadcast:
+def digest_filter(digests: DataFrame, *, within: tuple[int, int] = FILTER_BITS) -> Broadcast:
     """One bit for each value of the low bits of a digest: set if some digest has it."""
+    bits = min(within[1], max(within[0], 1 << (16 * digests.count()).bit_length()))
     at = F.col("digest").bitwiseAND(F.lit(bits - 1))
     words = digests.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(digest & 63 AS int))").alias("bit"))
     table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most bits / 64 rows
@@ -130,8 +131,9 @@ def repeated_passages(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     shared = cut_lineage(sums.where((F.col("first") < F.col("last")) | (F.col("first_row") < F.col("last_row"))).select(
         "digest", "first", F.coalesce("first_row", F.lit(0)).alias("first_row"), "n"))
     hits = skew_join(windows(docs, wanted=digest_filter(shared), **how), shared.drop("n"), ["digest"], sizes=shared.select("digest", "n"))
-    # A list is as long as one row's text.
-    lists = hits.groupBy("doc", "row").agg(F.collect_list(F.struct("span", "words", "first", "first_row")).alias("own"))
+    # A list is as long as one row's text: rows that are wholly equal have the same windows, which count once.
+    hits = hits.groupBy("doc", "row", "span").agg(F.min(F.struct("words", "first", "first_row")).alias("w"))
+    lists = hits.groupBy("doc", "row").agg(F.collect_list(F.struct("span", "w.words", "w.first", "w.first_row")).alias("own"))
     schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("doc_id", "row", "start", "end", "n_words", "first_doc_id")], T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,7 @@ def _passages(doc: int, row: int, span: np.ndarray, words: np.ndarray, first: np
     A chain's keeper is the latest of the first documents of its windows. Windows in a row that earlier documents have and
     that hold enough words are cut out and treated likewise; fewer stay part of the passage around them.
     """
-    order = np.unique(span, return_index=True)[1]  # rows that are wholly equal have the same windows
+    order = np.argsort(span)
     span, words, first, first_row = span[order], words[order], first[order], first_row[order]
     start, end, before, upto = span >> 32, span & 0xFFFFFFFF, words >> 32, words & 0xFFFFFFFF
     place = first if first.min() != NO_ID else np.unique(np.stack([first, first_row]), axis=1, return_inverse=True)[1].ravel()
@@ -190,12 +192,13 @@ def drop_repeats(docs: DataFrame, passages: DataFrame, *, text: str = "text", do
     """``docs`` without the passages that an earlier document keeps; the cut ends on character boundaries."""
     spans = passages.where("NOT kept").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("row").alias("_row")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    schema = added(docs, [(text, T.StringType())])
+    kind = docs.schema[text].dataType
+    schema = T.StructType([T.StructField("row", docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType), T.StructField("text", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for data, own in zip(utf8(batch.column(text)), batch.column("_spans").to_pylist()):
+            for data, own in zip(utf8(batch.column("text")), batch.column("_spans").to_pylist()):
                 if data is not None and own:
                     inside = np.zeros(len(data) + 1, bool)
                     for s in own:
@@ -207,7 +210,10 @@ def drop_repeats(docs: DataFrame, passages: DataFrame, *, text: str = "text", do
                         inside[a:b] = True
                     data = np.frombuffer(data, np.uint8)[~inside[:-1]].tobytes()
                 kept.append(data)
-            yield extend(batch, schema, {text: pa.array(kept, pa.binary()).cast(pa.string())})
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()).cast(pa.string())], names=["row", "text"])
 
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn("_row", F.xxhash64(text))
-    return skew_join(keyed, spans, ["_doc", "_row"], "left").mapInArrow(run, schema)
+    # The caller's columns travel as one, so no name of theirs can clash; the text is not sent twice.
+    rest = [F.lit(None).cast(kind).alias(c) if c == text else F.col(c) for c in docs.columns]
+    keyed = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(text).alias("_row"))
+    out = skew_join(keyed, spans, ["_doc", "_row"], "left").mapInArrow(run, schema)
+    return out.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -193,8 +193,9 @@ def to_arrow(schema: T.StructType) -> list[pa.DataType]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the documents that overlap an item."""
-    rows = keyed(docs, doc_id, text)
-    narrow = rows.select(F.struct("_key", "_crc").alias("_row"), F.col(text).alias("text"))
-    gone = overlaps(narrow, items, text="text", doc_id="_row", **how).select("doc_id._key", "doc_id._crc").distinct()
-    return rows.join(gone, ["_key", "_crc"], "left_anti").select(*docs.columns)
+    """``docs`` without the documents that overlap an item, told by row numbers: ``docs`` has to give the same rows in the same places
+    when it is read again, as written tables do. Its columns may have any names."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    narrow = rows.select("at", F.col(f"row.`{text}`").alias("text"))
+    gone = overlaps(narrow, items, text="text", doc_id="at", **how).select(F.col("doc_id").alias("at")).distinct()
+    return rows.join(gone, "at", "left_anti").select("row.*")

@@ -5,7 +5,7 @@ fingerprint that rejects every other line. No line and no text is shuffled.
 
 Null and empty texts have one empty line. Rows that share a doc_id count as documents of their own, but
 all of them keep the lines of which that doc_id is the largest; a null doc_id is smaller than any other.
-Other columns of the input stay as they are, whatever their names.
+Other columns of the input stay as they are, whatever their names, but for those that the result adds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ..functions.skew import skew_join
 from ..session import cut_lineage
 from . import mph
-from .text import SPACES, added, extend, utf8
+from .text import SPACES, utf8
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -57,20 +57,21 @@ def _doc_keys(text: bytes | None, least: int) -> tuple[list[bytes], list[bytes |
 
 
 def line_hashes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_length: int = MIN_LENGTH) -> DataFrame:
-    """(h1, h2, doc): each long key of each document once."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc")])
+    """(h1, h2, doc, row): each long key of each document once; ``row`` is a hash of its text."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "doc", "row")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
-            for value, doc in zip(utf8(batch.column("_text")), batch.column("_doc").to_pylist()):
+            keys, ids, rows = [], [], []
+            for value, doc, row in zip(utf8(batch.column("_text")), batch.column("_doc").to_pylist(), batch.column("_row").to_pylist()):
                 own = {k for k in _doc_keys(value, min_length)[1] if k is not None}
                 keys.extend(own)
                 ids.extend([doc] * len(own))
+                rows.extend([row] * len(own))
             h1, h2 = _hashes(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, pa.int64()), pa.array(rows, pa.int64())], names=schema.names)
 
-    narrow = docs.select(F.col(text).alias("_text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"))
+    narrow = docs.select(F.col(text).alias("_text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(text).alias("_row"))
     return narrow.mapInArrow(run, schema)
 
 
@@ -104,16 +105,25 @@ def _dropped(tables: dict[int, mph.Table], shards: int, h1: np.ndarray, h2: np.n
     return out
 
 
-def _out_schema(docs: DataFrame, text: str) -> T.StructType:
-    return added(docs, [(text, T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())], drop=("_doc", "_gone"))
+def _packed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(_row, _text, _doc): the caller's other columns as one, so that no name of theirs can clash."""
+    rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+    return docs.select(F.struct(*rest).alias("_row"), F.col(text).alias("_text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_doc"))
 
 
-def _rewrite(batch: pa.RecordBatch, schema: T.StructType, text: str, parts: list[tuple[list[bytes], list[bool]]]) -> pa.RecordBatch:
+def _out_schema(packed: DataFrame) -> T.StructType:
+    return T.StructType([packed.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_lines", T.LongType()), T.StructField("_dropped", T.LongType())])
+
+
+def _rewrite(batch: pa.RecordBatch, schema: T.StructType, parts: list[tuple[list[bytes], list[bool]]]) -> pa.RecordBatch:
     kept = [b"\n".join([line for line, gone in zip(lines, drop) if not gone]) for lines, drop in parts]
-    return extend(batch, schema, {
-        text: pa.array(kept, pa.binary()).cast(pa.string()),
-        "n_lines": pa.array([len(lines) for lines, _ in parts], pa.int64()),
-        "n_dropped": pa.array([sum(drop) for _, drop in parts], pa.int64())})
+    return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(lines) for lines, _ in parts], pa.int64()),
+                                       pa.array([sum(drop) for _, drop in parts], pa.int64())], names=schema.names)
+
+
+def _unpacked(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    kept = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*kept, F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_length: int = MIN_LENGTH,
@@ -128,18 +138,18 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     shards = max(1, -(-repeated.count() // shard_keys))
     blobs = cut_lineage(hash_shards(repeated, shards))
     size = blobs.agg(F.sum(F.length("blob"))).first()[0] or 0
-    with_id = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
+    packed = _packed(docs, text, doc_id)
     if size > broadcast_bytes:
-        return _dedup_routed(docs, with_id, blobs, shards, text, doc_id, min_length)
+        return _unpacked(_dedup_routed(docs, packed, blobs, shards, text, doc_id, min_length), docs, text)
     sent = spark.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in blobs.toLocalIterator()])
-    schema = _out_schema(docs, text)
+    schema = _out_schema(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {shard: mph.Table(blob) for shard, blob in sent.value}
         for batch in batches:
             parts, keys, owner = [], [], []
             docs_of = batch.column("_doc").to_pylist()
-            for row, value in enumerate(utf8(batch.column(text))):
+            for row, value in enumerate(utf8(batch.column("_text"))):
                 lines, own = _doc_keys(value, min_length)
                 drop = [False] * len(lines)
                 parts.append((lines, drop))
@@ -152,24 +162,24 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             for at in np.flatnonzero(_dropped(tables, shards, h1, h2, doc)).tolist():
                 row, i = owner[at]
                 parts[row][1][i] = True
-            yield _rewrite(batch, schema, text, parts)
+            yield _rewrite(batch, schema, parts)
 
-    return with_id.mapInArrow(run, schema)
+    return _unpacked(packed.mapInArrow(run, schema), docs, text)
 
 
-def _dedup_routed(docs: DataFrame, with_id: DataFrame, blobs: DataFrame, shards: int, text: str, doc_id: str, min_length: int) -> DataFrame:
+def _dedup_routed(docs: DataFrame, packed: DataFrame, blobs: DataFrame, shards: int, text: str, doc_id: str, min_length: int) -> DataFrame:
     """The same result when the arrays are too large to send: probes travel, hits come back by document."""
     probes = line_hashes(docs, text=text, doc_id=doc_id, min_length=min_length).withColumn("shard", F.pmod("h1", F.lit(shards)))
     slices = probes.groupBy("shard").agg(F.ceil(F.count("*") / SLICE_PROBES).cast("int").alias("slices"))
     wide = slices.where(F.col("slices") > 1)  # at most probes / SLICE_PROBES rows
     of = F.coalesce("slices", F.lit(1))
     asked = probes.join(F.broadcast(wide), "shard", "left").select(
-        "shard", F.pmod(F.xxhash64("doc", "h1"), of).alias("slice"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc")
+        "shard", F.pmod(F.xxhash64("doc", "row", "h1"), of).alias("slice"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc", "row")
     null = F.lit(None).cast("long")
     arrays = blobs.join(F.broadcast(wide), "shard", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), of - 1))).select(
-        "shard", F.col("slice").cast("long").alias("slice"), F.lit(0).alias("kind"), "blob", null.alias("h1"), null.alias("h2"), null.alias("doc"))
+        "shard", F.col("slice").cast("long").alias("slice"), F.lit(0).alias("kind"), "blob", null.alias("h1"), null.alias("h2"), null.alias("doc"), null.alias("row"))
     both = arrays.unionByName(asked).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "kind")
-    schema = T.StructType([T.StructField("_doc", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("_doc", "_hash", "h1", "h2")])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, mph.Table] = {}
@@ -181,13 +191,14 @@ def _dedup_routed(docs: DataFrame, with_id: DataFrame, blobs: DataFrame, shards:
                     tables = {int(shard[start]): mph.Table(batch.column("blob")[start].as_py())}
                 yield from _hits(batch, start + np.flatnonzero(kind[start:end] == 1), tables, shards, schema)
 
-    gone = both.mapInArrow(answer, schema).groupBy("_doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
-    out = _out_schema(docs, text)
+    # A list is as long as one text's lines: rows that share an id have lists of their own by their texts, and equal rows one.
+    gone = both.mapInArrow(answer, schema).distinct().groupBy("_doc", "_hash").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
+    out = _out_schema(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for value, hits in zip(utf8(batch.column(text)), batch.column("_gone").to_pylist()):
+            for value, hits in zip(utf8(batch.column("_text")), batch.column("_gone").to_pylist()):
                 lines, own = _doc_keys(value, min_length)
                 drop = [False] * len(lines)
                 if hits:
@@ -197,14 +208,14 @@ def _dedup_routed(docs: DataFrame, with_id: DataFrame, blobs: DataFrame, shards:
                     for i, pair in zip(at, zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist())):
                         drop[i] = pair in bad
                 parts.append((lines, drop))
-            yield _rewrite(batch, out, text, parts)
+            yield _rewrite(batch, out, parts)
 
-    # Lists are as long as one document's lines; rows that share a doc_id share its list.
-    return skew_join(with_id, gone, ["_doc"], "left").mapInArrow(run, out)
+    keyed = packed.withColumn("_hash", F.coalesce(F.xxhash64("_text"), F.lit(0)))
+    return skew_join(keyed, gone, ["_doc", "_hash"], "left").mapInArrow(run, out)
 
 
 def _hits(batch: pa.RecordBatch, rows: np.ndarray, tables: dict[int, mph.Table], shards: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
-    h1, h2, doc = (batch.column(c).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h1", "h2", "doc"))
+    h1, h2, doc, row = (batch.column(c).take(pa.array(rows)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h1", "h2", "doc", "row"))
     if len(rows):
         hit = _dropped(tables, shards, h1.view(np.uint64), h2.view(np.uint64), doc)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(h1[hit]), pa.array(h2[hit])], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(row[hit]), pa.array(h1[hit]), pa.array(h2[hit])], names=schema.names)

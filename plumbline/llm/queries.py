@@ -45,7 +45,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = simhash.near_duplicates(docs, words=4, bits=64, radius=4, recall=None, similarity=None)
+    found = simhash.near_duplicates(docs, words=4, bits=64, radius=4)
     return found.select("doc_id", hex16("fp_lo").alias("fingerprint"), "component_id")
 
 

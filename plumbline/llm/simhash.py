@@ -1,16 +1,15 @@
 """SimHash near-dedup: fingerprints in shards, a BK-tree for each shard, links as spanning edges.
 
-A shard is named by some bits of a fingerprint. Where the radius is small against the fingerprint, the
-names follow from the pigeonhole principle and no link is lost: the bits are cut into blocks, and two
-fingerprints within the radius agree in enough of them. Where it is large, names are samples of the bits,
-many enough to find a pair at the radius with a stated chance.
+A shard is named by some bits of a fingerprint: the bits are cut into blocks, and by the pigeonhole principle two
+fingerprints within the radius agree in enough of them, so no link is lost.
 
 A tree is not sent to everyone: fingerprints that could be near it have its shard's name, so they meet it in
 one task, and the trees may grow with the corpus. A shard with more fingerprints than a tree may hold is cut
-into several trees, and its fingerprints are sent to each of them.
+into several trees, and its fingerprints are sent to each of them. What a tree gives out are edges that span its links, fewer than its nodes;
+no pairs are listed.
 
-Null, empty and word-less texts have fingerprint zero, which links like any other. Equal texts share one
-fingerprint and cost one node; where links are checked, so do texts of one fingerprint only if their shingles are the same. Rows that share a doc_id may have different fingerprints; each row gets the
+Null, empty and word-less texts have fingerprint zero, which links like any other. Equal fingerprints are one node, so copies cost
+one. Rows that share a doc_id may have different fingerprints; each row gets the
 component of its own. A null doc_id never names a component unless it has no other. Other columns stay as they are.
 """
 
@@ -36,8 +35,8 @@ SEED = 42
 TREE_NODES = 20_000
 # Fingerprints of one shard to aim at: bits of a shard's name follow from it and the number of fingerprints.
 SHARD_NODES = 16
-# Bins in which the shingles of a text are counted: what two texts differ by in them, their sets differ by at least.
-BINS = 128
+# Shards that need several trees are sent to all tasks up to this number; a join finds more.
+FEW_SHARDS = 1_000_000
 _ROWS = 1 << 15
 
 
@@ -54,8 +53,8 @@ def shingle_slices(data: bytes, words: int) -> tuple[bytes, list[int], list[int]
     return low, starts[:n].tolist(), ends[-n:].tolist()
 
 
-def fingerprint(data: bytes | None, words: int, bits: int, hashes: list[np.ndarray] | None = None) -> bytes:
-    """Big-endian SimHash; 64 bits from XXH64, 128 from XXH128. The last 64 bits of each shingle's hash are added to ``hashes``."""
+def fingerprint(data: bytes | None, words: int, bits: int) -> bytes:
+    """Big-endian SimHash; 64 bits from XXH64, 128 from XXH128."""
     low, starts, ends = shingle_slices(data or b"", words)
     if not starts:
         return bytes(bits // 8)
@@ -63,42 +62,19 @@ def fingerprint(data: bytes | None, words: int, bits: int, hashes: list[np.ndarr
     ones = np.zeros(bits, np.int64)
     for at in range(0, len(starts), _ROWS):
         raw = b"".join([digest(low[a:b], SEED) for a, b in zip(starts[at:at + _ROWS], ends[at:at + _ROWS])])
-        table = np.frombuffer(raw, np.uint8).reshape(-1, bits // 8)
-        ones += np.unpackbits(table, axis=1).sum(axis=0, dtype=np.int32)
-        if hashes is not None:
-            hashes.append(np.ascontiguousarray(table[:, -8:]).view(">u8").ravel().astype(np.uint64))
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int32)
     return np.packbits(2 * ones > len(starts)).tobytes()
 
 
-def set_marks(hashes: list[np.ndarray]) -> tuple[int, int, bytes]:
-    """Hash and size of a set of shingles, and how many of them fall in each of ``BINS`` bins (255 at most)."""
-    own = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]))
-    bins = np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
-    return _signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), len(own), bins.tobytes()
-
-
-def fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4, bits: int = 64, sets: bool = False) -> DataFrame:
-    """``docs`` without ``text`` and with its fingerprint as two longs, ``fp_hi`` (0 for 64 bits) and ``fp_lo``.
-
-    With ``sets`` also ``_set``, ``_size`` and ``_bins`` of :func:`set_marks`.
-    """
-    new = [("fp_hi", T.LongType()), ("fp_lo", T.LongType())]
-    marks = [("_set", T.LongType()), ("_size", T.LongType()), ("_bins", T.BinaryType())] if sets else []
-    schema = added(docs, new + marks, drop=(text,))
+def fingerprints(docs: DataFrame, *, text: str = "text", words: int = 4, bits: int = 64) -> DataFrame:
+    """``docs`` without ``text`` and with its fingerprint as two longs, ``fp_hi`` (0 for 64 bits) and ``fp_lo``."""
+    schema = added(docs, [("fp_hi", T.LongType()), ("fp_lo", T.LongType())], drop=(text,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, of_sets = [], []
-            for value in utf8(batch.column(text)):
-                hashes: list[np.ndarray] | None = [] if sets else None
-                raw.append(fingerprint(value, words, bits, hashes).rjust(16, b"\0"))
-                if sets:
-                    of_sets.append(set_marks(hashes))
+            raw = [fingerprint(value, words, bits).rjust(16, b"\0") for value in utf8(batch.column(text))]
             halves = np.frombuffer(b"".join(raw), ">i8").astype(np.int64).reshape(-1, 2)
-            out = {"fp_hi": pa.array(halves[:, 0]), "fp_lo": pa.array(halves[:, 1])}
-            for (name, _), kind, values in zip(marks, (pa.int64(), pa.int64(), pa.binary()), list(zip(*of_sets)) or [()] * 3):
-                out[name] = pa.array(values, kind)
-            yield extend(batch, schema, out)
+            yield extend(batch, schema, {"fp_hi": pa.array(halves[:, 0]), "fp_lo": pa.array(halves[:, 1])})
 
     return docs.mapInArrow(run, schema)
 
@@ -118,15 +94,6 @@ def block_masks(bits: int, radius: int, n: int) -> list[int]:
     raise AssertionError
 
 
-def sampled_masks(bits: int, radius: int, n: int, recall: float) -> list[int]:
-    """Random bit masks, enough that a pair just at ``radius`` agrees on one of them with chance ``recall``."""
-    width = max(8, round(math.log2(max(2, n) / SHARD_NODES)))
-    hit = math.prod((bits - radius - i) / (bits - i) for i in range(width))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - hit))
-    rng = np.random.default_rng(SEED)
-    return [sum(1 << int(b) for b in rng.choice(bits, width, replace=False)) for _ in range(tables)]
-
-
 class Tree:
     """A BK-tree: each child hangs on the edge named by its Hamming distance to the parent."""
 
@@ -179,11 +146,15 @@ def dealt(members: DataFrame, masks: list[int], tree_nodes: int, *, by: list[str
     names = F.array(*[F.xxhash64(F.lit(i), F.col("fp_hi").bitwiseAND(F.lit(_signed(m >> 64))), F.col("fp_lo").bitwiseAND(F.lit(_signed(m))))
                       for i, m in enumerate(masks)])
     members = members.select(*carried, F.posexplode(names).alias("table", "shard"))
-    large = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree_nodes).select(
-        "shard", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"))  # at most members / tree_nodes rows
+    large = cut_lineage(members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tree_nodes).select(
+        "shard", F.ceil(F.col("n") / tree_nodes).cast("int").alias("trees"), "n"))
+    if large.count() <= FEW_SHARDS:
+        with_trees = members.join(F.broadcast(large.drop("n")), "shard", "left")
+    else:
+        with_trees = skew_join(members, large.drop("n"), ["shard"], "left", sizes=large.drop("trees"))
     trees = F.coalesce("trees", F.lit(1))
     own = F.pmod(F.xxhash64(*by), trees)
-    sent = (members.join(F.broadcast(large), "shard", "left").withColumn("own", own)
+    sent = (with_trees.withColumn("own", own)
             .withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1)))
             .select("shard", "tree", (F.col("tree") != F.col("own")).alias("probe"), "table", *carried))
     return sent.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "probe")
@@ -221,80 +192,6 @@ def links(distinct: DataFrame, masks: list[int], radius: int, *, tree_nodes: int
     return sent.mapInArrow(run, schema).distinct()
 
 
-class Families:
-    """A BK-tree over fingerprints that several nodes may share, and which knows the subtrees that hold one component alone."""
-
-    def __init__(self, radius: int):
-        self.radius, self.keys, self.kids, self.held, self.sole = radius, [], [], [], []
-
-    def others(self, key: int, component: int) -> list[tuple]:
-        """All nodes within the radius that are not of ``component``."""
-        if not self.keys:
-            return []
-        keys, kids, sole, r, found, todo = self.keys, self.kids, self.sole, self.radius, [], [0]
-        while todo:
-            i = todo.pop()
-            if sole[i] == component:
-                continue
-            d = (keys[i] ^ key).bit_count()
-            if d <= r:
-                found.extend(n for n in self.held[i] if n[1] != component)
-            for edge, child in kids[i].items():
-                if d - r <= edge <= d + r:
-                    todo.append(child)
-        return found
-
-    def add(self, key: int, node: tuple) -> None:
-        at, component = 0, node[1]
-        while at < len(self.keys):
-            if self.sole[at] != component:
-                self.sole[at] = None
-            d = (self.keys[at] ^ key).bit_count()
-            if not d:
-                self.held[at].append(node)
-                return
-            at = self.kids[at].setdefault(d, len(self.keys))
-        self.keys.append(key)
-        self.kids.append({})
-        self.held.append([node])
-        self.sole.append(component)
-
-
-def open_pairs(nodes: DataFrame, masks: list[int], radius: int, least: float, *, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """(a, b): every pair of ``nodes`` (node, component, fp_hi, fp_lo, _size, _bins) within the radius, of one shard and of different
-    components, but for those whose sizes or bins rule out a Jaccard similarity of ``least``."""
-    sent = dealt(nodes, masks, tree_nodes, by=["node"], carried=["node", "component", "fp_hi", "fp_lo", "_size", "_bins"])
-    most = (1 - least) / (1 + least)  # that share of both sizes is the most by which similar sets differ
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, tree = None, Families(radius)
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("shard", "tree", "probe", "table", "node", "component", "fp_hi", "fp_lo", "_size", "_bins")]
-            for shard, part, probe, table, node, component, hi, lo, size, bins in zip(*columns):
-                if (shard, part) != name:
-                    name, tree = (shard, part), Families(radius)
-                key = (hi & _WORD) << 64 | lo & _WORD
-                # A pair is left to the first shard in which it meets.
-                found = [n for n in tree.others(key, component) if not any((n[2] ^ key) & m == 0 for m in masks[:table])]
-                if found:
-                    theirs = np.frombuffer(b"".join([n[4] for n in found]), np.uint8).reshape(-1, BINS).astype(np.int16)
-                    apart = np.abs(theirs - np.frombuffer(bins, np.uint8)).sum(axis=1)
-                    out.extend((node, n[0]) for n, d in zip(found, apart.tolist()) if max(d, abs(size - n[3])) <= most * (size + n[3]) + 1e-6)
-                if not probe:
-                    tree.add(key, (node, component, key, size, bins))
-                if len(out) >= 50_000:
-                    yield _pairs(out)
-                    out = []
-            yield _pairs(out)
-
-    return sent.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
 _WORD = (1 << 64) - 1
 
 
@@ -303,112 +200,37 @@ def _signed(word: int) -> int:
     return word - (1 << 64) if word >> 63 else word
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, shingles): sorted distinct 64-bit hashes of the shingles of each (doc, text)."""
-    schema = T.StructType([docs.schema["doc"], T.StructField("shingles", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = []
-            for value in utf8(batch.column("text")):
-                low, starts, ends = shingle_slices(value or b"", words)
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(low[a:b], SEED) for a, b in zip(starts, ends)], np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
-
-    return docs.select("doc", "text").mapInArrow(run, schema)
-
-
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges (a, b) whose texts have a Jaccard similarity of at least ``least`` over their shingles.
-
-    ``nodes`` (node, row) name the ``docs`` (row, text) of which each node is compared.
-    """
-    edges = cut_lineage(edges)
-    asked = nodes.join(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "node", "left_semi")
-    sets = cut_lineage(shingle_sets(docs.join(asked.select("row", F.col("node").alias("doc")), "row").dropDuplicates(["doc"]), words))
-    both = skew_join(edges, sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), ["a"])
-    both = skew_join(both, sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), ["b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= least * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without ``text`` and with fp_hi, fp_lo and component_id, the smallest doc_id reachable over links.
-
-    ``recall`` None asks for every link, by blocks; else it is the chance to find a link just at the radius. For
-    two texts of Jaccard similarity J over their shingles the expected share of differing bits is
-    arccos(2J / (1 + J)) / pi, which is 0.15 at J = 0.8; the default radius leaves room for the spread around it.
-    With ``similarity`` an edge counts only if the two texts have that Jaccard similarity. Edges that span each tree are
-    checked first, so copies cost their number; then all pairs within the radius that those have left in different
-    components and whose counts by bins allow the similarity. Without it equal fingerprints are one node; with it only those
-    of equal sets of shingles are.
-    """
-    return grouped(docs, **how).drop("_group")
-
-
-def grouped(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 128, radius: int = 24,
-            recall: float | None = 0.95, similarity: float | None = 0.8, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """:func:`near_duplicates` with ``_group``, the number of the component, which does not hang on any doc_id."""
-    marks = ["fp_hi", "fp_lo"] if similarity is None else ["fp_hi", "fp_lo", "_set"]
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", words: int = 4, bits: int = 64, radius: int = 4,
+                    tree_nodes: int = TREE_NODES) -> DataFrame:
+    """``docs`` without ``text`` and with fp_hi, fp_lo, component_id, the smallest doc_id reachable over links, and ``_group``, a
+    number of the component that does not hang on any doc_id."""
     # A node's number is its fingerprint; of 128 bits a 64-bit hash.
     node = (lambda hi, lo: F.col(lo)) if bits == 64 else (lambda hi, lo: F.xxhash64(hi, lo))
-    own = node("fp_hi", "fp_lo")
-    least = [F.min(doc_id).alias("_first"), F.count("*").alias("_n")]
-    if similarity is not None:
-        docs = docs.withColumn("_row", F.xxhash64(doc_id, text))
-        least.append(F.min(F.struct("_row", "_size", "_bins")).alias("_of"))
-    marked = cut_lineage(fingerprints(docs, text=text, words=words, bits=bits, sets=similarity is not None))
-    nodes = marked.groupBy(*marks).agg(*least)
-    if similarity is None:
-        nodes = cut_lineage(nodes.withColumn("node", own))
-        distinct = nodes.select("fp_hi", "fp_lo")
-    else:  # of the sets with one fingerprint the first has its number
-        nodes = cut_lineage(nodes)
-        distinct = cut_lineage(nodes.groupBy("fp_hi", "fp_lo").agg(F.min("_set").alias("_least_set"), F.count("*").alias("n")))
-        number = F.when(F.col("_set") == F.col("_least_set"), own).otherwise(F.xxhash64("fp_hi", "fp_lo", "_set"))
-        nodes = skew_join(nodes, distinct.withColumnRenamed("n", "_sets"), ["fp_hi", "fp_lo"], sizes=distinct.drop("_least_set"))
-        nodes = cut_lineage(nodes.withColumn("node", number).drop("_least_set"))
-    n = distinct.count()
-    masks = block_masks(bits, radius, n) if recall is None else sampled_masks(bits, radius, n, recall)
-    found = links(distinct, masks, radius, tree_nodes=tree_nodes)
-    edges = found.select(node("a_hi", "a_lo").alias("a"), node("b_hi", "b_lo").alias("b"))
-    if similarity is not None:
-        edges = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        rows, texts = nodes.select("node", "_of._row").withColumnRenamed("_row", "row"), docs.select(F.col("_row").alias("row"), F.col(text).alias("text"))
-        spanning = cut_lineage(verified(edges, rows, texts, words, similarity))
-        # A fingerprint without a link has none within the radius.
-        near = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        roots = connected_components(spanning)
-        alone = F.col("_sets") == 1
-        unsettled = nodes.where(~alone).union(nodes.where(alone).join(near, nodes["node"] == near["node"], "left_semi")).join(roots, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("component"), "fp_hi", "fp_lo", "_of._size", "_of._bins")
-        rest = open_pairs(cut_lineage(unsettled), masks, radius, similarity, tree_nodes=tree_nodes)
-        edges = spanning.union(verified(rest, rows, texts, words, similarity))
-    roots = cut_lineage(connected_components(edges))
+    marks = ["fp_hi", "fp_lo"]
+    marked = cut_lineage(fingerprints(docs, text=text, words=words, bits=bits))
+    nodes = cut_lineage(marked.groupBy(*marks).agg(F.min(doc_id).alias("_first"), F.count("*").alias("_n")).withColumn("node", node(*marks)))
+    distinct = nodes.select(*marks)
+    found = links(distinct, block_masks(bits, radius, distinct.count()), radius, tree_nodes=tree_nodes)
+    roots = cut_lineage(connected_components(found.select(node("a_hi", "a_lo").alias("a"), node("b_hi", "b_lo").alias("b"))))
     linked = roots.join(nodes.select("node", "_first"), "node")
-    least = linked.groupBy("root").agg(F.min("_first").alias("_least"), F.count("*").alias("n"))
-    least = cut_lineage(least)
+    least = cut_lineage(linked.groupBy("root").agg(F.min("_first").alias("_least"), F.count("*").alias("n")))
     of_node = skew_join(linked.select("node", "root"), least.drop("n"), ["root"], sizes=least.select("root", "n")).select("node", "root", "_least")
     named = nodes.join(of_node, "node", "left").select(*marks, F.coalesce("_least", "_first").alias("component_id"), F.coalesce("root", "node").alias("_group"))
-    return skew_join(marked.drop("_row", "_size", "_bins"), named, marks, sizes=nodes.select(*marks, F.col("_n").alias("n"))).drop("_set")
+    return skew_join(marked, named, marks, sizes=nodes.select(*marks, F.col("_n").alias("n")))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id, null being the smallest.
 
-    Components are of texts: rows that share a doc_id, or have none, are no copies for that.
-    Of rows that share that doc_id the one with the smallest text hash stays; of wholly equal rows, one.
+    Components are of texts: rows that share a doc_id, or have none, are no copies for that. Of rows that share that doc_id the one with the
+    smallest text hash stays; of wholly equal rows, one. Which rows go is decided on row numbers, ids and hashes; ``docs`` has to give the same rows
+    in the same places when it is read again, as written tables do.
     """
-    rows = keyed(docs, doc_id, text)
-    groups = grouped(rows.select("_key", "_crc", F.col(text).alias("text")), **{"doc_id": "_key", **how})
-    first = groups.groupBy("_group").agg(F.min(F.struct("_key", "_crc")).alias("keep"))
-    return rows.join(first.select("keep._key", "keep._crc"), ["_key", "_crc"], "left_semi").dropDuplicates(["_key", "_crc"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    own = rows.select(F.struct(F.coalesce(F.col(f"row.`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(F.col(f"row.`{text}`")).alias("crc"), "at").alias("name"),
+                      F.col(f"row.`{text}`").alias("text"))
+    groups = cut_lineage(near_duplicates(own, text="text", doc_id="name", **how).select("_group", "name"))
+    first = cut_lineage(groups.groupBy("_group").agg(F.min("name").alias("stays"), F.count("*").alias("n")))
+    several = first.where("n > 1")
+    gone = skew_join(groups, several.drop("n"), ["_group"], sizes=several.select("_group", "n")).where("name.at <> stays.at").select(F.col("name.at").alias("at"))
+    return rows.join(gone, "at", "left_anti").select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .text import added, extend
 
-# Labelled rows the model is fitted to at most (in expectation; drawn by a hash of the doc_id).
+# Labelled texts the model is fitted to at most (in expectation; drawn by a hash of doc_id and text).
 SAMPLE_ROWS = 12_000
 BUCKETS = 1 << 18
 ORDERS = (3, 4, 5, 6)
@@ -64,14 +64,15 @@ def gram_buckets(text: str | None, wanted: np.ndarray | None = None) -> np.ndarr
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column, *, text: str, doc_id: str, label: str, rows: int) -> DataFrame:
-    """(label, text) of at most about ``rows`` labelled rows, drawn by hash; only their ids are broadcast."""
-    marked = labels.where(train & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
-    n = marked.count()
-    share = min(1.0, rows / max(1, n))
-    drawn = marked.where(F.pmod(F.xxhash64(F.col("_id")), F.lit(1_000_000)) < int(share * 1_000_000))
-    plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    # The ids drawn are at most about SAMPLE_ROWS.
-    return plain.join(F.broadcast(drawn), "_id").select("label", "text")
+    """(label, text) of at most about ``rows`` labelled texts, drawn by a hash of id and text; equal rows are one example."""
+    marked = labels.where(train & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label")).distinct()
+    plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).withColumn("_text", F.xxhash64("text"))
+    named = cut_lineage(plain.select("_id", "_text").join(marked, "_id").distinct())
+    share = min(1.0, rows / max(1, named.count()))
+    drawn = named.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    # The texts drawn are at most about SAMPLE_ROWS.
+    found = plain.join(F.broadcast(drawn), ["_id", "_text"])
+    return found.groupBy("_id", "_text", "label").agg(F.first("text").alias("text")).select("label", "text")
 
 
 def ratios(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
