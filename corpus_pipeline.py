@@ -15,7 +15,8 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted to the labelled ones, doesn't call toxic."""
     labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.classifier(docs, labels, F.lit(True))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return toxicity.score(rows, model).where("predicted = 0").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by 128-bit SimHash over five-word shingles."""
+    """One document of each group of near copies: 64-bit SimHash over four-word shingles, linked at four or fewer differing bits."""
     tune(spark)
-    return simhash.keep_one(docs, words=5)
+    return simhash.keep_one(docs, words=4, bits=64, radius=4)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
