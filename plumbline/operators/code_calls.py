@@ -21,6 +21,8 @@ CALL = r"(?U)\b(\w+)\s*\("
 CALL_WITH_ARGS = r"(?U)\b(\w+)\s*\(([^)]*)\)"
 DEFINITIONS = {"js": (JS_DEFINITION, (1, 2)), "csharp": (CS_DEFINITION, (1,)), "generic": (GENERIC_DEFINITION, (1,))}
 EXTERNAL_PREFIXES = ("Sc", "Win", "Nfc", "Usb")
+# Prefixes that hint at a system interface.
+SYSTEM_PREFIXES = ("nfc_", "hid_", "usb_", "scard", "win32", "ctypes")
 
 # Edges: (caller, callee, line, location, pos); `pos` orders the calls of one line.
 
@@ -220,6 +222,5 @@ def api_by_file(calls: DataFrame) -> DataFrame:
 def api_unknown(edges: DataFrame) -> DataFrame:
     """Callees outside the known functions whose name hints at a system interface."""
     name = F.col("callee")
-    hint = ((F.length(name) > 3) & name.rlike(r"^\p{Lu}\p{Ll}")) | F.greatest(
-        *[name.startswith(p) for p in ("nfc_", "hid_", "usb_", "scard", "win32", "ctypes")])
+    hint = ((F.length(name) > 3) & name.rlike(r"^\p{Lu}\p{Ll}")) | F.greatest(*[name.startswith(p) for p in SYSTEM_PREFIXES])
     return edges.where(_group(name).isNull() & hint)

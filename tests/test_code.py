@@ -234,12 +234,13 @@ def test_a_file_too_deep_to_parse_keeps_its_symbols(corpus, rows):
     deep = "import os\n@deco\ndef before(a):\n  return run(a)\n\ndef f():\n  return " + "-" * 60_000 + "g(1)\n\nclass K(B):\n  def m(self):\n    hid_open(self)\n"
     files = corpus({"deep.py": deep, "bad.py": "def (:\n", "good.py": "def g():\n  pass\n", "nul.py": "x = 1\x00"})
     described = calls.described_files(files)
-    assert rows(st.python_rejects(described)) == [("bad.py", "syntax error"), ("deep.py", "nested too deeply"), ("nul.py", "null character")] or \
-        rows(st.python_rejects(described)) == [("bad.py", "syntax error"), ("deep.py", "nested too deeply"), ("nul.py", "syntax error")]
+    found = dict(rows(st.python_rejects(described)))
+    assert found.pop("nul.py") in ("null character", "syntax error")  # by Python version
+    assert found == {"bad.py": "syntax error", "deep.py": "nested too deeply"}
     own = st.symbols(described, "python").where("path = 'deep.py'").cache()
     assert sorted(names(own, "function")) == [("before", 3), ("f", 6)] and names(own, "class") == [("K", 9)] and names(own, "import") == [("", 1)]
     edges = {(r["caller"], r["callee"], r["line"]) for r in calls.call_edges_python(described).where("location = 'deep.py'").collect()}
-    assert edges == {("before", "deco", 2), ("before", "run", 4), ("f", "g", 7), ("m", "hid_open", 11)} or edges == {("before", "run", 4), ("f", "g", 7), ("m", "hid_open", 11)}
+    assert edges == {("before", "run", 4), ("f", "g", 7), ("m", "hid_open", 11)}
     assert [(r["function"], r["line"]) for r in calls.api_calls_python(described).where("file = 'deep.py'").collect()] == [("hid_open", 11)]
 
 
