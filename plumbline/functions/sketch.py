@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -14,10 +13,13 @@ WIDTH = 5
 # Arithmetic is modulo the Mersenne prime 2^31 - 1, so every product fits 64 bits.
 PRIME = np.uint64(2**31 - 1)
 BASE = np.uint64(1_000_003)
+SECOND_BASE = np.uint64(998_244_353)
 # Pads texts shorter than one shingle; larger than any code point.
 PAD = 0x110000
 # Shingles permuted at a time; keeps the (permutations x shingles) block in the CPU cache.
 BLOCK = 512
+# Texts whose shingle hashes go out in one batch.
+GRAM_ROWS = 64
 
 
 def _reduce(x: np.ndarray) -> np.ndarray:
@@ -26,7 +28,7 @@ def _reduce(x: np.ndarray) -> np.ndarray:
     return np.minimum(folded, folded - PRIME)  # the difference wraps to a large value below PRIME
 
 
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, base: np.uint64 = BASE) -> np.ndarray:
     """31-bit hash of every 5-character shingle in order; a shorter text is one shingle by itself.
 
     A polynomial in the code points, then the fifth power, a bijection modulo this prime that
@@ -38,11 +40,16 @@ def shingle_hashes(text: str) -> np.ndarray:
     count = len(points) - WIDTH + 1
     state = np.zeros(count, dtype=np.uint64)
     for i in range(WIDTH):
-        state = _reduce(state * BASE + points[i : i + count] + np.uint64(1))
+        state = _reduce(state * base + points[i : i + count] + np.uint64(1))
     square = _reduce(state * state)
     return _reduce(_reduce(square * square) * state)
 
 
+def gram_hashes(text: str) -> np.ndarray:
+    """The distinct shingles as sorted 62-bit numbers, of two hashes each."""
+    return np.unique(shingle_hashes(text) << np.uint64(31) | shingle_hashes(text, SECOND_BASE))
+
+
 def permutations(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and offsets of the hash family: successive values of the MINSTD generator."""
     values, state = [], seed
@@ -63,22 +70,12 @@ def signature(hashes: np.ndarray, multipliers: np.ndarray, offsets: np.ndarray)
     return best
 
 
-def jaccard(left: str, right: str) -> float:
-    """Jaccard similarity of two shingle sets by their text, not by their hashes."""
-    a, b = _shingle_rows(left), _shingle_rows(right)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct shingle hashes."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common)
 
 
-def _shingle_rows(text: str) -> np.ndarray:
-    """The distinct shingles as fixed-width byte strings."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    if len(points) < WIDTH:
-        points = np.concatenate([points, np.full(WIDTH - len(points), PAD, dtype="<u4")])
-    windows = np.lib.stride_tricks.sliding_window_view(points, WIDTH)
-    return np.unique(np.ascontiguousarray(windows).view(f"V{4 * WIDTH}").ravel())
-
-
 def with_signature(df: DataFrame, text: str, *, num_perm: int = 128, seed: int = 1) -> DataFrame:
     """Replaces the ``text`` column by ``signature``, an array of ``num_perm`` bigints."""
     keep = [f for f in df.schema.fields if f.name != text]
@@ -101,19 +98,36 @@ def with_signature(df: DataFrame, text: str, *, num_perm: int = 128, seed: int =
     return df.mapInArrow(run, schema)
 
 
+def with_grams(df: DataFrame, text: str) -> DataFrame:
+    """Replaces the ``text`` column by ``grams``, its distinct shingle hashes in order, and their number ``n_grams``."""
+    keep = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*keep, T.StructField("grams", T.BinaryType()), T.StructField("n_grams", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                # Hashes take eight times the text, so a batch is given out in parts.
+                for start in range(0, batch.num_rows, GRAM_ROWS):
+                    part = batch.slice(start, GRAM_ROWS)
+                    rows = [gram_hashes(value.as_py()) for value in part.column(text)]
+                    columns = [pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([len(r) for r in rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *columns], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def with_jaccard(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Replaces two text columns by the exact ``jaccard`` of each row."""
+    """Replaces two columns of shingle hashes by the ``jaccard`` of each row."""
     keep = [f for f in pairs.schema.fields if f.name not in (left, right)]
     schema = T.StructType([*keep, T.StructField("jaccard", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                out = batch[[f.name for f in keep]].copy()
-                out["jaccard"] = [jaccard(a, b) for a, b in zip(batch[left], batch[right])]
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (left, right))
+            values = pa.array([jaccard(a, b) for a, b in zip(*sets)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], values], names=schema.names)
 
-    return pairs.mapInPandas(run, schema)
+    return pairs.mapInArrow(run, schema)
 
 
 def banding(threshold: float, num_perm: int = 128, *, steps: int = 1000) -> tuple[int, int]:

@@ -7,6 +7,7 @@ text makes up a third of the corpus.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ from ..functions.skew import members_of_repeated_groups, skew_join
 from ..functions.text import file_name, let, suffix
 from ..session import cut_lineage, written
 
+# Bucket rows that one task walks.
+PART_ROWS = 200_000
+# Texts compared with one seed in one task.
+COMPARED_ROWS = 10_000
+
 
 def normalise_code(content: Column) -> Column:
     """Lower case, comments out (# and // to the line end, then blocks), all white space out."""
@@ -28,14 +34,9 @@ def normalise_code(content: Column) -> Column:
 
 def shingles(content: Column) -> Column:
     """Distinct 5-character shingles of the normalised text; a text of up to 5 is one shingle."""
-    text = normalise_code(content)
-    chars = F.split(text, "")
-
-    def pieces(c: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(c) - 4, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(c, i, 5), ""))
-
-    return F.array_distinct(let(chars, pieces))
+    # Each match takes one code point and looks at the five from there.
+    return let(normalise_code(content), lambda text: F.when(F.length(text) <= 5, F.array(text)).otherwise(
+        F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{5}))."), F.lit(1)))))
 
 
 def _index_columns(corpus: DataFrame, project_root: str) -> list[Column]:
@@ -112,16 +113,17 @@ def _band_keys(bands: int, rows: int) -> Column:
     ])
 
 
-def _representatives(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One path per distinct signature, and which representative each path has.
+def _representatives(signatures: DataFrame, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """One path per distinct signature with its buckets and copies, and the signature each path has.
 
     Files with the same signature share every bucket, so the first of them stands for all; this
     keeps copied files out of the buckets.
     """
-    # Kept once in the shared folder: both results and every later round start from it.
-    keyed = cut_lineage(signatures.select("path", "signature", _digest(F.col("signature")).alias("sig")))
-    reps = keyed.groupBy("sig").agg(F.min("path").alias("rep"), F.min_by("signature", "path").alias("signature"))
-    return reps, keyed.select("sig", "path")
+    # Kept once in the shared folder, with the buckets in place of the long signatures.
+    buckets = F.transform(_band_keys(bands, rows), lambda k: F.concat_ws(":", k["band"], k["bucket"]))
+    keyed = written(signatures.select("path", _digest(F.col("signature")).alias("sig"), buckets.alias("buckets")))
+    reps = keyed.groupBy("sig").agg(F.min("path").alias("rep"), F.first("buckets").alias("buckets"), F.count("*").alias("copies"))
+    return written(reps), keyed.select("sig", "path")
 
 
 def lsh_candidates(signatures: DataFrame, *, threshold: float = 0.9, num_perm: int = 128) -> DataFrame:
@@ -137,65 +139,137 @@ def lsh_candidates(signatures: DataFrame, *, threshold: float = 0.9, num_perm: i
     return skew_join(member, sizes, ["band", "bucket"], sizes=sizes).withColumnRenamed("n", "members")
 
 
-def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: int = 128) -> DataFrame:
+def _walk(part: pd.DataFrame) -> pd.DataFrame:
+    """Seeds of whole connected parts: in path order, a path is a seed unless an earlier seed has one of its buckets."""
+    taken: set[str] = set()
+    seeds = []
+    for rep, own in part.groupby("rep", sort=True)["bucket"]:
+        if taken.isdisjoint(own):
+            seeds.append(rep)
+            taken.update(own)
+    return pd.DataFrame({"rep": pd.Series(seeds, dtype=object)})
+
+
+def _connected(graph: DataFrame) -> DataFrame:
+    """(rep, part): the smallest path of the connected part each path is in.
+
+    Each round takes the smallest part among a path's buckets and then the part of that part's own path, so
+    the rounds grow with the logarithm of the longest chain. Both steps are combining aggregates and a join on unique keys.
+    """
+    parts = written(graph.select("rep", F.col("rep").alias("part")).distinct())
+    while True:
+        by_rep = graph.join(parts, "rep")
+        least = by_rep.groupBy("bucket").agg(F.min("part").alias("least"), F.count("*").alias("n"))
+        found = written(skew_join(by_rep, least.drop("n"), ["bucket"], sizes=least.select("bucket", "n"))
+                        .groupBy("rep").agg(F.min("least").alias("near"), F.first("part").alias("part")))
+        # A part is the path of one of its files, so it has a row of its own. A hot one is told by its files.
+        roots = found.select(F.col("rep").alias("near"), F.col("near").alias("root"))
+        after = written(skew_join(found, roots, ["near"]).select("rep", F.least("near", "root").alias("next"), "part"))
+        if after.where("next <> part").isEmpty():
+            return after.select("rep", "part")
+        parts = after.select("rep", F.col("next").alias("part"))
+
+
+def _seeds_at_once(open_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open paths that are the smallest in each of their buckets, and the rows that stay open after them."""
+    smallest = open_rows.groupBy("bucket").agg(F.min("rep").alias("smallest"), F.count("*").alias("n"))
+    sizes = smallest.select("bucket", "n")
+    verdict = skew_join(open_rows, smallest.drop("n"), ["bucket"], sizes=sizes).groupBy("rep").agg(
+        F.bool_and(F.col("rep") == F.col("smallest")).alias("seed")
+    )
+    seeds = written(verdict.where("seed").select("rep"))
+    taken = open_rows.join(seeds, "rep", "left_semi").select("bucket").distinct()
+    closed = skew_join(open_rows, taken, ["bucket"], "left_semi", sizes=sizes).select("rep").distinct()
+    return seeds, written(open_rows.join(closed, "rep", "left_anti"))
+
+
+def seeds_of(graph: DataFrame, *, part_rows: int = PART_ROWS) -> tuple[DataFrame, int]:
+    """(rep) of the greedy walk over bucket membership (bucket, rep), and the number of rounds it took.
+
+    Up to ``part_rows`` open rows are walked in one task. More are closed by a round, in which an open path
+    is a seed once it is the smallest open path in each of its buckets and a bucket with a seed closes all its
+    paths. What stays open is split into connected parts; each part of up to ``part_rows`` rows is walked in a
+    task, and only larger ones go to the next round.
+    """
+    spark, rounds = graph.sparkSession, 0
+    found = spark.createDataFrame([], graph.select("rep").schema)
+    open_rows = graph
+    while n := open_rows.count():
+        if n <= part_rows:
+            return found.unionByName(written(open_rows.groupBy().applyInPandas(_walk, "rep string"))), rounds
+        rounds += 1
+        seeds, open_rows = _seeds_at_once(open_rows)
+        found = found.unionByName(seeds)
+        if open_rows.isEmpty():
+            break
+        rows = written(open_rows.join(_connected(open_rows), "rep"))
+        small = rows.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") <= part_rows).select("part")
+        found = found.unionByName(written(rows.join(small, "part", "left_semi").groupBy("part").applyInPandas(_walk, "rep string")))
+        open_rows = written(rows.join(small, "part", "left_anti").drop("part"))
+    return found, rounds
+
+
+def dedup_clusters(signatures: DataFrame, *, threshold: float = 0.9, num_perm: int = 128, part_rows: int = PART_ROWS) -> DataFrame:
     """Greedy clusters in path order: (seed, path, size).
 
     Walking the paths in order, a path no earlier cluster holds becomes a seed and its cluster is
-    every file it shares a bucket with; clusters may overlap. The seeds are found in rounds: an
-    open path is a seed once it is the smallest open path in each of its buckets, and a bucket
-    with a seed closes all its paths. No two seeds share a bucket, so the membership rows stay
-    within bands x files. Each round is two combining aggregates; every round closes at least
-    the smallest open path of each connected part, and the open rows shrink.
+    every file it shares a bucket with; clusters may overlap. No two seeds share a bucket, so the
+    membership rows stay within bands x files. ``seeds_of`` says how the walk is spread.
     """
     bands, rows = sketch.banding(threshold, num_perm)
-    reps, members = _representatives(signatures)
-    buckets = reps.select("rep", "sig", F.inline(_band_keys(bands, rows)))
-    buckets = cut_lineage(buckets.select(F.concat_ws(":", "band", "bucket").alias("bucket"), "rep", "sig"))
+    reps, members = _representatives(signatures, bands, rows)
+    buckets = reps.select("rep", "sig", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    graph = cut_lineage(skew_join(buckets, shared, ["bucket"], sizes=shared).select("bucket", "rep", "sig"))
-    open_rows, seed_parts = graph, []
-    while not open_rows.isEmpty():
-        smallest = open_rows.groupBy("bucket").agg(F.min("rep").alias("smallest"), F.count("*").alias("n"))
-        sizes = smallest.select("bucket", "n")
-        verdict = skew_join(open_rows, smallest, ["bucket"], sizes=sizes).groupBy("rep").agg(
-            F.bool_and(F.col("rep") == F.col("smallest")).alias("seed")
-        )
-        seeds = written(verdict.where("seed").select("rep"))
-        seed_parts.append(seeds)
-        taken = open_rows.join(seeds, "rep", "left_semi").select("bucket").distinct()
-        closed = skew_join(open_rows, taken, ["bucket"], "left_semi", sizes=sizes).select("rep").distinct()
-        open_rows = written(open_rows.join(closed, "rep", "left_anti"))
-    near = None
-    if seed_parts:
-        all_seeds = seed_parts[0]
-        for part in seed_parts[1:]:
-            all_seeds = all_seeds.unionByName(part)
-        owner = graph.join(all_seeds, "rep", "left_semi").select("bucket", F.col("rep").alias("seed"))
-        near = skew_join(graph, owner, ["bucket"]).select("seed", "sig").distinct()
+    graph = written(skew_join(buckets, shared.select("bucket"), ["bucket"], sizes=shared))
+    seeds, _ = seeds_of(graph.select("bucket", "rep"), part_rows=part_rows)
+    owner = graph.join(seeds, "rep", "left_semi").select("bucket", F.col("rep").alias("seed"))
+    near = skew_join(graph, owner, ["bucket"]).select("seed", "sig").distinct()
     # A representative with copies but no near neighbour still is the seed of its copies.
-    alone = reps.select("rep", "sig").join(graph.select("rep").distinct(), "rep", "left_anti").select(
-        F.col("rep").alias("seed"), "sig"
-    )
-    owners = alone if near is None else near.unionByName(alone)
-    clusters = cut_lineage(skew_join(members, owners, ["sig"]).select("seed", "path"))
+    alone = reps.where("copies > 1").join(graph.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("seed"), "sig")
+    clusters = written(skew_join(members, near.unionByName(alone), ["sig"]).select("seed", "path"))
     return members_of_repeated_groups(clusters, "seed", "size")
 
 
-def near_duplicates(corpus: DataFrame, clusters: DataFrame, *, threshold: float = 0.9) -> DataFrame:
-    """Cluster members whose exact shingle Jaccard with their seed reaches ``threshold``.
+def text_digests(corpus: DataFrame) -> DataFrame:
+    """(path, digest) of the normalised texts."""
+    return corpus.select("path", F.md5(normalise_code(F.col("content"))).alias("digest"))
 
-    (seed, path, jaccard). Clusters come from sketches; this compares the whole texts, one row
-    per member. Files with equal normalised text need no comparison.
-    """
+
+def sketches(corpus: DataFrame) -> DataFrame:
+    """(path, digest, signature) from one read, for clusters and for the comparison of their texts."""
     texts = corpus.select("path", normalise_code(F.col("content")).alias("text"))
-    pairs = (
-        clusters.where(F.col("seed") != F.col("path")).select("seed", "path")
-        .join(texts, "path")
-        .join(texts.select(F.col("path").alias("seed"), F.col("text").alias("seed_text")), "seed")
-    )
-    same = pairs.where(F.col("text") == F.col("seed_text")).select("seed", "path", F.lit(1.0).alias("jaccard"))
-    differ = sketch.with_jaccard(pairs.where(F.col("text") != F.col("seed_text")), "text", "seed_text")
-    return differ.where(F.col("jaccard") >= threshold).unionByName(same)
+    return sketch.with_signature(texts.withColumn("digest", F.md5("text")), "text")
+
+
+def near_duplicates(corpus: DataFrame, clusters: DataFrame, *, threshold: float = 0.9, digests: DataFrame | None = None) -> DataFrame:
+    """Cluster members whose shingle Jaccard with their seed reaches ``threshold``: (seed, path, jaccard).
+
+    Clusters come from sketches; this compares the whole texts. Equal normalised texts are told by ``digests``
+    (path, digest), which ``sketches`` gives without another read. Of the others each distinct text is read
+    once, as its sorted 62-bit shingle hashes; no text travels in a pair, pairs of texts with too different
+    numbers of shingles are left out first, and copies of a pair are compared once.
+    """
+    marks = text_digests(corpus) if digests is None else digests.select("path", "digest")
+    pairs = clusters.where(F.col("seed") != F.col("path")).select("seed", "path").join(marks, "path")
+    pairs = written(pairs.join(marks.select(F.col("path").alias("seed"), F.col("digest").alias("seed_digest")), "seed"))
+    differ = pairs.where("digest <> seed_digest")
+    kinds = written(differ.groupBy("seed_digest", "digest").agg(F.min("seed").alias("seed"), F.min("path").alias("path"), F.count("*").alias("n")))
+    wanted = kinds.select("digest", "path").unionByName(kinds.select(F.col("seed_digest").alias("digest"), F.col("seed").alias("path")))
+    wanted = wanted.groupBy("digest").agg(F.min("path").alias("path"))
+    texts = corpus.select("path", "content").join(wanted, "path").select("digest", normalise_code(F.col("content")).alias("text"))
+    grams = written(sketch.with_grams(texts, "text"))
+    lengths = grams.select("digest", "n_grams")
+    sized = kinds.select("seed_digest", "digest").join(lengths, "digest").join(
+        lengths.select(F.col("digest").alias("seed_digest"), F.col("n_grams").alias("n_seed")), "seed_digest")
+    close = sized.where(F.least("n_grams", "n_seed") >= threshold * F.greatest("n_grams", "n_seed")).select("seed_digest", "digest")
+    own = close.join(grams.select("digest", "grams"), "digest")
+    sizes = close.groupBy("seed_digest").agg(F.count("*").alias("n"))
+    both = skew_join(own, grams.select(F.col("digest").alias("seed_digest"), F.col("grams").alias("seed_grams")), ["seed_digest"],
+                     sizes=sizes, slice_rows=COMPARED_ROWS, salt=F.xxhash64("digest"))
+    alike = sketch.with_jaccard(both, "grams", "seed_grams").where(F.col("jaccard") >= threshold)
+    same = pairs.where("digest = seed_digest").select("seed", "path", F.lit(1.0).alias("jaccard"))
+    found = skew_join(differ, alike, ["seed_digest", "digest"], sizes=kinds.select("seed_digest", "digest", "n"))
+    return found.select("seed", "path", "jaccard").unionByName(same)
 
 
 def duplicate_totals(clusters: DataFrame) -> DataFrame:

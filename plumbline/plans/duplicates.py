@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sketch
 from ..operators import duplicates as op
-from ..session import cut_lineage, scratch_dir
+from ..session import cut_lineage, scratch_dir, written
 from ..sources import sinks
 from ..sources.bindings import document_files, table
 from ..sources.corpus import with_extension
@@ -176,7 +176,9 @@ common AS (SELECT seed, pairs.path, count(*) AS n FROM pairs JOIN tokens a ON a.
 SELECT seed, common.path, common.n / (x.n + y.n - common.n) AS jaccard FROM common
 JOIN sizes x ON x.path = seed JOIN sizes y ON y.path = common.path WHERE common.n / (x.n + y.n - common.n) >= 0.9""")
 def near_duplicates(spark, folder):
-    return op.near_duplicates(document_files(spark, folder), op.dedup_clusters(_signatures(spark, folder)))
+    files = document_files(spark, folder)
+    kept = written(op.sketches(files))
+    return op.near_duplicates(files, op.dedup_clusters(kept), digests=kept)
 
 
 @query("duplicate_pair_count", CLUSTERS + """

@@ -67,8 +67,8 @@ def test_signature_estimates_jaccard():
             other = [w if rng.random() < 0.9 else f"v{rng.randrange(400)}" for w in words]
             left, right = "".join(words), "".join(other)
             same = sketch.signature(sketch.shingle_hashes(left), a, b) == sketch.signature(sketch.shingle_hashes(right), a, b)
-            errors.append(same.mean() - sketch.jaccard(left, right))
-            assert sketch.jaccard(left, right) == pytest.approx(len(shingle_set(left) & shingle_set(right)) / len(shingle_set(left) | shingle_set(right)))
+            errors.append(same.mean() - sketch.jaccard(sketch.gram_hashes(left), sketch.gram_hashes(right)))
+            assert sketch.jaccard(sketch.gram_hashes(left), sketch.gram_hashes(right)) == pytest.approx(len(shingle_set(left) & shingle_set(right)) / len(shingle_set(left) | shingle_set(right)))
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.07
 
 
@@ -116,12 +116,12 @@ def variants(seed, count):
     return files
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.5])
-def test_clusters_equal_the_greedy_walk(spark, corpus, threshold):
+@pytest.mark.parametrize("threshold, part_rows", [(0.9, op.PART_ROWS), (0.5, op.PART_ROWS), (0.9, 0)])
+def test_clusters_equal_the_greedy_walk(spark, corpus, threshold, part_rows):
     signed = op.minhash_signature(corpus(variants(3, 120))).cache()
     expected = greedy({r["path"]: r["signature"] for r in signed.collect()}, *sketch.banding(threshold))
     got = {}
-    for r in op.dedup_clusters(signed, threshold=threshold).collect():
+    for r in op.dedup_clusters(signed, threshold=threshold, part_rows=part_rows).collect():
         got.setdefault(r["seed"], set()).add(r["path"])
         assert r["size"] == len(expected[r["seed"]])
     assert got == expected
@@ -129,6 +129,29 @@ def test_clusters_equal_the_greedy_walk(spark, corpus, threshold):
         assert sum(len(c) for c in got.values()) > len(set().union(*got.values()))
 
 
+@pytest.mark.parametrize("part_rows, length, most", [(1000, 50, 0), (120, 50, 1), (10, 12, 4)])
+def test_chains_take_few_rounds(spark, part_rows, length, most):
+    """Chains of files, each near only the next: every other file is a seed, and parts that fit a task take one round.
+
+    A round takes two files, so four rows, from the head of each chain: of 22 rows at most ten are left after four.
+    """
+    rows = [(f"{c}:{i}", f"{c:02d}-{i + j:03d}") for c in range(5) for i in range(length - 1) for j in (0, 1)]
+    graph = spark.createDataFrame(rows, "bucket string, rep string")
+    seeds, rounds = op.seeds_of(graph, part_rows=part_rows)
+    assert sorted(r["rep"] for r in seeds.collect()) == [f"{c:02d}-{i:03d}" for c in range(5) for i in range(0, length, 2)]
+    assert rounds <= most
+
+
+def test_connected_parts_in_rounds_of_the_logarithm(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(10**6), 300)
+    edges = [(f"b{i}", f"{names[i + j]:07d}") for i in range(299) if i % 100 != 99 for j in (0, 1)]
+    parts = {r["rep"]: r["part"] for r in op._connected(spark.createDataFrame(edges, "bucket string, rep string")).collect()}
+    for start in (0, 100, 200):
+        own = [f"{n:07d}" for n in names[start:start + 100]]
+        assert {parts[n] for n in own} == {min(own)}
+
+
 def test_buckets_hold_exactly_the_candidate_pairs(corpus):
     signed = op.minhash_signature(corpus(variants(4, 60))).cache()
     signatures = {r["path"]: r["signature"] for r in signed.collect()}
