@@ -6,7 +6,8 @@ combined in the tasks, close in on the median of every node of a level at once,
 then a hash of its text, then its doc_id, so a split can fall between any two rows, and equal texts stay
 together unless their group alone outweighs the tolerance.
 
-Null and empty texts weigh one byte; a null dimension counts as the smallest value. Rows equal in all parts of the key
+Null and empty texts weigh one byte; a null dimension counts as the smallest value. Dimensions of text count by the place of a value
+among the distinct ones. Rows equal in all parts of the key
 can't be told apart and stay together. With fewer rows than shards some shards are empty.
 """
 
@@ -23,13 +24,14 @@ from .text import numbered
 BUCKETS = 256
 # A split may miss its share by this part of a shard's bytes.
 TOLERANCE = 1 / 2000
-PREFIX_BYTES = 6
 
 
-def order_of_text(column: Column) -> Column:
-    """A number that orders texts by their first bytes."""
-    head = F.substring(F.rpad(F.hex(F.encode(column, "UTF-8")), 2 * PREFIX_BYTES, "0"), 1, 2 * PREFIX_BYTES)
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(0))
+def placed_by(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Puts in place of the text column ``value`` its place among the distinct values in order, from 1; null is 0."""
+    counts = cut_lineage(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")))
+    places = numbered(counts.select(value), [], [value], "_place")
+    found = skew_join(rows, places, [value], "left", sizes=counts)
+    return found.withColumn(name, F.coalesce(F.col("_place") + 1, F.lit(0))).drop(value, "_place")
 
 
 def metadata(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", dims: list[str]) -> DataFrame:
@@ -40,11 +42,16 @@ def metadata(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", dim
     """
     body = F.coalesce(F.col(text), F.lit(""))
     kinds = dict(docs.dtypes)
-    spots = {f"k{i + 1}": order_of_text(F.col(c)) if kinds[c] == "string" else F.coalesce(F.col(c).cast("long"), F.lit(0)) for i, c in enumerate(dims)}
-    rows = docs.select(
+    spots = [f"k{i + 1}" for i in range(len(dims))]
+    texts = {k: f"value{k}" for k, c in zip(spots, dims) if kinds[c] == "string"}
+    values = [F.col(c).alias(texts[k]) if k in texts else F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(k) for k, c in zip(spots, dims)]
+    rows = cut_lineage(docs.select(
         F.col(doc_id).alias("doc"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("crc"),
-        F.xxhash64(body).bitwiseAND(F.lit(2**63 - 1)).alias("h"), *[v.alias(k) for k, v in spots.items()])
-    rows = cut_lineage(rows)
+        F.xxhash64(body).bitwiseAND(F.lit(2**63 - 1)).alias("h"), *values))
+    if texts:
+        for k, value in texts.items():
+            rows = placed_by(rows, value, k)
+        rows = cut_lineage(rows)
     groups = cut_lineage(rows.groupBy("h", "size").agg(F.count("*").alias("n"), *[F.min(k).alias(f"g{k}") for k in spots]))
     grouped = groups.where("n > 1")
     named = skew_join(rows, grouped.drop("n"), ["h", "size"], "left", sizes=grouped.select("h", "size", "n"))

@@ -53,6 +53,43 @@ def test_sharding_splits_a_group_that_is_too_large(spark):
     assert len(counts) == 8 and counts.max() - counts.min() <= 2
 
 
+def test_sharding_like_a_plain_tree(spark):
+    """Each split is along the widest dimension, parts the rows in their order, and gives the left side its share."""
+    rng, shards = random.Random(11), 6
+    rows = [(i, prose(rng.randint(1, 60), rng.randrange(250)), rng.choice(["en", "de", None]), f"https://a.example/{rng.choice('abcdefgh')}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dims = ["lang", "source"]
+    known = {r["doc"]: r for r in sharding.metadata(docs, dims=dims).collect()}
+    names = ["k0", "k1", "k2"]
+    # Places of the values, by hand; copies take those of their smallest.
+    places = {v: i + 1 for i, v in enumerate(sorted({r[3] for r in rows}))}
+    least = {}
+    for r in rows:
+        least[r[1]] = min(least.get(r[1], 99), places[r[3]])
+    assert all(known[r[0]]["k2"] == least[r[1]] for r in rows)
+    got = sharding.kd_shards(docs, shards=shards, dims=dims).collect()
+    total, depth = sum(r["size"] for r in got), 3
+    width = {k: max(1, max(r[k] for r in known.values()) - min(r[k] for r in known.values())) for k in names}
+    sides, split_dims = [(got, shards, depth)], set()
+    while sides:
+        part, leaves, left = sides.pop()
+        if leaves == 1:
+            assert len({r["shard"] for r in part}) == 1
+            continue
+        low = [r for r in part if not r["node"] >> (left - 1) & 1]
+        high = [r for r in part if r["node"] >> (left - 1) & 1]
+        spread = {k: (max(known[r["doc"]][k] for r in part) - min(known[r["doc"]][k] for r in part)) / width[k] for k in names}
+        dim = max(names, key=lambda k: (spread[k], -names.index(k)))
+        split_dims.add(dim)
+        key = lambda r: (known[r["doc"]][dim], known[r["doc"]]["h"], known[r["doc"]]["d"])  # noqa: B023, E731
+        assert max(map(key, low)) < min(map(key, high))
+        bytes_of = lambda rows: sum(r["size"] for r in rows)
+        # A split falls between rows or whole groups of equal texts where the tolerance allows it.
+        assert abs(bytes_of(low) - leaves // 2 / leaves * bytes_of(part)) <= max(sharding.TOLERANCE * total / shards, max(r["size"] for r in part))
+        sides += [(low, leaves // 2, left - 1), (high, leaves - leaves // 2, left - 1)]
+    assert len(split_dims) > 1
+
+
 def test_simhash(docs, none):
     for how in ({}, {"words": 5, "bits": 128, "radius": 6}):
         got = simhash.near_duplicates(docs, **how).toPandas()

@@ -120,6 +120,17 @@ def test_op8_scores(spark, docs):
     assert len(got) == len(docs) and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
 
 
+def test_op8_held_out_labels(spark):
+    """Rows that the classifier never saw, over the table of a size that has hundreds of labels."""
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES["op8_nb_ngram_toxicity"](spark, folder).toPandas()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").toPandas()[["doc_id", "toxic"]].dropna().drop_duplicates("doc_id")
+    held = got[got.held_out].merge(labels, on="doc_id")
+    assert len(held) > 30 and (held.predicted == held.toxic).mean() > 0.9
+    toxic, clean = held.score[held.toxic == 1], held.score[held.toxic == 0]
+    assert np.mean([(t > clean).mean() + (t == clean).mean() / 2 for t in toxic]) > 0.9
+
+
 def test_op9_statistics(spark, docs):
     for row in run(spark, "op9_").itertuples():
         text = docs.text[row.doc_id]
