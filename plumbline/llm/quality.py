@@ -138,6 +138,16 @@ def learn(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label:
         row = frame.where(F.col("grow") == grow).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
         return [(row[2 * i] or 0, row[2 * i + 1] or 0) for i in range(len(tried))]
 
+    def counts_of_all(frame: DataFrame) -> list[tuple[int, int]]:
+        """(bad, good) growing rows under each of the options: one count by measure, bin and label, summed up from bin to bin."""
+        places = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("int").alias("bin")) for m in MEASURES]))
+        rows = frame.where("grow").select(places.alias("p"), "bad", "n").groupBy("p.m", "p.bin", "bad").agg(F.sum("n").alias("n")).collect()
+        by_bin = {m: [[0, 0] for _ in range(len(cuts[m]) + 1)] for m in MEASURES}
+        for r in rows:
+            by_bin[r["m"]][r["bin"]][0 if r["bad"] else 1] += r["n"]
+        upto = {m: [tuple(map(sum, zip(*by_bin[m][:i + 1]))) for i in range(len(by_bin[m]))] for m in MEASURES}
+        return [upto[m][i] if op == "<=" else tuple(a - b for a, b in zip(upto[m][-1], upto[m][i])) for m, op, i in options]
+
     left = table
     while options and len(rules) < max_rules:
         rule: list[tuple[str, str, int]] = []
@@ -146,7 +156,7 @@ def learn(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label:
             break
         inside = left
         while len(rule) < max_conditions and n0:
-            found = counts(inside, True, [_holds([o]) for o in options])
+            found = counts_of_all(inside)
             # Of conditions that gain alike the widest wins.
             best = max(range(len(options)), key=lambda i: (_gain(*found[i], p0, n0), options[i][2] if options[i][1] == "<=" else -options[i][2], -i))
             if _gain(*found[best], p0, n0) <= 0:

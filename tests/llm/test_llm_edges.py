@@ -293,6 +293,48 @@ def test_rules(spark, docs, none):
     assert quality.judged(none, labels).count() == 0
 
 
+def test_rules_like_plain_covering(spark):
+    """The list learned from counts by bin is that of sequential covering over the rows themselves."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        bad = rng.random() < 0.35
+        noise = " ##" * rng.choice((4, 9, 15)) if bad and i % 2 else " LOUD" * rng.choice((10, 25)) if bad else " #" * rng.choice((0, 0, 1, 5))
+        rows.append((i, prose(rng.randint(60, 120), i) + noise, int(not bad) if rng.random() < 0.97 else int(bad)))
+    stats = quality.statistics(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).cache()
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    labelled = stats.where(~quality.base_failed()).join(labels, "doc_id").select(
+        *[F.expr(e).alias(m) for m, e in quality.MEASURES.items()], (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), "*")
+    _, cuts = quality.binned(labelled.select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "bad", "grow"), quality.BINS)
+    left = [r.asDict() for r in labelled.collect()]
+    options = [(m, op, i) for m in quality.MEASURES for op in (">", "<=") for i in range(len(cuts[m]))]
+    holds = lambda r, o: (r[o[0]] > cuts[o[0]][o[2]]) == (o[1] == ">")
+    split = lambda part: (sum(r["bad"] for r in part), sum(not r["bad"] for r in part))
+    want = []
+    while len(want) < quality.MAX_RULES:
+        inside, rule = [r for r in left if r["grow"]], []
+        if split(inside)[0] < quality.MIN_COVER:
+            break
+        while len(rule) < quality.MAX_CONDITIONS and split(inside)[1]:
+            gains = [quality._gain(*split([r for r in inside if holds(r, o)]), *split(inside)) for o in options]
+            best = max(range(len(options)), key=lambda j: (gains[j], options[j][2] * (1 if options[j][1] == "<=" else -1), -j))
+            if gains[best] <= 0:
+                break
+            rule.append(options[best])
+            inside = [r for r in inside if holds(r, options[best])]
+        tested = [split([r for r in left if not r["grow"] and all(holds(r, o) for o in rule[:k])]) for k in range(1, len(rule) + 1)]
+        if not tested:
+            break
+        best = max(range(len(tested)), key=lambda k: ((tested[k][0] - tested[k][1]) / max(1, sum(tested[k])) if sum(tested[k]) else -1, -k))
+        p, n = tested[best]
+        if p + n < max(1, quality.MIN_COVER // 2) or p < quality.MIN_PRECISION * (p + n):
+            break
+        want.append(rule[:best + 1])
+        left = [r for r in left if not all(holds(r, o) for o in want[-1])]
+    between = lambda m, i: (cuts[m][i] + cuts[m][min(i + 1, len(cuts[m]) - 1)]) / 2
+    assert want and quality.learn(stats, labels) == [[(m, op, between(m, i)) for m, op, i in rule] for rule in want]
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/x>Menu item here</a></nav>
 <div id="cookie-notice">We use cookies and more cookies here</div><div class="content"><h1>Title &amp; more</h1><p>First   para <b>bold</b>
 text with many words.<p>Second&nbsp;para it's <a href="it's">linked</a> words<script>var a = "<p>no</p>";</script> end.</p>
