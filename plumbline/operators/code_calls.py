@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from ..session import cut_lineage, written
+from ..session import cut_lineage, scratch_dir, written
 from ..vocab import API_GROUPS, CALL_KEYWORDS
 from .code_structure import KNOWN_FUNCTIONS, LINE_BREAK, describe_python, module_heads, symbols
 
@@ -146,28 +147,29 @@ def entry_flows(graph: DataFrame, roots: DataFrame, *, max_depth: int | None = N
 
     A level holds each step once, whatever number of paths lead to it, and a function is left only at the
     first level that reaches it, so rows grow with the edges. ``again`` marks steps to a function of an earlier level
-    (cycles among them), where the flow isn't followed further. Each level is kept in the shared folder; with ``max_depth``
+    (cycles among them), where the flow isn't followed further. Levels are parts of one table of steps and one of the functions
+    reached, so the plan of a level is as long at the last as at the first, and no level is worked out again; with ``max_depth``
     only steps up to that many calls below the entry's own are listed.
     """
-    adjacent = cut_lineage(graph.select("caller", "callee").distinct())
-    frontier = reached = cut_lineage(roots.select("entry", "file", F.col("entry").alias("name")).distinct())
-    levels: list[DataFrame] = []
-    while max_depth is None or len(levels) <= max_depth:
-        found = frontier.withColumnRenamed("name", "caller").join(adjacent, "caller")
+    spark, folder, depth = graph.sparkSession, scratch_dir(graph.sparkSession, "flows"), 0
+    adjacent = written(graph.select("caller", "callee").distinct())
+    first = roots.select("entry", "file", F.col("entry").alias("name")).distinct()
+    first.write.parquet(f"{folder}/reached/level=0")
+    step = T.StructType([*first.schema.fields[:2], *adjacent.schema.fields, T.StructField("again", T.BooleanType())])
+    while max_depth is None or depth <= max_depth:
+        reached = spark.read.schema(T.StructType([*first.schema.fields, T.StructField("level", T.LongType())])).parquet(f"{folder}/reached")
+        found = reached.where(F.col("level") == depth).select("entry", "file", F.col("name").alias("caller")).join(adjacent, "caller")
         known = reached.select("entry", "file", F.col("name").alias("callee"), F.lit(True).alias("_known"))
-        level = written(found.join(known, ["entry", "file", "callee"], "left").select(
-            "entry", "file", F.lit(len(levels) + 1).cast("bigint").alias("depth"), "caller", "callee", F.coalesce("_known", F.lit(False)).alias("again")))
-        if level.isEmpty():
+        depth += 1
+        path = f"{folder}/steps/depth={depth}"
+        found.join(known, ["entry", "file", "callee"], "left").select(
+            "entry", "file", "caller", "callee", F.coalesce("_known", F.lit(False)).alias("again")).write.parquet(path)
+        onward = spark.read.schema(step).parquet(path).where(~F.col("again"))
+        if onward.isEmpty():
             break
-        levels.append(level)
-        frontier = level.where(~F.col("again")).select("entry", "file", F.col("callee").alias("name")).distinct()
-        reached = reached.union(frontier)
-    if not levels:
-        return level
-    steps = levels[0]
-    for level in levels[1:]:
-        steps = steps.union(level)
-    return steps
+        onward.select("entry", "file", F.col("callee").alias("name")).distinct().write.parquet(f"{folder}/reached/level={depth}")
+    return spark.read.schema(T.StructType([*step.fields, T.StructField("depth", T.LongType())])).parquet(f"{folder}/steps").select(
+        "entry", "file", "depth", "caller", "callee", "again")
 
 
 def entry_roots(corpus: DataFrame, parser: str, *, k: int | None = None) -> DataFrame:
