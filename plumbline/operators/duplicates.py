@@ -154,7 +154,7 @@ def _connected(graph: DataFrame) -> DataFrame:
     """(rep, part): the smallest path of the connected part each path is in.
 
     Each round takes the smallest part among a path's buckets and then the part of that part's own path, so
-    the rounds grow with the logarithm of the longest chain. Both steps are combining aggregates and a join on unique keys.
+    chains in path order take about the logarithm of their length; chains in mixed order take more. Both steps are combining aggregates and a join on unique keys.
     """
     parts = written(graph.select("rep", F.col("rep").alias("part")).distinct())
     while True:

@@ -142,7 +142,7 @@ def test_chains_take_few_rounds(spark, part_rows, length, most):
     assert rounds <= most
 
 
-def test_connected_parts_in_rounds_of_the_logarithm(spark):
+def test_connected_parts(spark):
     rng = random.Random(2)
     names = rng.sample(range(10**6), 300)
     edges = [(f"b{i}", f"{names[i + j]:07d}") for i in range(299) if i % 100 != 99 for j in (0, 1)]
