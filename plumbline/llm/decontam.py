@@ -14,7 +14,8 @@ document, then the first in the item, is marked. Rows that share an id are repor
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .text import keyed
 MIN_MATCH = 5
 THRESHOLD = 0.5
 # Words of the items that one pass over the documents looks for.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _BASE = 1_000_003
 _MASK = (1 << 61) - 1
@@ -91,22 +92,34 @@ def tiles(doc: list[int], item: list[int], min_match: int) -> list[tuple[int, in
 
 
 class Items:
-    """A block of test items by number of their words, and the seeds that lead to them."""
+    """A block of test items by number of their words, and the seeds that lead to them, in flat arrays."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], min_match: int):
-        self.names = [name for name, _ in items]
+    def __init__(self, items: Iterable[tuple[object, str | None]], min_match: int):
+        self.names: list = []
         self.number: dict[str, int] = {}
-        self.words = [[self.number.setdefault(w, len(self.number)) for w in words] for _, words in items]
-        self.least = [min(min_match, len(w)) for w in self.words]
-        self.seeds: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        for size in set(self.least) - {0}:
-            owners: dict[int, set[int]] = {}
-            for n, words in enumerate(self.words):
-                if self.least[n] == size:
-                    for h in self.hashes(np.array(words, np.int64), size).tolist():
-                        owners.setdefault(h, set()).add(n)
-            keys = sorted(owners)
-            self.seeds[size] = np.array(keys, np.uint64), [sorted(owners[k]) for k in keys]
+        flat, ends = array("q"), [0]
+        for name, text in items:
+            self.names.append(name)
+            flat.extend([self.number.setdefault(w, len(self.number)) for w in words_of(text)])
+            ends.append(len(flat))
+        self.flat, self.ends = np.array(flat, np.int64), np.array(ends)
+        self.length = np.diff(self.ends)
+        self.least = np.minimum(min_match, self.length)
+        owner = np.repeat(np.arange(len(self.names)), self.length)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in set(self.least.tolist()) - {0}:
+            h = self.hashes(self.flat, size)
+            # Windows within one item, each hash once an item.
+            own = np.flatnonzero((owner[:len(h)] == owner[size - 1:]) & (self.least[owner[:len(h)]] == size))
+            h, of = h[own], owner[own]
+            order = np.lexsort((of, h))
+            h, of = h[order], of[order]
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+            keys, starts = np.unique(h[first], return_index=True)
+            self.seeds[size] = keys, np.append(starts, first.sum()), of[first].astype(np.int32)
+
+    def words(self, n: int) -> list[int]:
+        return self.flat[self.ends[n]:self.ends[n + 1]].tolist()
 
     @staticmethod
     def hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -121,7 +134,7 @@ class Items:
         """For each item the places in a document at which a seed of it starts."""
         out: dict[int, list[int]] = {}
         strange = np.concatenate([[0], np.cumsum(ids < 0)])
-        for size, (keys, owners) in self.seeds.items():
+        for size, (keys, starts, owners) in self.seeds.items():
             if len(ids) < size:
                 continue
             whole = np.flatnonzero(strange[size:] == strange[:-size])
@@ -130,21 +143,26 @@ class Items:
             h = self.hashes(ids, size)[whole]
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             for hit in np.flatnonzero(keys[at] == h).tolist():
-                for n in owners[at[hit]]:
+                for n in owners[starts[at[hit]]:starts[at[hit] + 1]].tolist():
                     out.setdefault(n, []).append(int(whole[hit]))
         return out
 
-    def compare(self, text: str | None) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-        """(item, tiles) for the items that share a seed with a text."""
+    def compare(self, text: str | None, threshold: float = 0.0) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """(item, tiles) for the items that share a seed with a text; those that too few words of the text can cover are left out."""
         ids = np.array([self.number.get(w, -1) for w in words_of(text)], np.int64)
         for n, places in self.seeded(ids).items():
-            # Only words under a seed can be under a tile; what lies between is one strange word.
+            least, needed = int(self.least[n]), threshold * int(self.length[n])
+            # Only words under a seed can be under a tile, each under one; what lies between is one strange word.
+            if least * len(places) < needed:
+                continue
             near = np.zeros(len(ids) + 1, bool)
-            for j in range(self.least[n]):
+            for j in range(least):
                 near[np.array(places) + j] = True
+            if near.sum() < needed:
+                continue
             kept = np.flatnonzero(near[:-1] | np.concatenate([[False], near[:-2]])) if len(ids) else np.empty(0, np.int64)
             short = np.where(near[kept], ids[kept], -1).tolist()
-            yield n, [(int(kept[d]), i, size) for d, i, size in tiles(short, self.words[n], self.least[n])]
+            yield n, [(int(kept[d]), i, size) for d, i, size in tiles(short, self.words(n), least)]
 
 
 def overlaps(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",
@@ -154,8 +172,10 @@ def overlaps(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: s
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("coverage", T.DoubleType()),
         T.StructField("n_words", T.LongType()),
         T.StructField("tiles", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("doc_start", "item_start", "length")])))])
-    queried = cut_lineage(items.select(F.col(item_id).alias("name"), F.col(item_text).alias("body"), F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), " ")).alias("n"),
-                                       F.monotonically_increasing_id().alias("row")))
+    body = F.coalesce(F.col(item_text), F.lit(""))
+    # Words, or what they take in bytes if they are long.
+    size = F.greatest(F.regexp_count(body, F.lit(r"[\p{L}\p{N}]+")).cast("long"), (F.octet_length(body) / 8).cast("long"))
+    queried = cut_lineage(items.select(F.col(item_id).alias("name"), body.alias("body"), size.alias("n"), F.monotonically_increasing_id().alias("row")))
     blocks = max(1, -(-(queried.agg(F.sum("n")).first()[0] or 0) // block_words))
     plain = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     kind = plain.schema["d"].dataType
@@ -163,17 +183,17 @@ def overlaps(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: s
     def search(block: int) -> DataFrame:
         own = queried.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).select("name", "body").toLocalIterator()
         # About BLOCK_WORDS words, whatever the number of items.
-        sent = docs.sparkSession.sparkContext.broadcast([(r["name"], words_of(r["body"])) for r in own])
+        sent = docs.sparkSession.sparkContext.broadcast([(r["name"], r["body"]) for r in own])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Items(sent.value, min_match)
             for batch in batches:
                 rows = []
                 for name, value in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist()):
-                    for n, found in known.compare(value):
-                        share = sum(f[2] for f in found) / len(known.words[n])
+                    for n, found in known.compare(value, threshold):
+                        share = sum(f[2] for f in found) / int(known.length[n])
                         if found and share >= threshold:
-                            rows.append((name, known.names[n], share, len(known.words[n]),
+                            rows.append((name, known.names[n], share, int(known.length[n]),
                                          [{"doc_start": d, "item_start": i, "length": k} for d, i, k in found]))
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, to_arrow(schema))], names=schema.names)
