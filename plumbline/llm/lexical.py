@@ -33,6 +33,8 @@ from .text import utf8
 ITEM_TERMS = 500_000
 # Postings that a task holds at a time, but for those of one document.
 BLOCK_POSTINGS = 1_000_000
+# Documents of a block times terms of the longest item: marks of what an item has not read.
+BLOCK_MARKS = 1 << 23
 # Postings read from each list in the first step; every further step reads twice as many.
 FIRST_READ = 64
 # Bytes of a text that are cut into terms at a time.
@@ -126,6 +128,8 @@ def _found(index: DataFrame, items: list[tuple[int, list[int], list[int]]], weig
     """(item, doc, score): the k best documents of each item in each task."""
     schema = T.StructType([T.StructField("item", T.LongType()), index.schema["doc"], T.StructField("score", T.LongType())])
 
+    most = BLOCK_MARKS // max([1, *[len(of) for _, of, _ in items]])
+
     def ranked(ids: list, pairs: list[tuple[int, int]]) -> list[tuple]:
         return sorted(((s, ids[d]) for d, s in pairs), key=lambda x: (-x[0], x[1] is not None, x[1] if x[1] is not None else 0))
 
@@ -158,7 +162,7 @@ def _found(index: DataFrame, items: list[tuple[int, list[int], list[int]]], weig
                 for into, value in zip(held, row):
                     into.append(value)
                 postings += len(row[2])
-                if postings >= block_postings:
+                if postings >= block_postings or len(held[0]) >= most:
                     search(*held, top)
                     held, postings = ([], [], [], []), 0
         if held[0]:
