@@ -27,26 +27,28 @@ UNKNOWN = "und"
 FLUSH_GRAMS = 1_000_000
 # Letters of a long text that are counted at a time.
 _CHUNK = 1 << 20
+# Stands for a blank; a code point that is no letter, and not 0, so that a blank ahead of a letter is not the letter alone.
+_BLANK = 1
 
 
 def letter_table() -> np.ndarray:
-    """For each code point itself if it is a letter, else 0."""
+    """For each code point itself if it is a letter, else a blank."""
     points = np.arange(0x110000, dtype=np.int64)
-    return np.where([chr(i).isalpha() for i in range(0x110000)], points, 0)
+    return np.where([chr(i).isalpha() for i in range(0x110000)], points, _BLANK)
 
 
 def grams(text: str | None, letters: np.ndarray) -> np.ndarray:
-    """Codes of all 1- to 3-grams of the lower-cased words of ``text``; 21 bits for each character, 0 is a blank."""
+    """Codes of all 1- to 3-grams of the lower-cased words of ``text``; 21 bits for each character."""
     if not text:
         return np.empty(0, np.int64)
     points = letters[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
-    points = np.concatenate([[0], points, [0]])
-    points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]  # runs of blanks become one
-    if not points.any():
+    points = np.concatenate([[_BLANK], points, [_BLANK]])
+    points = points[np.concatenate([[True], (points[1:] != _BLANK) | (points[:-1] != _BLANK)])]  # runs of blanks become one
+    if len(points) == 1:
         return np.empty(0, np.int64)
-    one, two = points[points != 0], points[:-1] << 21 | points[1:]
+    one, two = points[points != _BLANK], points[:-1] << 21 | points[1:]
     three = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
-    return np.concatenate([one, two, three[points[1:-1] != 0]])  # no trigram reaches across two words
+    return np.concatenate([one, two, three[points[1:-1] != _BLANK]])  # no trigram reaches across two words
 
 
 def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
