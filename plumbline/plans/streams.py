@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
-from ..sources.bindings import bind_wire, finops, table
+from ..sources.bindings import bind_wire, finops, spread, table
 from ..streaming import alerts, ingest
 from .finops import C as COSTS
 from .observability import K as CALLS_SQL
@@ -42,7 +42,7 @@ def _run(spark, folder) -> str:
     schema = table(spark, folder, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     store = scratch_dir(spark, "ingest")
-    ingest.start_ingest(bind_wire(raw), store).awaitTermination()
+    ingest.start_ingest(bind_wire(spread(raw, "event_id")), store).awaitTermination()
     return store
 
 
