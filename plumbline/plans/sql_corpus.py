@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sql_corpus as op
 from ..session import cut_lineage
-from ..sources.bindings import spread, table
+from ..sources.bindings import TEXTS_A_TASK, spread, table
 from .registry import query
 
 PATH = """concat(CASE WHEN p_partkey % 6 = 0 THEN 'src/views/' ELSE 'src/Procedures/' END,
@@ -37,7 +37,7 @@ CONTENT = """concat('-- ', p_name, chr(10),
 
 
 def corpus(spark, folder):
-    part = spread(table(spark, folder, "part"), "p_partkey")
+    part = spread(table(spark, folder, "part"), "p_partkey", TEXTS_A_TASK)
     return part.selectExpr(PATH, CONTENT)
 
 

@@ -107,3 +107,17 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     df = cut_lineage(spark.range(10))
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_narrow_rows_that_become_files_are_dealt_to_tasks(spark, tmp_path):
+    """One split of many parts is no single task, with nothing asked by the session."""
+    from plumbline.plans.code_corpus import code
+    from plumbline.sources.bindings import spread
+
+    spark.range(2500).selectExpr("id AS p_partkey", "id % 50 AS p_size", "'part' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    part = spark.read.parquet(f"{tmp_path}/part.parquet")
+    dealt = spread(part, "p_partkey", 100)
+    assert part.rdd.getNumPartitions() == 1 and spread(part, "p_partkey").rdd.getNumPartitions() == 1
+    assert dealt.rdd.getNumPartitions() == 25 and max(dealt.rdd.glom().map(len).collect()) < 250
+    assert sorted(r["p_partkey"] for r in dealt.collect()) == list(range(2500))
+    assert code(spark, str(tmp_path), "c").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
