@@ -70,6 +70,17 @@ def test_webhooks(spark, rows):
     assert rows(op.webhook_route(events, subs).select("event_id", "subscription_id")) == [(1, 1)]
 
 
+def test_deliveries_of_one_org_go_to_many_tasks(spark, rows):
+    """Tasks follow the deliveries, not the few bytes of events and subscriptions, and none is lost or doubled."""
+    subs = spark.range(40).selectExpr("id", "'o' AS org", "'u' AS target_url", "array('a') AS events", "true AS active")
+    events = spark.range(500).selectExpr("id AS event_id", "if(id = 7, 'z', 'o') AS org", "'a' AS event_type").coalesce(1)
+    got = op.webhook_route(events, subs, a_task=1000)
+    assert rows(got.select("event_id", "subscription_id")) == rows(events.where("org = 'o'").crossJoin(subs).select("event_id", "id"))
+    made = [len(p) for p in got.rdd.glom().collect()]
+    assert len(made) >= 20 and max(made) < 6000
+    assert op.webhook_route(events.where("false"), subs).count() == 0
+
+
 def test_status_per_signal(spark, rows):
     df = spark.createDataFrame([(1, "p", "quality", "A", T1), (2, "p", "quality", "B", T2), (3, "p", "build", "ok", T1)],
                                "id int, project string, signal string, value string, ts timestamp_ntz")
