@@ -248,3 +248,23 @@ def test_long_chains_of_names_and_calls(corpus):
     text = "x = " + ".".join(["a"] * 900) + ".go()\nhid_open(" + "+".join(["1"] * 900) + ")\n"
     [row] = st.describe_python(corpus({"chain.py": text})).collect()
     assert row["parsed"] and [c["callee"] for c in row["calls"]] == ["go", "hid_open"]
+
+
+def test_one_walk_of_a_syntax_tree(monkeypatch):
+    """Definitions and imports come level by level, calls in source order, from one walk that leaves names and values out."""
+    import ast
+
+    from plumbline.functions import pyast
+
+    source = "def f(a=g(1)):\n  import x, y\n  class D(B(), p.Q):\n    @deco(h())\n    async def m(self): return k(n.o(2))(3)\n    def l(self, b): pass\n" \
+             "from . import z\nclass C:\n  def r(self):\n    def inner(): return [u(v) for v in w() if t]\nf(lambda: e())\n"
+    nodes = list(ast.walk(ast.parse(source)))
+    visited = []
+    monkeypatch.setattr(ast, "walk", lambda tree: visited.append(tree) or [])
+    got = pyast.describe(source, frozenset("gu"))
+    assert not visited
+    assert [c["name"] for c in got["classes"]] == [n.name for n in nodes if isinstance(n, ast.ClassDef)] == ["C", "D"]
+    assert [f["name"] for f in got["functions"]] == ["f", "inner"] and [i["line"] for i in got["imports"]] == [7, 2]
+    assert [(c["caller"], c["callee"], c["args"]) for c in got["calls"]] == [
+        ("f", "g", ["1"]), ("f", "B", []), ("m", "k", []), ("m", "o", []), ("m", "deco", []), ("m", "h", []), ("inner", "u", ["v"]), ("inner", "w", []),
+        (None, "f", []), (None, "e", [])]
