@@ -268,3 +268,18 @@ def test_one_walk_of_a_syntax_tree(monkeypatch):
     assert [(c["caller"], c["callee"], c["args"]) for c in got["calls"]] == [
         ("f", "g", ["1"]), ("f", "B", []), ("m", "k", []), ("m", "o", []), ("m", "deco", []), ("m", "h", []), ("inner", "u", ["v"]), ("inner", "w", []),
         (None, "f", []), (None, "e", [])]
+
+
+def test_most_lines_meet_no_pattern(spark, corpus, rows):
+    """Signs tell lines apart before patterns do, folded letters and declarations over files included; kept lines are those that tell anything."""
+    from plumbline.operators import code_decisions as cd
+
+    files = corpus({"a.c": "TIMEOUT : 7\nſemaphore x;\nwait=3 0xABCDEF\nK LOCK\n}", "b.c": "int x; }\n0xAA, 0xBB, 0xCC\n" * 9,
+                    "c.c": "char" + "\n" * 30000 + "b\nBYTE b[] = {0x01,\n0x02, 0x03, 0x04 };"})
+    lines = cd.scan_lines(files)
+    assert rows(lines.where("token IS NOT NULL").select("file", "line", "token")) == [("a.c", 2, "ſemaphore"), ("a.c", 4, "lock")]
+    assert lines.where("file = 'b.c' AND (starts OR ends OR size(bytes) > 0)").isEmpty()
+    got = {(r["file"], r["line"], r["description"]) for r in cd.decisions(files).where("file <> 'b.c'").collect()}
+    assert got == {("a.c", 1, "Timing decision: TIMEOUT : 7"), ("a.c", 2, "Concurrency/threading: ſemaphore"), ("a.c", 4, "Concurrency/threading: lock"),
+                   ("a.c", 3, "Timing decision: wait=3 0xABCDEF"), ("a.c", 3, "Hardcoded hex constant: 0xABCDEF"),
+                   ("c.c", 30002, "Byte array (4 bytes): 0x01 0x02 0x03 0x04"), ("c.c", 30003, cd.BYTE_RUN_TEXT)}
