@@ -283,3 +283,14 @@ def test_most_lines_meet_no_pattern(spark, corpus, rows):
     assert got == {("a.c", 1, "Timing decision: TIMEOUT : 7"), ("a.c", 2, "Concurrency/threading: ſemaphore"), ("a.c", 4, "Concurrency/threading: lock"),
                    ("a.c", 3, "Timing decision: wait=3 0xABCDEF"), ("a.c", 3, "Hardcoded hex constant: 0xABCDEF"),
                    ("c.c", 30002, "Byte array (4 bytes): 0x01 0x02 0x03 0x04"), ("c.c", 30003, cd.BYTE_RUN_TEXT)}
+
+
+def test_an_entry_name_of_many_files_is_walked_once(spark, tmp_path, monkeypatch):
+    """What is written for the walk doesn't grow with the files that have an entry of one name; the flow is listed for each of them."""
+    seen = []
+    monkeypatch.setattr(calls, "scratch_dir", lambda spark, label: seen.append(f"{tmp_path}/{label}") or seen[-1])
+    graph = spark.createDataFrame([("main", "a"), ("a", "b"), ("b", "a")], "caller string, callee string")
+    roots = spark.range(300).selectExpr("'main' AS entry", "concat(id, '.c') AS file")
+    got = calls.entry_flows(graph, roots)
+    assert got.count() == 900 and got.where("file = '7.c'").count() == 3 and got.where("again").count() == 300
+    assert spark.read.parquet(f"{seen[0]}/steps").count() == 3 and spark.read.parquet(f"{seen[0]}/reached").count() == 3
