@@ -1,3 +1,8 @@
+import re
+
+from pyspark.sql import functions as F
+
+from plumbline.functions import text
 from plumbline.operators import code_calls as calls
 from plumbline.operators import code_decisions as dec
 from plumbline.operators import code_structure as st
@@ -294,3 +299,14 @@ def test_an_entry_name_of_many_files_is_walked_once(spark, tmp_path, monkeypatch
     got = calls.entry_flows(graph, roots)
     assert got.count() == 900 and got.where("file = '7.c'").count() == 3 and got.where("again").count() == 300
     assert spark.read.parquet(f"{seen[0]}/steps").count() == 3 and spark.read.parquet(f"{seen[0]}/reached").count() == 3
+
+
+def test_words_are_found_by_a_pattern_of_their_beginnings(spark):
+    words = ("hid_open", "hid_open_path", "hid_close", "Read", "a.b", "x-y]")
+    pattern = text.any_of(words)
+    lines = [*words, "", "zhid_openz", "hid_ope", "hid_clos", "hid_", "Rea", "aXb", "x-y", "a.", "öhid_close", "\n\nRead"]
+    found = spark.createDataFrame([(x,) for x in lines], "text string").where(F.col("text").rlike(pattern)).collect()
+    assert sorted(r["text"] for r in found) == sorted(x for x in lines if any(w in x for w in words))
+    known = text.any_of(st.KNOWN_FUNCTIONS)
+    assert all(re.search(known, f"  {n}(a)") for n in st.KNOWN_FUNCTIONS)
+    assert known.count("Card(") == known.count("libusb_(") == 1  # names with one beginning are not tried one by one
