@@ -310,3 +310,14 @@ def test_words_are_found_by_a_pattern_of_their_beginnings(spark):
     known = text.any_of(st.KNOWN_FUNCTIONS)
     assert all(re.search(known, f"  {n}(a)") for n in st.KNOWN_FUNCTIONS)
     assert known.count("Card(") == known.count("libusb_(") == 1  # names with one beginning are not tried one by one
+
+
+def test_cuts_tell_groups_and_lines_with_or_without_the_mark(spark):
+    content = ["f(1)\r\ng(2)\x0b", "", "none\n", "a\nb\u2028f(3)", None]
+    rows = [(c,) for c in content] + [("\x01" + c if c is not None else None,) for c in content]
+    df = spark.createDataFrame(rows, "t string").select(
+        text.cut_at(F.col("t"), r"(\w)\((\d)\)|(q)", text.LINE_END, (1, 3)).alias("whole"), text.cut_at(F.col("t"), r"(\w)\((\d)\)|(q)", groups=(2,), tail=False).alias("hits"))
+    got = [(None if r["whole"] is None else [tuple(z) for z in r["whole"]], None if r["hits"] is None else [tuple(z) for z in r["hits"]]) for r in df.collect()]
+    want = [([(0, "f(1)", "f", ""), (1, "g(2)", "g", ""), (1, None, None, None)], [(0, "f(1)", "1"), (1, "g(2)", "2")]), ([(0, None, None, None)], []),
+            ([(1, None, None, None)], []), ([(2, "f(3)", "f", ""), (0, None, None, None)], [(1, "f(3)", "3")]), (None, None)]
+    assert got == want + want

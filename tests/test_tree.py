@@ -13,6 +13,7 @@ CS = "using A.B;\npublic class T {\n  public int Calc(int a) { return Help(a); }
 GO = "func Serve(a int) {\n  Stop(a)\n}\n"
 FILES = {"a.c": C, "b.h": C, "p.py": PY, "bad.py": "def broken(:\n  f(x)\n", "w.js": JS, "t.cs": CS, "s.go": GO, "empty.c": "", "notes.txt": "run(1) {"}
 LEADS = {"python": {f"q{i}.py": PY for i in range(4)}, "c": {f"q{i}.c": C for i in range(4)}, "js": {f"q{i}.js": JS for i in range(4)}, "csharp": {f"q{i}.cs": CS for i in range(4)}}
+TEXT_LEADS = ("c", "js", "csharp")
 OWN = {"python": (".py",), "c": (".c", ".h"), "js": (".js",), "csharp": (".cs",)}
 
 
@@ -49,6 +50,22 @@ def test_contents_are_read_once(spark, tmp_path, lead, corpus):
         assert plan.count("FileScan parquet") == 1 and plan.count("MapInPandas") == (lead == "python")
 
 
+def test_only_symbols_are_shuffled(corpus):
+    """The rows that are numbered are symbols alone: no file has one more for what follows its last symbol."""
+    found = tree.tree_files(corpus(FILES | LEADS["c"]))
+    made = tree._symbol_rows(found, ())
+    assert made.where("hit IS NULL").isEmpty() and made.count() == tree.tree_symbols(found).count() > 0
+
+
+@pytest.mark.parametrize("lead", TEXT_LEADS)
+def test_texts_with_the_mark_of_cuts_are_read_alike(corpus, rows, lead):
+    """The mark set between matches may be in a text itself, next to a match or inside it."""
+    marked = {p: c.replace("(a", "(\x01a") + "// \x01\n" for p, c in (FILES | LEADS[lead]).items() if not p.endswith(".py")}
+    files, other = LEADS[lead] | marked, LEADS[lead] | {p: c.replace("\x01", "\x02") for p, c in marked.items()}
+    got, want = (rows(tree.tree_symbols(tree.tree_files(corpus(f)))) for f in (files, other))
+    assert len(got) > 10 and str(got).replace("x01", "x02") == str(want)
+
+
 def test_empty_tree(corpus):
     found = tree.tree_files(corpus({"notes.txt": "x"}))
     assert tree.tree_modules(found).count() == tree.tree_call_edges(found).count() == tree.tree_rejects(found).count() == 0
