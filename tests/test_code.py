@@ -321,3 +321,13 @@ def test_cuts_tell_groups_and_lines_with_or_without_the_mark(spark):
     want = [([(0, "f(1)", "f", ""), (1, "g(2)", "g", ""), (1, None, None, None)], [(0, "f(1)", "1"), (1, "g(2)", "2")]), ([(0, None, None, None)], []),
             ([(1, None, None, None)], []), ([(2, "f(3)", "f", ""), (0, None, None, None)], [(1, "f(3)", "3")]), (None, None)]
     assert got == want + want
+
+
+def test_lines_are_stripped_by_their_kind(spark):
+    """Most lines are trimmed of blanks alone, with the same result as of all white space."""
+    lines = ["", " ", "  a b  ", "\ta\t ", " \x1fa \x1f", "\u3000a b\xa0 ", " \u2003", "\t", "ä ", " a\tb ", "a"]
+    line = F.col("t")
+    stripped = text.strip_line(line, F.octet_length(line) == F.length(line))
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select("t", stripped.alias("s"), text.strip(line).alias("w")).collect()
+    assert all(r["s"] == r["w"] == r["t"].strip() for r in got) and len(got) == len(lines)
+    assert spark.createDataFrame([("a.c", "x\n")], "path string, content string").transform(dec.scan_lines).where("size(found) > 0").isEmpty()
