@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
@@ -301,6 +302,49 @@ def test_an_entry_name_of_many_files_is_walked_once(spark, tmp_path, monkeypatch
     assert spark.read.parquet(f"{seen[0]}/steps").count() == 3 and spark.read.parquet(f"{seen[0]}/reached").count() == 3
 
 
+def test_entries_with_a_flow_in_common_share_its_rows(spark, tmp_path, monkeypatch):
+    """What is written for the walk doesn't grow with the product of entries and the steps they have in common; all of these are listed."""
+    seen = []
+    monkeypatch.setattr(calls, "scratch_dir", lambda spark, label: seen.append(f"{tmp_path}/{label}") or seen[-1])
+    entries = spark.range(640).selectExpr("concat('e', id) AS entry", "concat(id, '.c') AS file")
+    graph = entries.selectExpr("entry AS caller", "'hub' AS callee").unionByName(
+        spark.range(200).selectExpr("'hub' AS caller", "concat('f', id) AS callee")).unionByName(
+        spark.range(100).selectExpr("concat('f', id) AS caller", "concat('f', id + 100) AS callee"))
+    got = calls.entry_flows(graph, entries)
+    assert got.count() == 640 * 301 and got.where("again").count() == 640 * 100 and got.where("entry = 'e7' AND file = '7.c'").count() == 301
+    blocks = 640 // calls.BLOCK + spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(f"{seen[0]}/steps").count() <= 640 + blocks * 300
+    assert spark.read.parquet(f"{seen[0]}/reached").count() <= 640 + blocks * 201
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_flows_are_those_of_a_plain_walk(spark, monkeypatch, seed):
+    """Cycles, calls of itself, entries that are called, entry names of one, few and many files, entries that call nothing; joins dealt out or not."""
+    import random
+
+    pick = random.Random(seed)
+    names = [f"n{i}" for i in range(90)]
+    edges = {(pick.choice(names), pick.choice(names)) for _ in range((40, 90, 130, 400)[seed])} | {(n, "log") for n in names[::3]}
+    roots = {(n, f"{i}.c") for n in [*names, "none"] for i in range(pick.choice((1, 1, 1, 3, calls.BLOCK_FILES + 1)) if pick.random() < 0.9 else 0)}
+    depth = (None, 2, None, 1)[seed]
+    if seed % 2:
+        monkeypatch.setattr(calls, "PAIRS_A_TASK", 10)
+    want = set()
+    for entry in {e for e, _ in roots}:
+        level, at = {entry: 0}, 0
+        front = [entry]
+        while front and (depth is None or at <= depth):
+            steps = [(a, b) for a, b in edges if a in front]
+            fresh = {b for _, b in steps} - set(level)
+            want |= {(entry, f, at + 1, a, b, b in level) for a, b in steps for e, f in roots if e == entry}
+            at += 1
+            level |= dict.fromkeys(fresh, at)
+            front = fresh
+    graph = spark.createDataFrame(sorted(edges), "caller string, callee string")
+    got = [tuple(r) for r in calls.entry_flows(graph, spark.createDataFrame(sorted(roots), "entry string, file string"), max_depth=depth).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_words_are_found_by_a_pattern_of_their_beginnings(spark):
     words = ("hid_open", "hid_open_path", "hid_close", "Read", "a.b", "x-y]")
     pattern = text.any_of(words)
